@@ -66,7 +66,7 @@ def joined_score_and_grade(listed: DataFrame) -> DataFrame:
 
 def metric_number(metric: Column | str) -> Column:
     pairs = [F.lit(x) for m, s, _ in SCORE_METRICS for x in (s, m)]
-    return F.element_at(F.create_map(*pairs), metric)
+    return F.element_at(F.create_map(*pairs), F.col(metric) if isinstance(metric, str) else metric)
 
 
 def reading_rows(listed: DataFrame) -> DataFrame:

@@ -1 +1,78 @@
-"""Pending."""
+"""Tests between the two largest sectors."""
+
+from __future__ import annotations
+
+from ..operators import inference, profile
+from .domain import Domain
+from .registry import query
+from .relational import MEAN
+from .statistics import rounded
+
+PAIR = """top2 as (select industry, row_number() over (order by count(*) desc, industry) place from dashboard_base
+where industry is not null group by industry order by place limit 2),
+pair as (select case place when 1 then 'a' else 'b' end side, measured_value v, measured_value
+from dashboard_base join top2 using (industry))"""
+SPREAD = PAIR + """,
+s as (select side, count(*) n, avg(v) m, var_samp(v) s2 from pair group by side),
+w as (select a.n na, a.m ma, a.s2/a.n va, b.n nb, b.m mb, b.s2/b.n vb from s a, s b where a.side='a' and b.side='b')"""
+LEVENE = PAIR + """,
+centre as (select side, median(v) c from pair group by side),
+z as (select side, abs(v-c) z from pair join centre using (side)),
+zs as (select side, count(*) n, avg(z) m, var_samp(z)*(count(*)-1) ss from z group by side),
+zg as (select sum(n) n, sum(n*m)/sum(n) g, sum(ss) ss from zs)"""
+
+
+def sectors(d: Domain) -> tuple[str, str]:
+    """The two largest sectors, two rows."""
+    a, b = (r["industry"] for r in profile.eligible_sectors(d.base).limit(2).collect())
+    return a, b
+
+
+def pair(d: Domain):
+    return inference.two_groups(d.base, *sectors(d))
+
+
+@query("h1_levene", "select round((zg.n-2)*sum(zs.n*(m-g)*(m-g))/max(zg.ss),6) w from zs, zg group by zg.n", LEVENE)
+def _(d: Domain):
+    return rounded(inference.levene(pair(d)).select("w"), 6, "w")
+
+
+@query("h1_levene_p")
+def _(d: Domain):
+    return inference.levene(pair(d))
+
+
+@query("h2_welch", "select round((ma-mb)/sqrt(va+vb),6) t, round((va+vb)*(va+vb)/(va*va/(na-1)+vb*vb/(nb-1)),4) df from w", SPREAD)
+def _(d: Domain):
+    return rounded(rounded(inference.welch(pair(d)).select("t", "df"), 6, "t"), 4, "df")
+
+
+@query("h2_h4_welch_p_and_decision")
+def _(d: Domain):
+    return inference.welch(pair(d))
+
+
+@query(
+    "h3_mann_whitney",
+    """select na::double n_a, nb::double n_b, ra-na*(na+1)/2.0::double u_a, na*nb-(ra-na*(na+1)/2.0::double) u_b from (
+select count(*) filter (side='a') na, count(*) filter (side='b') nb, sum(rk) filter (side='a') ra from (
+select side, rank() over (order by v)+(count(*) over (partition by v)-1)/2.0::double rk from pair))""",
+    PAIR,
+)
+def _(d: Domain):
+    return inference.mann_whitney(pair(d)).select("n_a", "n_b", "u_a", "u_b")
+
+
+@query("h3_mann_whitney_p")
+def _(d: Domain):
+    return inference.mann_whitney(pair(d))
+
+
+@query("h5_group_means", f"select side, count(*) n, {MEAN} mean_value from pair group by side", PAIR)
+def _(d: Domain):
+    return inference.group_means(pair(d))
+
+
+@query("sector_comparison")
+def _(d: Domain):
+    return inference.compare_sectors(d.base, *sectors(d))

@@ -1 +1,68 @@
-"""Pending."""
+"""The two row rules as streams over the tables, run until the input is used up."""
+
+from __future__ import annotations
+
+from ..session import scratch_path
+from ..streaming.changelog import status_transition_batch, status_transition_stream
+from ..streaming.readings import validate_arrivals
+from .changes import SHIFTED, shifted
+from .domain import Domain
+from .registry import query
+
+
+def arrived(d: Domain):
+    """Stream over readings, some with negative values, from files."""
+    path = scratch_path(d.spark, "arrivals")
+    shifted(d).repartition(4).write.parquet(path)
+    return d.spark.readStream.schema(d.reading.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def validated(d: Domain) -> tuple[str, str]:
+    accepted, rejected = scratch_path(d.spark, "accepted"), scratch_path(d.spark, "rejected")
+    validate_arrivals(arrived(d), accepted, rejected, scratch_path(d.spark, "offsets")).awaitTermination()
+    return accepted, rejected
+
+
+@query("w1_accepted_arrivals", "select reading_id, measured_value, status from shifted join (select reading_id, status from reading) using (reading_id) where measured_value>=0", SHIFTED)
+def _(d: Domain):
+    return d.spark.read.parquet(validated(d)[0]).select("reading_id", "measured_value", "status")
+
+
+@query("w1_rejected_arrivals", "select reading_id, measured_value, 'measured_value is negative' reason from shifted where measured_value<0", SHIFTED)
+def _(d: Domain):
+    return d.spark.read.parquet(validated(d)[1]).select("reading_id", "measured_value", "reason")
+
+
+# The statuses of a company's readings in time order stand for the history of one reading.
+HISTORY = """history as (select company_id reading_id, row_number() over (partition by company_id order by read_at, reading_id) seq,
+status from reading)"""
+CHANGES = """select reading_id, seq, old_status, status new_status from (select *, lag(status) over (partition by reading_id
+order by seq) old_status from history) where old_status<>status"""
+
+
+def history(d: Domain):
+    d.register_views()
+    return d.spark.sql(HISTORY[len("history as ("):-1])
+
+
+@query("w2_transition_stream", CHANGES, HISTORY)
+def _(d: Domain):
+    events = scratch_path(d.spark, "events")
+    history(d).write.parquet(events)
+    log = scratch_path(d.spark, "transitions")
+    source = d.spark.readStream.schema("reading_id bigint, seq bigint, status string").parquet(events)
+    stream = status_transition_stream(source)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", log)
+        .option("checkpointLocation", scratch_path(d.spark, "offsets"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return d.spark.read.parquet(log)
+
+
+@query("w2_transition_batch", CHANGES, HISTORY)
+def _(d: Domain):
+    return status_transition_batch(history(d))
