@@ -22,9 +22,12 @@ SEED = 42
 
 
 def feature_table(base: DataFrame, numbered: bool = True) -> DataFrame:
-    """Pillar means per company name and sector, complete rows only, with their sum and a row number."""
+    """Pillar means per company name and sector, complete rows only, with their sum and a row number.
+
+    Every model reads the numbered table several times, so it is materialised.
+    """
     wide = pillar_means(base, *KEY).withColumn("total", sum((F.col(f) for f in FEATURES[1:]), F.col(FEATURES[0])))
-    return dense_ids(wide, KEY, "row_id") if numbered else wide
+    return checkpointed(dense_ids(wide, KEY, "row_id")) if numbered else wide
 
 
 def enough_companies(features: DataFrame, least: int = LEAST_COMPANIES) -> bool:

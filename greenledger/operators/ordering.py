@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpointed
+
 _WAYS = 32  # cut points are looked up in two steps of 32, which makes 1024 buckets
 
 
@@ -58,10 +60,11 @@ def running_total(
     """Add the weight of all rows that come earlier in ``order`` within the same group.
 
     ``order`` must be unique within a group and the group columns must not be NULL. ``total`` also adds the
-    weight of the whole group.
+    weight of the whole group. The rows are read three times (sample, cell weights, positions), so they are
+    materialised first.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    marked = with_bucket(df.withColumn("_w", weight), order)
+    marked = with_bucket(checkpointed(df.withColumn("_w", weight)), order)
     cells = _cells(marked, groups, "_w").drop("_cell")
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = marked.join(cells, [*groups, "_bucket"]).withColumn(
@@ -100,7 +103,7 @@ def exact_percentiles(
     counted, the counts of the buckets tell which few hold the wanted ranks, and only those are sorted.
     """
     groups = list(groups)
-    counts = with_bucket(value_counts(df, value, groups, weight), [value])
+    counts = with_bucket(checkpointed(value_counts(df, value, groups, weight)), [value])
     cells = _cells(counts, groups, "n")
 
     def position(p: float) -> Column:

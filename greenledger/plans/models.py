@@ -41,8 +41,8 @@ def knn_cte(where: str) -> str:
 near as (select q.row_id, q.fold, q.total observed, t.total y, d2 from (
 select q.row_id qid, t.row_id tid, (q.environmental-t.environmental)*(q.environmental-t.environmental)
 +(q.social-t.social)*(q.social-t.social)+(q.governance-t.governance)*(q.governance-t.governance) d2,
-row_number() over (partition by q.row_id order by d2, t.row_id) place
-from folded q join folded t on {where} qualify place<=7) x
+row_number() over (partition by q.row_id order by d2, t.row_id) rk
+from folded q join folded t on {where} qualify rk<=7) x
 join folded q on q.row_id=qid join folded t on t.row_id=tid),
 guess as (select row_id, fold, observed, case when min(d2)=0 then avg(y) filter (d2=0)
 else sum(y/sqrt(case when d2=0 then 1 else d2 end))/sum(1/sqrt(case when d2=0 then 1 else d2 end)) end predicted
