@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import exact_mean
 from ..functions.numerics import f_upper_udf, rank_test_p_udf, t_two_sided_udf
+from ..session import checkpointed
+from .dashboard import VALUE, W, Dashboard
 from .moments import weighted_moments
 from .ordering import exact_percentiles, running_total, value_counts
-from .profile import VALUE, W
 from .rows import side_by_side
 
 ALPHA = 0.05
 LEAST = 3
 
 
-def two_groups(base: DataFrame, a: str, b: str, column: str = "industry") -> DataFrame:
-    """Non-null values of two groups, marked ``a`` and ``b``."""
-    return base.where(F.col(column).isin(a, b) & F.col(VALUE).isNotNull()).select(
-        F.when(F.col(column) == a, "a").otherwise("b").alias("side"), VALUE, W
-    )
+def two_groups(base: Dashboard, a: str, b: str) -> DataFrame:
+    """Non-null values of two sectors, marked ``a`` and ``b``; the three tests read them, so they are materialised."""
+    rows = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull()).rows
+    return checkpointed(rows.select(F.when(F.col("industry") == a, "a").otherwise("b").alias("side"), VALUE, W))
 
 
 def group_means(pair: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def mann_whitney(pair: DataFrame) -> DataFrame:
     )
 
 
-def compare_sectors(base: DataFrame, a: str, b: str) -> DataFrame:
+def compare_sectors(base: Dashboard, a: str, b: str) -> DataFrame:
     """The three tests and the group means in one row."""
     if a == b:
         raise ValueError("choose two different sectors")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import PILLARS
 from ..session import checkpointed
+from .dashboard import Dashboard
 from .knn import nearest_neighbours, predict
 from .ordering import contiguous_folds, dense_ids, exact_percentiles, hold_out
 from .profile import pillar_means
@@ -21,7 +22,7 @@ LEAST_COMPANIES = 40
 SEED = 42
 
 
-def feature_table(base: DataFrame, numbered: bool = True) -> DataFrame:
+def feature_table(base: Dashboard, numbered: bool = True) -> DataFrame:
     """Pillar means per company name and sector, complete rows only, with their sum and a row number.
 
     Every model reads the numbered table several times, so it is materialised.

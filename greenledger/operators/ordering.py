@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
+from .rows import sized_broadcast
 
 _WAYS = 32  # cut points are looked up in two steps of 32, which makes 1024 buckets
 
@@ -28,7 +29,8 @@ def with_bucket(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> D
     )
 
     def below(cut_points: Column) -> Column:
-        return F.size(F.filter(cut_points, lambda cut: cut < key))
+        # Never NULL, so that no filter with a second look-up is derived from a join on the bucket.
+        return F.coalesce(F.size(F.filter(cut_points, lambda cut: cut < key)), F.lit(0))
 
     return (
         df.withColumn("_cuts", cuts.scalar())
@@ -113,8 +115,10 @@ def exact_percentiles(
     wanted = cells.withColumn("_ranks", ranks).where(
         F.exists("_ranks", lambda r: (r >= F.col("_prior")) & (r < F.col("_prior") + F.col("_cell")))
     )
+    # A few buckets per group: with a broadcast the counts of all other buckets are dropped where they are.
+    wanted = sized_broadcast(wanted.drop("_ranks", "_cell"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(wanted.drop("_ranks", "_cell"), [*groups, "_bucket"]).withColumn(
+    placed = counts.join(wanted, [*groups, "_bucket"]).withColumn(
         "_after", F.col("_prior") + F.sum("n").over(inside)
     )
 

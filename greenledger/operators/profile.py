@@ -1,127 +1,105 @@
-"""Statistics of the dashboards over the collapsed base (see ``views.dashboard_base``).
-
-Rows carry a weight ``copies``; every statistic honours it. Keys that are NULL form no group.
-"""
+"""Statistics of the dashboards over a ``Dashboard``. Keys that are NULL form no group."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date, timedelta
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, exact_mean, impact_class, month_of
-from ..functions.columns import one_place, weighted_count
+from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, impact_class, month_of, one_place
 from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
+from .dashboard import VALUE, W, Dashboard
 from .moments import weighted_moments
 from .ordering import exact_percentiles, value_counts
 from .rows import side_by_side, sized_broadcast
-from .topk import keep_most_frequent
 
-W = "copies"
-VALUE = "measured_value"
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def filter_base(
-    base: DataFrame,
-    industries: Sequence[str] = (),
-    companies: Sequence[str] = (),
-    pillars: Sequence[str] = (),
-    statuses: Sequence[str] = (),
-    first_day: date | None = None,
-    last_day: date | None = None,
-) -> DataFrame:
-    """Optional filters; an empty list filters nothing, days are inclusive.
+def _count(when: Column | None = None) -> Column:
+    n = F.col("n") if when is None else F.when(when, F.col("n"))
+    return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+
+
+def _mean(when: Column | None = None) -> Column:
+    """Mean from totals: exact sum over count, optionally of the groups that meet a condition."""
+    s, c = (F.col(x) if when is None else F.when(when, F.col(x)) for x in ("s", "c"))
+    # A condition that no group meets leaves NULL / NULL.
+    return F.try_divide(F.sum(s).cast("double"), F.sum(c).cast("double"))
 
-    Days are compared as timestamps, so that the comparison reaches the scan of the readings.
-    """
-    for column, wanted in (
-        ("industry", industries), ("trade_name", companies), ("pillar", pillars), ("status", statuses)
-    ):
-        if wanted:
-            base = base.where(F.col(column).isin(list(wanted)))
-    if first_day is not None:
-        base = base.where(F.col("read_at") >= F.lit(first_day.isoformat()).cast("timestamp_ntz"))
-    if last_day is not None:
-        base = base.where(F.col("read_at") < F.lit((last_day + timedelta(days=1)).isoformat()).cast("timestamp_ntz"))
-    return base
-
-
-def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for k in keys:
-        df = df.where(F.col(k).isNotNull())
-    return df
 
+def _percent(when: Column) -> Column:
+    return F.try_divide(F.lit(100.0) * _count(when).cast("double"), F.sum("n").cast("double"))
 
-def count_by(base: DataFrame, *keys: str) -> DataFrame:
-    return _keyed(base, keys).groupBy(*keys).agg(weighted_count(W).alias("readings"))
 
+def count_by(base: Dashboard, *keys: str) -> DataFrame:
+    return base.totals(*keys).select(*keys, F.col("n").alias("readings"))
 
-def mean_by(base: DataFrame, *keys: str) -> DataFrame:
-    return _keyed(base, keys).groupBy(*keys).agg(exact_mean(VALUE, W).alias("mean_value"))
 
+def mean_by(base: Dashboard, *keys: str) -> DataFrame:
+    mean = F.try_divide(F.col("s").cast("double"), F.col("c").cast("double"))
+    return base.totals(*keys).select(*keys, mean.alias("mean_value"))
 
-def mean_by_month_and_pillar(base: DataFrame) -> DataFrame:
-    return mean_by(base.withColumn("month", month_of("read_at")), "month", "pillar")
 
+def mean_by_month_and_pillar(base: Dashboard) -> DataFrame:
+    return mean_by(base.with_facts(month=month_of("read_at")), "month", "pillar")
 
-def share_by(base: DataFrame, key: str) -> DataFrame:
+
+def share_by(base: Dashboard, key: str) -> DataFrame:
     """Count per value of ``key`` and its percentage of all counted rows."""
     counts = count_by(base, key)
     total = counts.agg(F.sum("readings"))
     return counts.withColumn("percent", F.lit(100.0) * F.col("readings") / total.scalar())
 
 
-def validated_percent() -> Column:
-    return F.try_divide(
-        F.lit(100.0) * weighted_count(W, F.col("status") == "VALIDATED").cast("double"), F.sum(W).cast("double")
+def counted(base: Dashboard) -> DataFrame:
+    """Rows and validated share; an empty base gives one row of 0 and NULL."""
+    return base.totals("status").agg(
+        _count().alias("readings"), _percent(F.col("status") == "VALIDATED").alias("validated_percent")
     )
 
 
-def date_span(base: DataFrame) -> DataFrame:
-    return base.agg(F.min("read_at").alias("first_read"), F.max("read_at").alias("last_read"))
+def date_span(base: Dashboard) -> DataFrame:
+    """First and last reading, from the span of each company."""
+    spans = base.facts.groupBy("company_id").agg(F.min("read_at").alias("a"), F.max("read_at").alias("b"))
+    known = spans.join(base.labels.select("company_id").distinct(), "company_id", "left_semi")
+    return known.agg(F.min("a").alias("first_read"), F.max("b").alias("last_read"))
 
 
-def distinct_counts(base: DataFrame, approximate: float | None = None) -> DataFrame:
-    """Distinct company names and sectors. ``approximate`` gives a relative error to trade for one pass."""
+def distinct_counts(base: Dashboard, approximate: float | None = None) -> DataFrame:
+    """Distinct names and sectors with readings. ``approximate`` is a relative error to trade for one pass."""
+    used = base.labels.join(base.facts.select("company_id").distinct(), "company_id", "left_semi")
     if approximate:
-        return base.agg(
+        return used.agg(
             F.approx_count_distinct("trade_name", approximate).alias("companies"),
             F.approx_count_distinct("industry", approximate).alias("industries"),
         )
     # One distinct per column: several in one aggregation would copy each row once per column.
-    return base.sparkSession.range(1).select(
+    return base.facts.sparkSession.range(1).select(
         *[
-            base.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar().alias(n)
+            used.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar().alias(n)
             for n, c in (("companies", "trade_name"), ("industries", "industry"))
         ]
     )
 
 
-def counted(base: DataFrame) -> DataFrame:
-    """Rows and validated share; an empty base gives one row of 0 and NULL."""
-    return base.agg(weighted_count(W).alias("readings"), validated_percent().alias("validated_percent"))
-
-
-def moments(base: DataFrame, *keys: str) -> DataFrame:
+def moments(base: Dashboard, *keys: str) -> DataFrame:
     """n, mean, sample variance and sd, biased skewness and excess kurtosis."""
-    return weighted_moments(base, VALUE, W, keys).select(
+    return weighted_moments(base.rows, VALUE, W, keys).select(
         *keys, F.col("n").alias("readings"), F.col("mean").alias("mean_value"), "variance", "sd", "skewness", "kurtosis"
     )
 
 
-def mean_interval(base: DataFrame, *keys: str, level: float = 0.95) -> DataFrame:
+def mean_interval(base: Dashboard, *keys: str, level: float = 0.95) -> DataFrame:
     """Standard error and t interval of the mean; a single value gives (mean, mean)."""
     stats = moments(base, *keys).where(F.col("readings") > 0)
     t = t_quantile_udf(F.lit(0.5 + level / 2), (F.col("readings") - 1).cast("double"))
+    several = F.col("readings") > 1
+    error = F.when(several, F.col("sd") / F.sqrt(F.col("readings").cast("double"))).otherwise(0.0)
     return (
-        stats.withColumn(
-            "standard_error",
-            F.when(F.col("readings") > 1, F.col("sd") / F.sqrt(F.col("readings").cast("double"))).otherwise(0.0),
-        )
-        .withColumn("half", F.when(F.col("readings") > 1, t * F.col("standard_error")).otherwise(0.0))
+        stats.withColumn("standard_error", error)
+        .withColumn("half", F.when(several, t * F.col("standard_error")).otherwise(0.0))
         .select(
             *keys,
             "readings",
@@ -133,133 +111,138 @@ def mean_interval(base: DataFrame, *keys: str, level: float = 0.95) -> DataFrame
     )
 
 
-def medians(base: DataFrame, *keys: str) -> DataFrame:
-    return exact_percentiles(base, VALUE, {"median": 0.5}, keys, W)
+def medians(base: Dashboard, *keys: str) -> DataFrame:
+    return exact_percentiles(base.rows, VALUE, {"median": 0.5}, keys, W)
+
+
+def approximate_medians(base: Dashboard, *keys: str, accuracy: int = 10_000) -> DataFrame:
+    """One-pass medians with rank error n / accuracy. Copies are not weighed, so use an id-keyed dashboard."""
+    rows = base.rows
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows.groupBy(*keys).agg(F.percentile_approx(VALUE, 0.5, accuracy).alias("median"))
 
 
-def mode(base: DataFrame) -> DataFrame:
+def mode(base: Dashboard) -> DataFrame:
     """Most frequent value at one decimal place; ties go to the smallest."""
-    rounded = base.withColumn("mode_value", one_place(VALUE))
-    return (
-        value_counts(rounded, "mode_value", weight=W).orderBy(F.desc("n"), F.asc("mode_value")).limit(1)
-    )
+    counts = value_counts(base.with_facts(mode_value=one_place(VALUE)).rows, "mode_value", weight=W)
+    return counts.orderBy(F.desc("n"), F.asc("mode_value")).limit(1)
+
 
+def _same(*names: str) -> Mapping[str, str]:
+    return {n: n for n in names}
 
-def summary(base: DataFrame) -> DataFrame:
+
+def summary(base: Dashboard) -> DataFrame:
     """All headline figures in one row."""
-    same = lambda *names: {n: n for n in names}
     return side_by_side(
         [
-            (counted(base), same("readings", "validated_percent")),
-            (distinct_counts(base), same("companies", "industries")),
-            (moments(base), same("mean_value", "variance", "sd", "skewness", "kurtosis")),
-            (medians(base), same("median")),
-            (mode(base), same("mode_value")),
+            (counted(base), _same("readings", "validated_percent")),
+            (distinct_counts(base), _same("companies", "industries")),
+            (moments(base), _same("mean_value", "variance", "sd", "skewness", "kurtosis")),
+            (medians(base), _same("median")),
+            (mode(base), _same("mode_value")),
         ]
     )
 
 
-def sector_pillar_summary(base: DataFrame) -> DataFrame:
+def sector_pillar_summary(base: Dashboard) -> DataFrame:
     """Count, mean, median, spread, validated share and impact classes per sector and pillar."""
     keys = ["industry", "pillar"]
-    level = impact_class(VALUE)
-    first = _keyed(base, keys).groupBy(*keys).agg(
-        validated_percent().alias("validated_percent"),
-        weighted_count(W, level == LOW_IMPACT).alias("low_impact"),
-        weighted_count(W, level == MODERATE_IMPACT).alias("moderate_impact"),
-        weighted_count(W, level == CRITICAL_IMPACT).alias("critical_impact"),
+    impact = F.col("impact")
+    first = base.with_facts(impact=impact_class(VALUE)).totals(*keys, "status", "impact").groupBy(*keys).agg(
+        _percent(F.col("status") == "VALIDATED").alias("validated_percent"),
+        _count(impact == LOW_IMPACT).alias("low_impact"),
+        _count(impact == MODERATE_IMPACT).alias("moderate_impact"),
+        _count(impact == CRITICAL_IMPACT).alias("critical_impact"),
     )
     spread = moments(base, *keys).select(*keys, "readings", "mean_value", "sd")
     return spread.join(first, keys).join(medians(base, *keys), keys)
 
 
-def histogram(base: DataFrame, bins: int = 30, by: str = "pillar") -> DataFrame:
+def histogram(base: Dashboard, bins: int = 30, by: str = "pillar") -> DataFrame:
     """Equal-width bins between the smallest and the largest value, counted per ``by``."""
-    kept = _keyed(base, [by, VALUE])
-    span = kept.agg(F.struct(F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi")).alias("s")).scalar()
-    ratio = F.try_divide(F.col(VALUE) - F.col("s.lo"), F.col("s.hi") - F.col("s.lo"))
+    spans = base.facts.groupBy("company_id").agg(F.min(VALUE).alias("a"), F.max(VALUE).alias("b"))
+    known = spans.join(base.labels.select("company_id").distinct(), "company_id", "left_semi")
+    span = known.agg(F.struct(F.min("a").alias("lo"), F.max("b").alias("hi")).alias("s")).scalar()
+    ratio = F.try_divide(F.col(VALUE) - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo"))
     number = F.least(F.coalesce(F.floor(ratio * bins), F.lit(0)) + 1, F.lit(bins)).cast("int")
+    binned = base.where_facts(F.col(VALUE).isNotNull()).with_facts(_span=span).with_facts(bin=number)
+    return count_by(binned, by, "bin")
+
+
+def _fences(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    reach = (F.col("q3") - F.col("q1")) * 1.5
     return (
-        kept.withColumn("s", span).withColumn("bin", number).groupBy(by, "bin").agg(weighted_count(W).alias("readings"))
+        exact_percentiles(df, VALUE, QUARTILES, keys, weight)
+        .withColumn("fence_low", F.col("q1") - reach)
+        .withColumn("fence_high", F.col("q3") + reach)
     )
 
 
-def box_summary(base: DataFrame, *keys: str) -> DataFrame:
+def box_summary(base: Dashboard, *keys: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group."""
-    counts = value_counts(base, VALUE, keys, W)
-    fences = sized_broadcast(_fences(counts, keys))
+    rows = base.rows
+    fences = sized_broadcast(_fences(rows, keys, W))
     inside = F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return (
-        counts.join(fences, list(keys))
+        rows.where(F.col(VALUE).isNotNull())
+        .join(fences, list(keys))
         .groupBy(*keys)
         .agg(
             *[F.max(q).alias(q) for q in QUARTILES],
             F.min(F.when(inside, F.col(VALUE))).alias("whisker_low"),
             F.max(F.when(inside, F.col(VALUE))).alias("whisker_high"),
-            weighted_count("n", ~inside).alias("outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col(W))), F.lit(0)).cast("bigint").alias("outliers"),
         )
     )
 
 
-def _fences(df: DataFrame, keys: Sequence[str], weight: str = "n") -> DataFrame:
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    return (
-        exact_percentiles(df, VALUE, QUARTILES, keys, weight)
-        .withColumn("fence_low", F.col("q1") - reach)
-        .withColumn("fence_high", F.col("q3") + reach)
-    )
-
-
-def box_outliers(base: DataFrame, key: str = "pillar", domain: Sequence[str] = PILLARS) -> DataFrame:
+def box_outliers(base: Dashboard, key: str = "pillar", domain: Sequence[str] = PILLARS) -> DataFrame:
     """Rows beyond the whiskers of their group, for a key with a closed domain.
 
     The fences have one row per domain value, so they are broadcast and the facts stay in place.
     """
-    fences = sized_broadcast(
-        _fences(base, [key], W).where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high"), len(domain)
-    )
+    rows = base.rows
+    fences = _fences(rows, [key], W).where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
     out = ~F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
-    return base.join(fences, key).where(out).drop("fence_low", "fence_high")
+    return rows.join(sized_broadcast(fences, len(domain)), key).where(out).drop("fence_low", "fence_high")
 
 
-def top_sector_boxes(base: DataFrame, k: int = 15) -> DataFrame:
-    return box_summary(keep_most_frequent(base, "industry", k, W), "industry", "pillar")
+def top_sector_boxes(base: Dashboard, k: int = 15) -> DataFrame:
+    return box_summary(base.keep_top(k), "industry", "pillar")
 
 
-def top_sector_status(base: DataFrame, k: int = 10) -> DataFrame:
-    return count_by(keep_most_frequent(base, "industry", k, W), "industry", "status")
+def top_sector_status(base: Dashboard, k: int = 10) -> DataFrame:
+    return count_by(base.keep_top(k), "industry", "status")
 
 
-def eligible_sectors(base: DataFrame, least: int = 5) -> DataFrame:
+def eligible_sectors(base: Dashboard, least: int = 5) -> DataFrame:
     """Sectors with enough rows for a comparison, largest first."""
     return (
-        count_by(base, "industry")
-        .where(F.col("readings") >= least)
-        .orderBy(F.desc("readings"), F.asc("industry"))
+        count_by(base, "industry").where(F.col("readings") >= least).orderBy(F.desc("readings"), F.asc("industry"))
     )
 
 
-def pivot_means(base: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Mean of each value of ``column`` side by side, in one aggregation."""
-    return _keyed(base, keys).groupBy(*keys).agg(
-        *[exact_mean(VALUE, W, F.col(column) == v).alias(n) for v, n in zip(values, names)]
-    )
+def pivot_means(base: Dashboard, keys: Sequence[str], column: str, values: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Mean of each value of ``column`` side by side; the values are given, so no pass looks for them."""
+    cells = base.totals(*keys, column)
+    return cells.groupBy(*keys).agg(*[_mean(F.col(column) == v).alias(n) for v, n in zip(values, names)])
 
 
-def sector_metric_heat(base: DataFrame, k: int = 15) -> DataFrame:
+def sector_metric_heat(base: Dashboard, k: int = 15) -> DataFrame:
     """Top sectors by metric means; a missing combination is 0."""
     names = [m.lower().replace(" ", "_") for m in METRIC_NAMES]
-    top = keep_most_frequent(base, "industry", k, W)
-    return pivot_means(top, ["industry"], "metric_name", METRIC_NAMES, names).fillna(0.0, names)
+    return pivot_means(base.keep_top(k), ["industry"], "metric_name", METRIC_NAMES, names).fillna(0.0, names)
 
 
-def pillar_means(base: DataFrame, *keys: str) -> DataFrame:
+def pillar_means(base: Dashboard, *keys: str) -> DataFrame:
     """Means of the three pillars per key, complete rows only."""
     names = [p.lower() for p in PILLARS]
     return pivot_means(base, keys, "pillar", PILLARS, names).dropna(subset=names)
 
 
-def pillar_correlations(base: DataFrame, least: int = 3) -> DataFrame:
+def pillar_correlations(base: Dashboard, least: int = 3) -> DataFrame:
     """Pearson coefficient of each pair of pillars over companies; no rows below ``least`` companies."""
     wide = pillar_means(base, "trade_name")
     pairs = [(a, b) for i, a in enumerate(PILLARS) for b in PILLARS[i + 1 :]]
@@ -274,30 +257,25 @@ def pillar_correlations(base: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
-def correlation_matrix(base: DataFrame, least: int = 3) -> DataFrame:
+def correlation_matrix(base: Dashboard, least: int = 3) -> DataFrame:
     """The full symmetric matrix, one row per pillar."""
     wide = pillar_means(base, "trade_name")
     names = [p.lower() for p in PILLARS]
     one = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}_{b}") for a in names for b in names])
     rows = F.array(
-        *[
-            F.struct(F.lit(p).alias("pillar"), *[F.round(f"{p.lower()}_{b}", 3).alias(b) for b in names])
-            for p in PILLARS
-        ]
+        *[F.struct(F.lit(p).alias("pillar"), *[F.round(f"{p.lower()}_{b}", 3).alias(b) for b in names]) for p in PILLARS]
     )
     return one.where(F.col("n") >= least).select(F.explode(rows).alias("p")).select("p.*")
 
 
 def log_summary(log: DataFrame) -> DataFrame:
     """Transitions and distinct readings of the status log."""
-    spark = log.sparkSession
-    return spark.range(1).select(
+    changed = log.select("reading_id").where(F.col("reading_id").isNotNull()).distinct()
+    return log.sparkSession.range(1).select(
         log.agg(F.count(F.lit(1))).scalar().alias("transitions"),
-        log.select("reading_id").where(F.col("reading_id").isNotNull()).distinct().agg(F.count(F.lit(1))).scalar().alias("readings"),
+        changed.agg(F.count(F.lit(1))).scalar().alias("readings"),
     )
 
 
 def scatter_sample(overview: DataFrame, limit: int = 500) -> DataFrame:
     return overview.select("reading_id", "read_at", VALUE, "pillar").orderBy("reading_id").limit(limit)
-
-

@@ -4,29 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from ..session import checkpointed
 
 
-def most_frequent(df: DataFrame, value: str, k: int, weight: str | None = None) -> DataFrame:
-    """The k most frequent non-null values; equal counts are ordered by value."""
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(value)
-        .agg(n.cast("bigint").alias("n"))
-        .orderBy(F.desc("n"), F.asc(value))
-        .limit(k)
-    )
-
-
-def keep_most_frequent(df: DataFrame, value: str, k: int, weight: str | None = None) -> DataFrame:
-    """Rows whose value is among the k most frequent. The list has k rows, so it is broadcast."""
-    top = most_frequent(df, value, k, weight).select(value)
-    return df.join(F.broadcast(top), value, "left_semi")
-
-
 def newest_joined(
     rows: DataFrame,
     order: Sequence[Column],

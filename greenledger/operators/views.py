@@ -58,33 +58,6 @@ def audit_detail(audit: DataFrame, auditor: DataFrame, audit_reading: DataFrame,
     return linked.unionByName(bare.select(*columns[:5], *empty))
 
 
-def dashboard_base(
-    reading: DataFrame, company: DataFrame, metric: DataFrame, category: DataFrame, key: str = "trade_name"
-) -> DataFrame:
-    """Overview rows with the sector, rejoined by company name as the dashboards do.
-
-    Names are not unique: a reading meets every company of that name. Companies are therefore collapsed to
-    (name, sector, copies) first. A reading appears once per *distinct* sector of its company's name, and
-    ``copies`` says how many companies stand behind the row, so a name shared by very many companies does not
-    multiply the facts. ``key="company_id"`` takes the company's own sector instead. Sum ``copies`` to count.
-    """
-    own = company.select("company_id", "trade_name", "tax_id", "industry")
-    if key == "company_id":
-        labels = own.withColumn("copies", F.lit(1).cast("bigint"))
-    else:
-        sectors = company.groupBy("trade_name", "industry").agg(F.count(F.lit(1)).alias("copies"))
-        labels = own.drop("industry").join(sectors, "trade_name")
-    dims = metric_pillars(metric, category).select("metric_id", F.col("name").alias("metric_name"), "category", "pillar")
-    return (
-        reading.join(dims, "metric_id")
-        .join(labels, "company_id")
-        .select(
-            "reading_id", "read_at", "measured_value", "status", "trade_name", "tax_id", "metric_name", "category",
-            "pillar", "industry", "copies",
-        )
-    )
-
-
 # --- the eight questions ---------------------------------------------------------------------------------
 
 

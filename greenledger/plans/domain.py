@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import views
+from ..operators.dashboard import Dashboard, build_dashboard
 
 SOURCES = ("customer", "nation", "orders", "supplier")
 
@@ -140,9 +141,8 @@ class Domain:
         return views.audit_detail(self.audit, self.auditor, self.audit_reading, self.reading)
 
     @cached_property
-    def base(self) -> DataFrame:
-        """Dashboard base, collapsed with ``copies``."""
-        return views.dashboard_base(self.reading, self.company, self.metric, self.category)
+    def base(self) -> Dashboard:
+        return build_dashboard(self.reading, self.company, self.metric, self.category)
 
     @cached_property
     def base_rows(self) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dml, profile, views
+from ..operators import dml, views
+from ..operators.dashboard import build_dashboard
 from ..operators.ingest import model_tables
-from ..operators.topk import most_frequent
 from ..schema import TABLES
 from ..session import scratch_path
 from ..sources.scores import read_scores
@@ -206,13 +206,13 @@ def _(d: Domain):
 
 @query("j4_name_join_collapsed", "select reading_id, trade_name, pillar, measured_value, industry, count(*) copies from dashboard_base group by all")
 def _(d: Domain):
-    return d.base.select("reading_id", "trade_name", "pillar", "measured_value", "industry", "copies")
+    return d.base.rows.select("reading_id", "trade_name", "pillar", "measured_value", "industry", "copies")
 
 
 @query("j4_id_join", "select v.reading_id, v.trade_name, e.industry from reading_overview v join reading r using (reading_id) join company e on e.company_id=r.company_id")
 def _(d: Domain):
-    base = views.dashboard_base(d.reading, d.company, d.metric, d.category, key="company_id")
-    return base.select("reading_id", "trade_name", "industry")
+    base = build_dashboard(d.reading, d.company, d.metric, d.category, key="company_id")
+    return base.rows.select("reading_id", "trade_name", "industry")
 
 
 @query("j5_audits_by_auditor", "select a.name, count(aud.audit_id) audits from auditor a left join audit aud on aud.auditor_id=a.auditor_id group by a.name order by audits desc, a.name")
@@ -340,7 +340,7 @@ def _(d: Domain):
 
 @query("t3_most_frequent_sectors", "select industry, count(*) n from dashboard_base where industry is not null group by industry order by n desc, industry limit 15")
 def _(d: Domain):
-    return most_frequent(d.base, "industry", 15, profile.W)
+    return d.base.top(15)
 
 
 @query("t4_head_of_result", "select trade_name, count(*) readings from reading_overview where status='PENDING' group by trade_name order by readings desc, trade_name limit 25")

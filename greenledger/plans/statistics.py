@@ -28,8 +28,7 @@ and status in ('VALIDATED','PENDING')"""
 
 @query("f2_optional_filters", f"select pillar, status, count(*) readings from dashboard_base where {FILTERS} group by all")
 def _(d: Domain):
-    kept = profile.filter_base(
-        d.base,
+    kept = d.base.filter(
         industries=["BUILDING 1", "FURNITURE 2", "MACHINERY 0"],
         pillars=["SOCIAL", "GOVERNANCE"],
         statuses=["VALIDATED", "PENDING"],
@@ -39,13 +38,13 @@ def _(d: Domain):
 
 @query("f2_no_filter", "select pillar, count(*) readings from dashboard_base group by pillar")
 def _(d: Domain):
-    return profile.count_by(profile.filter_base(d.base), "pillar")
+    return profile.count_by(d.base.filter(), "pillar")
 
 
 @query("f3_date_range", "select status, count(*) readings from dashboard_base where cast(read_at as date) between date '1995-03-01' and date '1996-06-30' group by status")
 def _(d: Domain):
     return profile.count_by(
-        profile.filter_base(d.base, first_day=date(1995, 3, 1), last_day=date(1996, 6, 30)), "status"
+        d.base.filter(first_day=date(1995, 3, 1), last_day=date(1996, 6, 30)), "status"
     )
 
 
@@ -274,14 +273,13 @@ def _(d: Domain):
 
 @query("a31_empty_selection", "select count(*) readings, cast(null as double) validated_percent from dashboard_base where industry='NO SUCH SECTOR'")
 def _(d: Domain):
-    return profile.counted(profile.filter_base(d.base, industries=["NO SUCH SECTOR"]))
+    return profile.counted(d.base.filter(industries=["NO SUCH SECTOR"]))
 
 
 @query("a31_filtered_count", f"select count(*) readings, 100.0::double*count(*) filter (status='VALIDATED')/count(*) validated_percent from dashboard_base where {FILTERS}")
 def _(d: Domain):
     return profile.counted(
-        profile.filter_base(
-            d.base,
+        d.base.filter(
             industries=["BUILDING 1", "FURNITURE 2", "MACHINERY 0"],
             pillars=["SOCIAL", "GOVERNANCE"],
             statuses=["VALIDATED", "PENDING"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import TABLES
+from .sql import query
 
 # Fixed values.
 CATEGORIES = (
@@ -28,5 +29,11 @@ AUDITORS = (
 
 
 def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """Each as one VALUES relation, whose size the planner knows."""
     rows = {"category": CATEGORIES, "metric": METRICS, "auditor": AUDITORS}
-    return {name: spark.createDataFrame(list(r), TABLES[name].schema) for name, r in rows.items()}
+    out = {}
+    for name, values in rows.items():
+        columns = ", ".join(TABLES[name].schema.fieldNames())
+        marks = ", ".join("(" + ", ".join("?" * len(v)) + ")" for v in values)
+        out[name] = query(spark, f"select * from values {marks} as t({columns})", [x for v in values for x in v])
+    return out

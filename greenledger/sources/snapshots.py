@@ -69,8 +69,12 @@ class TableStore:
             paths[name] = [self._write(name, df, (cluster or {}).get(name))]
         for name, df in (append or {}).items():
             paths[name] = paths.get(name, []) + [self._write(name, df, (cluster or {}).get(name))]
-        manifest = self.spark.createDataFrame(list(paths.items()), "name string, paths array<string>")
-        manifest.coalesce(1).write.mode("errorifexists").json(f"{self.root}/commits/version={base + 1}")
+        rows = [
+            F.struct(F.lit(name).alias("name"), F.array(*[F.lit(p) for p in files]).alias("paths"))
+            for name, files in paths.items()
+        ]
+        manifest = self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+        manifest.write.mode("errorifexists").json(f"{self.root}/commits/version={base + 1}")
         return base + 1
 
     def _write(self, name: str, df: DataFrame, cluster: Sequence[str] | None) -> str:
