@@ -88,13 +88,13 @@ class Dashboard:
             .agg(
                 F.coalesce(F.sum(F.col("n") * F.col(W)), F.lit(0)).cast("bigint").alias("n"),
                 F.coalesce(F.sum(F.col("c") * F.col(W)), F.lit(0)).cast("bigint").alias("c"),
-                F.sum(F.col("s").cast("decimal(28,10)") * copies).alias("s"),
+                F.sum(F.col("s").cast("decimal(27,10)") * copies).alias("s"),
             )
         )
 
     def top(self, k: int, key: str = "industry") -> DataFrame:
         """The k most frequent values of a label; equal counts are ordered by value."""
-        return self.totals(key).select(key, "n").orderBy(F.desc("n"), F.asc(key)).limit(k)
+        return most_frequent(self.totals(key), k, key)
 
     def keep_top(self, k: int, key: str = "industry") -> Dashboard:
         """Only labels among the k most frequent. The list has k rows, so it is broadcast to the labels."""
@@ -102,6 +102,16 @@ class Dashboard:
         return replace(self, labels=self.labels.join(F.broadcast(top), key, "left_semi"))
 
 
+def most_frequent(totals: DataFrame, k: int, key: str = "industry") -> DataFrame:
+    """The k values of ``key`` with the largest sum of n."""
+    return totals.groupBy(key).agg(F.sum("n").cast("bigint").alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(k)
+
+
+def keep_most_frequent(totals: DataFrame, k: int, key: str = "industry") -> DataFrame:
+    """Totals of the k most frequent values, found from the totals themselves without another look at the facts."""
+    return totals.join(F.broadcast(most_frequent(totals, k, key).select(key)), key, "left_semi")
+
+
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
         df = df.where(F.col(k).isNotNull())

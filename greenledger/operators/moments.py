@@ -26,7 +26,7 @@ def weighted_moments(df: DataFrame, value: str, weight: str, keys: Sequence[str]
         F.coalesce(F.kurtosis(value), F.lit(-3.0)).alias("g2"),
     )
     group = Window.partitionBy(*keys)
-    whole = F.col("s") * F.col(weight).cast("decimal(10,0)")
+    whole = F.col("s").cast("decimal(27,10)") * F.col(weight).cast("decimal(10,0)")
     d, v2 = F.col("d"), F.col("v2")
     p2, p3, p4 = (lambda c: c * c), (lambda c: c * c * c), (lambda c: c * c * c * c)
     m3, m4 = F.col("g1") * F.sqrt(v2) * v2, (F.col("g2") + 3) * v2 * v2

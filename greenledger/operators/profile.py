@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, impact_class, month_of, one_place
 from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
-from .dashboard import VALUE, W, Dashboard
+from .dashboard import VALUE, W, Dashboard, keep_most_frequent
 from .moments import weighted_moments
 from .ordering import exact_percentiles, value_counts
 from .rows import side_by_side, sized_broadcast
@@ -214,7 +214,8 @@ def top_sector_boxes(base: Dashboard, k: int = 15) -> DataFrame:
 
 
 def top_sector_status(base: Dashboard, k: int = 10) -> DataFrame:
-    return count_by(base.keep_top(k), "industry", "status")
+    counts = keep_most_frequent(base.totals("industry", "status"), k)
+    return counts.select("industry", "status", F.col("n").alias("readings"))
 
 
 def eligible_sectors(base: Dashboard, least: int = 5) -> DataFrame:
@@ -226,14 +227,20 @@ def eligible_sectors(base: Dashboard, least: int = 5) -> DataFrame:
 
 def pivot_means(base: Dashboard, keys: Sequence[str], column: str, values: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Mean of each value of ``column`` side by side; the values are given, so no pass looks for them."""
-    cells = base.totals(*keys, column)
-    return cells.groupBy(*keys).agg(*[_mean(F.col(column) == v).alias(n) for v, n in zip(values, names)])
+    return _pivoted(base.totals(*keys, column), keys, column, values, names)
+
+
+def _pivoted(
+    totals: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    return totals.groupBy(*keys).agg(*[_mean(F.col(column) == v).alias(n) for v, n in zip(values, names)])
 
 
 def sector_metric_heat(base: Dashboard, k: int = 15) -> DataFrame:
     """Top sectors by metric means; a missing combination is 0."""
     names = [m.lower().replace(" ", "_") for m in METRIC_NAMES]
-    return pivot_means(base.keep_top(k), ["industry"], "metric_name", METRIC_NAMES, names).fillna(0.0, names)
+    cells = keep_most_frequent(base.totals("industry", "metric_name"), k)
+    return _pivoted(cells, ["industry"], "metric_name", METRIC_NAMES, names).fillna(0.0, names)
 
 
 def pillar_means(base: Dashboard, *keys: str) -> DataFrame:

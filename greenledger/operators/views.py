@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_mean, exact_sum
+from ..functions.columns import exact_sum
 from .topk import newest_joined
 
 NEWEST = (F.desc, "read_at"), (F.asc, "reading_id")
@@ -169,8 +169,10 @@ def audited_metrics(
 
 def above_average_companies(reading: DataFrame, company: DataFrame, limit: int | None = 25) -> DataFrame:
     """Companies whose mean value is above the mean of all readings."""
-    overall = reading.agg(exact_mean("measured_value"))
-    means = reading.groupBy("company_id").agg(exact_mean("measured_value").alias("mean_value"))
+    sums = reading.groupBy("company_id").agg(exact_sum("measured_value").alias("s"), F.count("measured_value").alias("c"))
+    # The overall mean comes from the sums per company, so the readings are scanned once.
+    overall = sums.agg(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")))
+    means = sums.withColumn("mean_value", F.try_divide(F.col("s").cast("double"), F.col("c").cast("double")))
     out = (
         means.where(F.col("mean_value") > overall.scalar())
         .join(company.select("company_id", "trade_name"), "company_id")

@@ -153,11 +153,9 @@ def _(d: Domain):
 
 @query("d9_committed_versions", "select 1 version, count(*) filter (status='REJECTED') rejected, 0::bigint logged from reading union all select 2, count(*) filter (status='REJECTED' and measured_value<=5000), count(*) filter (status='REJECTED' and measured_value>5000) from reading")
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"))
+    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
     store.commit(replace={"reading": d.reading})
-    change = dml.reopen_rejected(store.read("reading"))
-    log = dml.log_rows(store.read("status_log"), change.transitions, NOW)
-    store.commit(replace={"reading": change.snapshot}, append={"status_log": log})
+    store.apply("reading", dml.reopen_rejected, NOW)
     out = None
     for version in (1, 2):
         rejected = store.read("reading", version).where("status = 'REJECTED'").agg(F.count(F.lit(1)))

@@ -54,10 +54,10 @@ def _(d: Domain):
 
 @query("s4_append_to_table", "select reading_id, measured_value, status from reading")
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"))
+    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
     early = F.year("read_at") < 1996
-    store.commit(replace={"reading": d.reading.where(early)}, cluster={"reading": ["read_at"]})
-    store.commit(append={"reading": d.reading.where(~early)}, cluster={"reading": ["read_at"]})
+    store.commit(replace={"reading": d.reading.where(early)})
+    store.commit(append={"reading": d.reading.where(~early)})
     return store.read("reading").select("reading_id", "measured_value", "status")
 
 
@@ -81,7 +81,7 @@ union all select 'audit', cast(ceil(count(distinct ticker)/6.0) as bigint) from
 union all select 'audit_reading', 2*cast(ceil(count(distinct ticker)/6.0) as bigint) from raw_scores""",
 )
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"))
+    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
     store.commit(replace=seed_tables(d.spark))
     store.commit(replace=model_tables(d.raw_scores, d.auditor))
     out = None

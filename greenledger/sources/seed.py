@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import TABLES
-from .sql import query
 
 # Fixed values.
 CATEGORIES = (
@@ -29,11 +28,10 @@ AUDITORS = (
 
 
 def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """Each as one VALUES relation, whose size the planner knows."""
-    rows = {"category": CATEGORIES, "metric": METRICS, "auditor": AUDITORS}
+    """Each as one expression over literals, so no Python worker is needed to make them."""
     out = {}
-    for name, values in rows.items():
-        columns = ", ".join(TABLES[name].schema.fieldNames())
-        marks = ", ".join("(" + ", ".join("?" * len(v)) + ")" for v in values)
-        out[name] = query(spark, f"select * from values {marks} as t({columns})", [x for v in values for x in v])
+    for name, rows in {"category": CATEGORIES, "metric": METRICS, "auditor": AUDITORS}.items():
+        fields = TABLES[name].schema.fields
+        literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, r)]) for r in rows]
+        out[name] = spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
     return out

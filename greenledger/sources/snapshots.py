@@ -3,25 +3,41 @@
 A version is visible only once its manifest is there. A failed or abandoned write leaves files no manifest
 names, and readers of older versions are never disturbed. Two writers that start from the same version
 collide on the manifest folder, so one of them fails instead of overwriting the other.
+
+Large tables are kept in parts (readings by month). A statement rewrites the parts it touches and carries the
+others over by name, so a small update does not copy the whole table.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.dml import Change, log_rows
 from ..schema import TABLES
 
-_MANIFEST = "name string, paths array<string>, version int"
+WHOLE = "all"
+_MANIFEST = "name string, part string, path string, version int"
+
+Paths = dict[str, dict[str, list[str]]]
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """``span`` is the length of a part of the readings as a date pattern, a month unless told otherwise."""
+
+    def __init__(self, spark: SparkSession, root: str, span: str = "yyyy-MM"):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.span = span
+
+    def _part_of(self, name: str) -> Column | None:
+        """The part a row belongs to, for tables kept in parts."""
+        return F.coalesce(F.date_format("read_at", self.span), F.lit("none")) if name == "reading" else None
+
+    # --- versions ----------------------------------------------------------------------------------------
 
     def _manifests(self) -> DataFrame | None:
         try:
@@ -36,52 +52,92 @@ class TableStore:
         manifests = self._manifests()
         return 0 if manifests is None else manifests.agg(F.max("version")).first()[0] or 0
 
-    def paths(self, version: int | None = None) -> dict[str, list[str]]:
+    def paths(self, version: int | None = None) -> Paths:
+        """Folders of each table and part; one entry per part and append, never per row or file."""
         version = self.version() if version is None else version
-        if version == 0:
-            return {}
-        # One row per table of the model.
-        rows = self._manifests().where(F.col("version") == version).select("name", "paths").collect()
-        return {r.name: list(r.paths) for r in rows}
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        found = self.paths(version).get(name)
+        out: Paths = {}
+        if version:
+            for r in self._manifests().where(F.col("version") == version).select("name", "part", "path").collect():
+                out.setdefault(r.name, {}).setdefault(r.part, []).append(r.path)
+        return out
+
+    def _publish(self, version: int, paths: Paths) -> int:
+        rows = [
+            F.struct(F.lit(name).alias("name"), F.lit(part).alias("part"), F.lit(path).alias("path"))
+            for name, parts in paths.items()
+            for part, folders in parts.items()
+            for path in folders
+        ]
+        manifest = self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+        manifest.write.mode("errorifexists").json(f"{self.root}/commits/version={version}")
+        return version
+
+    # --- reading and writing -----------------------------------------------------------------------------
+
+    def read(self, name: str, version: int | None = None, parts: list[str] | None = None) -> DataFrame:
+        """A table as of a version; ``parts`` limits the files that are opened."""
+        found = self.paths(version).get(name, {})
+        folders = [p for part, ps in found.items() if parts is None or part in parts for p in ps]
         schema = TABLES[name].schema
-        if not found:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*found)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def _write(self, name: str, df: DataFrame) -> dict[str, list[str]]:
+        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+        table, part = TABLES[name], self._part_of(name)
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+        if part is None:
+            df.write.mode("errorifexists").parquet(path)
+            return {WHOLE: [path]}
+        # Ranges of time and key: a task meets few parts, and a month with very many rows spans several tasks.
+        order = ["read_at", *table.primary_key]
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", part)
+        ranged.write.mode("errorifexists").partitionBy("part").parquet(path)
+        written = self.spark.read.schema("part string").parquet(path).distinct().collect()
+        return {r.part: [f"{path}/part={r.part}"] for r in written}
 
     def commit(
         self,
         replace: Mapping[str, DataFrame] | None = None,
         append: Mapping[str, DataFrame] | None = None,
-        cluster: Mapping[str, Sequence[str]] | None = None,
         base: int | None = None,
     ) -> int:
         """Write tables and publish them together as the next version.
 
         ``replace`` gives whole new contents, ``append`` adds files to the old ones without touching them.
-        ``cluster`` names columns to range-sort a table by, which lets scans skip files and row groups.
         """
         base = self.version() if base is None else base
         paths = self.paths(base)
         for name, df in (replace or {}).items():
-            paths[name] = [self._write(name, df, (cluster or {}).get(name))]
+            paths[name] = self._write(name, df)
         for name, df in (append or {}).items():
-            paths[name] = paths.get(name, []) + [self._write(name, df, (cluster or {}).get(name))]
-        rows = [
-            F.struct(F.lit(name).alias("name"), F.array(*[F.lit(p) for p in files]).alias("paths"))
-            for name, files in paths.items()
-        ]
-        manifest = self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
-        manifest.write.mode("errorifexists").json(f"{self.root}/commits/version={base + 1}")
-        return base + 1
+            _extend(paths.setdefault(name, {}), self._write(name, df))
+        return self._publish(base + 1, paths)
 
-    def _write(self, name: str, df: DataFrame, cluster: Sequence[str] | None) -> str:
-        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-        schema = TABLES[name].schema
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        if cluster:
-            df = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
-        df.write.mode("errorifexists").parquet(path)
-        return path
+    def apply(self, name: str, statement: Callable[[DataFrame], Change], changed_at: str) -> tuple[int, int]:
+        """Run a statement on a table, log its status changes in the same commit, return (version, affected).
+
+        The statement runs twice: once to find the parts it touches, once over those parts alone.
+        """
+        base = self.version()
+        paths = self.paths(base)
+        part = self._part_of(name)
+        touched = statement(self.read(name, base)).touched
+        counts = touched.groupBy((F.lit(WHOLE) if part is None else part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        hit = {r.part: r.n for r in counts.collect()}
+        if not hit:
+            return base, 0
+        change = statement(self.read(name, base, list(hit)))
+        for gone in hit:
+            paths[name].pop(gone, None)
+        _extend(paths[name], self._write(name, change.snapshot))
+        if change.transitions is not None:
+            log = log_rows(self.read("status_log", base), change.transitions, changed_at)
+            _extend(paths.setdefault("status_log", {}), self._write("status_log", log))
+        return self._publish(base + 1, paths), sum(hit.values())
+
+
+def _extend(parts: dict[str, list[str]], new: dict[str, list[str]]) -> None:
+    for part, folders in new.items():
+        parts.setdefault(part, []).extend(folders)
