@@ -1,8 +1,8 @@
 """Positions in a total order without ever sorting one whole group in one task.
 
-Every function here cuts the order into buckets first. The cut points are keys of a hash sample of fixed
-size, so a bucket holds about 1/1024 of the rows whatever the distribution, and the bucket of a row depends
-on its key alone: results do not change with the partitioning or with a re-run of a lost task.
+Rows are range-partitioned along the order, so a bucket (the partition number) holds about its share of the rows
+whatever the distribution, and a large group spans many buckets. The numbered rows are materialised before the
+number is used twice; after that a result does not depend on the partitioning or on a task that ran again.
 """
 
 from __future__ import annotations
@@ -14,34 +14,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import checkpointed
 from .rows import sized_broadcast
 
-_WAYS = 32  # cut points are looked up in two steps of 32, which makes 1024 buckets
 
-
-def with_bucket(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> DataFrame:
-    """Add a bucket number that never falls along ``order``."""
-    key = F.struct(*order)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(_WAYS * _WAYS - 1)
-    cuts = sample.agg(F.sort_array(F.collect_list("k")).alias("fine")).select(
-        F.struct(
-            "fine",
-            F.expr(f"filter(fine, (k, i) -> (i + 1) % {_WAYS} = 0)").alias("coarse"),
-        ).alias("cuts")
-    )
-
-    def below(cut_points: Column) -> Column:
-        # Never NULL, so that no filter with a second look-up is derived from a join on the bucket.
-        return F.coalesce(F.size(F.filter(cut_points, lambda cut: cut < key)), F.lit(0))
-
-    return (
-        df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_step", below(F.col("_cuts.coarse")))
-        .withColumn(name, F.col("_step") * _WAYS + below(F.slice("_cuts.fine", F.col("_step") * _WAYS + 1, _WAYS)))
-        .drop("_cuts", "_step")
-    )
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with a ``_bucket`` that never falls along ``order``, on reliable storage."""
+    # A fixed number, since AQE would merge partitions and with them the buckets.
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()))
 
 
 def _cells(marked: DataFrame, groups: Sequence[str], weight: str) -> DataFrame:
-    """Weight of each (group, bucket) and the weight before it: at most 1024 rows per group."""
+    """Weight of each (group, bucket) and the weight before it: at most one row per bucket and group."""
     ordered = Window.partitionBy(*groups).orderBy("_bucket")
     return (
         marked.groupBy(*groups, "_bucket")
@@ -62,11 +44,10 @@ def running_total(
     """Add the weight of all rows that come earlier in ``order`` within the same group.
 
     ``order`` must be unique within a group and the group columns must not be NULL. ``total`` also adds the
-    weight of the whole group. The rows are read three times (sample, cell weights, positions), so they are
-    materialised first.
+    weight of the whole group.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    marked = with_bucket(checkpointed(df.withColumn("_w", weight)), order)
+    marked = ranged(df.withColumn("_w", weight), [*groups, *order])
     cells = _cells(marked, groups, "_w").drop("_cell")
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = marked.join(cells, [*groups, "_bucket"]).withColumn(
@@ -105,7 +86,7 @@ def exact_percentiles(
     counted, the counts of the buckets tell which few hold the wanted ranks, and only those are sorted.
     """
     groups = list(groups)
-    counts = with_bucket(checkpointed(value_counts(df, value, groups, weight)), [value])
+    counts = ranged(value_counts(df, value, groups, weight), [*groups, value])
     cells = _cells(counts, groups, "n")
 
     def position(p: float) -> Column:

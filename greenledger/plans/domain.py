@@ -150,3 +150,14 @@ class Domain:
         names = self.company.select(F.col("trade_name").alias("_name"), "industry")
         v = self.reading_overview
         return v.join(names, F.col("trade_name") == F.col("_name")).drop("_name")
+
+
+_DOMAINS: dict[tuple[str, int, str], Domain] = {}
+
+
+def domain_of(spark: SparkSession, sf_dir: str) -> Domain:
+    """One Domain per session and folder: the plans are kept (never data), so files are listed once."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, sf_dir)
+    return _DOMAINS[key]

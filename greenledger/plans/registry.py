@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .domain import Domain, with_domain
+from .domain import Domain, domain_of, with_domain
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None, ctes: str = "") -> Callable:
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(run: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: run(Domain(spark, sf_dir))
+        return lambda spark, sf_dir: run(domain_of(spark, sf_dir))
 
     return {name: bind(e.run) for name, e in ENTRIES.items()}
 
