@@ -9,6 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import exact_sum
+from ..session import checkpointed
 from .views import metric_pillars
 
 VALUE = "measured_value"
@@ -97,8 +98,8 @@ class Dashboard:
         return most_frequent(self.totals(key), k, key)
 
     def keep_top(self, k: int, key: str = "industry") -> Dashboard:
-        """Only labels among the k most frequent. The list has k rows, so it is broadcast to the labels."""
-        top = self.top(k, key).select(key)
+        """Only labels among the k most frequent. The list has k rows: it is made once and broadcast to the labels."""
+        top = checkpointed(self.top(k, key).select(key))
         return replace(self, labels=self.labels.join(F.broadcast(top), key, "left_semi"))
 
 

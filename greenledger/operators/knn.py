@@ -61,7 +61,7 @@ def _nearest(queries: np.ndarray, q_group, points: np.ndarray, p_group, p_key: n
     """Yield, chunk by chunk, the k nearest points of each query by (squared distance, key)."""
     order = np.argsort(p_key, kind="stable")
     points, p_group = points[order], None if p_group is None else p_group[order]
-    step = max(1, _PAIR_BUDGET // max(1, len(points)))
+    step, few = max(1, _PAIR_BUDGET // max(1, len(points))), min(k, len(points))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
         d2 = np.zeros((len(q), len(points)))
@@ -70,12 +70,14 @@ def _nearest(queries: np.ndarray, q_group, points: np.ndarray, p_group, p_key: n
             d2 += gap * gap
         if p_group is not None:
             d2[q_group[at : at + step][:, None] == p_group] = np.inf
-        # Stable order keeps the key order among equal distances.
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        near = d2[rows, best.ravel()]
-        kept = np.isfinite(near)
-        yield at + rows[kept], order[best.ravel()[kept]], near[kept]
+        # Everything up to the k-th distance, ties included; columns are in key order already.
+        limit = np.partition(d2, few - 1, axis=1)[:, few - 1]
+        row, col = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+        near = d2[row, col]
+        best = np.lexsort((col, near, row))
+        row, col, near = row[best], col[best], near[best]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield at + row[kept], order[col[kept]], near[kept]
 
 
 def nearest_neighbours(
@@ -86,7 +88,7 @@ def nearest_neighbours(
     k: int = 7,
     target: str = "total",
     apart: str | None = None,
-    box_rows: int = 20_000,
+    box_rows: int = 4_096,
     query_rows: int = 20_000,
 ) -> DataFrame:
     """The k nearest training rows per query row: query_key, neighbour_key, target, d2.
@@ -97,18 +99,17 @@ def nearest_neighbours(
     d = len(features)
     t = train.select(F.col(key).cast("bigint").alias("key"), *[F.col(f).cast("double") for f in features],
                      F.col(target).cast("double").alias("y"), *[F.col(a).alias("grp") for a in extra])
+    n = train.count()
+    depth = max(0, min(14, int(np.ceil(np.log2(max(1, n / box_rows))))))
+    taken = t.orderBy(F.xxhash64("key")).limit(16 << depth).select(*features).collect() if depth else []
+    boxes = cut_boxes(np.array([tuple(r) for r in taken], dtype=float).reshape(-1, d), depth)
+
     # Of training rows at the same point only the k smallest keys can ever be chosen.
     same = Window.partitionBy(*features, *(["grp"] if extra else [])).orderBy("key")
     t = t.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
     q = query.select(F.col(key).cast("bigint").alias("key"), *[F.col(f).cast("double") for f in features],
                      *[F.col(a).alias("grp") for a in extra])
 
-    t = checkpointed(t)
-    n = t.count()
-    depth = max(0, min(14, int(np.ceil(np.log2(max(1, n / box_rows))))))
-    taken = t.select("key", *features).orderBy(F.xxhash64("key")).limit(16 << depth).select(*features).collect()
-    boxes = cut_boxes(np.array([tuple(r) for r in taken], dtype=float).reshape(-1, d), depth)
-
     @F.pandas_udf("int")
     def box_of(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for c in columns:
@@ -143,9 +144,9 @@ def nearest_neighbours(
 
         return left.groupBy("box", "part").cogroup(right.groupBy("box", "part")).applyInPandas(local, found)
 
-    first = checkpointed(match(q))
     if depth == 0:
-        return first
+        return match(q)
+    first = checkpointed(match(q))
     reach = first.groupBy("query_key").agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("r2"))
     open_q = q.join(reach, F.col("key") == F.col("query_key"), "left").select(
         *q.columns, F.when(F.col("c") >= k, F.col("r2")).otherwise(F.lit(float("inf"))).alias("r2")

@@ -73,6 +73,11 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight:
     return kept.groupBy(*groups, value).agg(n.cast("bigint").alias("n"))
 
 
+def ranged_counts(df: DataFrame, value: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Value counts in buckets along (groups, value), on reliable storage."""
+    return ranged(value_counts(df, value, groups, weight), [*groups, value])
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -85,8 +90,12 @@ def exact_percentiles(
     The built-in exact percentile holds all values of a group in one buffer. Here the distinct values are
     counted, the counts of the buckets tell which few hold the wanted ranks, and only those are sorted.
     """
+    return count_percentiles(ranged_counts(df, value, groups, weight), value, probs, groups)
+
+
+def count_percentiles(counts: DataFrame, value: str, probs: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """Percentiles of ``ranged_counts``, for callers that need the counts as well."""
     groups = list(groups)
-    counts = ranged(value_counts(df, value, groups, weight), [*groups, value])
     cells = _cells(counts, groups, "n")
 
     def position(p: float) -> Column:

@@ -11,7 +11,7 @@ from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
 from .dashboard import VALUE, W, Dashboard, keep_most_frequent
 from .moments import weighted_moments
-from .ordering import exact_percentiles, value_counts
+from .ordering import count_percentiles, exact_percentiles, ranged_counts, value_counts
 from .rows import side_by_side, sized_broadcast
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -171,29 +171,28 @@ def histogram(base: Dashboard, bins: int = 30, by: str = "pillar") -> DataFrame:
     return count_by(binned, by, "bin")
 
 
-def _fences(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     return (
-        exact_percentiles(df, VALUE, QUARTILES, keys, weight)
+        count_percentiles(counts, VALUE, QUARTILES, keys)
         .withColumn("fence_low", F.col("q1") - reach)
         .withColumn("fence_high", F.col("q3") + reach)
     )
 
 
 def box_summary(base: Dashboard, *keys: str) -> DataFrame:
-    """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group."""
-    rows = base.rows
-    fences = sized_broadcast(_fences(rows, keys, W))
+    """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group, all from value counts."""
+    counts = ranged_counts(base.rows, VALUE, keys, W)
+    fences = sized_broadcast(_fences(counts, keys))
     inside = F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return (
-        rows.where(F.col(VALUE).isNotNull())
-        .join(fences, list(keys))
+        counts.join(fences, list(keys))
         .groupBy(*keys)
         .agg(
             *[F.max(q).alias(q) for q in QUARTILES],
             F.min(F.when(inside, F.col(VALUE))).alias("whisker_low"),
             F.max(F.when(inside, F.col(VALUE))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col(W))), F.lit(0)).cast("bigint").alias("outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("bigint").alias("outliers"),
         )
     )
 
@@ -204,7 +203,8 @@ def box_outliers(base: Dashboard, key: str = "pillar", domain: Sequence[str] = P
     The fences have one row per domain value, so they are broadcast and the facts stay in place.
     """
     rows = base.rows
-    fences = _fences(rows, [key], W).where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
+    fences = _fences(ranged_counts(rows, VALUE, [key], W), [key])
+    fences = fences.where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
     out = ~F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return rows.join(sized_broadcast(fences, len(domain)), key).where(out).drop("fence_low", "fence_high")
 
