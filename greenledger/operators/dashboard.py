@@ -27,7 +27,7 @@ class Dashboard:
 
     Counts and means are combined per company before the join (``totals``), so what is shuffled is one row per
     company and key, and a company with very many readings is one row like any other. Only statistics that
-    need the single values join all facts (``rows``).
+    need the single values join all facts (``values``). ``rows`` is the base with all its columns.
     """
 
     facts: DataFrame
@@ -37,6 +37,16 @@ class Dashboard:
     def rows(self) -> DataFrame:
         return self.facts.join(self.labels, "company_id")
 
+    def _labels_by(self, *keys: str) -> DataFrame:
+        """Labels with only the keys asked for. Those that agree on them are merged: a statistic that does not
+        ask for the sector meets one label per company, however many sectors stand behind its name."""
+        wanted = [k for k in keys if k in self.labels.columns]
+        return _keyed(self.labels, wanted).groupBy("company_id", *wanted).agg(F.sum(W).cast("bigint").alias(W))
+
+    def values(self, *keys: str) -> DataFrame:
+        """Single facts with the label keys asked for, weighted by ``copies``."""
+        return self.facts.join(self._labels_by(*keys), "company_id")
+
     def with_facts(self, **columns: Column) -> Dashboard:
         return replace(self, facts=self.facts.withColumns(columns))
 
@@ -81,10 +91,9 @@ class Dashboard:
         part = _keyed(self.facts, fact_keys).groupBy("company_id", *fact_keys).agg(
             F.count(F.lit(1)).alias("n"), F.count(VALUE).alias("c"), exact_sum(VALUE).alias("s")
         )
-        labels = _keyed(self.labels, [k for k in keys if k not in fact_keys])
         copies = F.col(W).cast("decimal(10,0)")
         return (
-            part.join(labels, "company_id")
+            part.join(self._labels_by(*keys), "company_id")
             .groupBy(*keys)
             .agg(
                 F.coalesce(F.sum(F.col("n") * F.col(W)), F.lit(0)).cast("bigint").alias("n"),

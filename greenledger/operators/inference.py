@@ -18,7 +18,7 @@ LEAST = 3
 
 def two_groups(base: Dashboard, a: str, b: str) -> DataFrame:
     """Non-null values of two sectors, marked ``a`` and ``b``; the three tests read them, so they are materialised."""
-    rows = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull()).rows
+    rows = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull()).values("industry")
     return checkpointed(rows.select(F.when(F.col("industry") == a, "a").otherwise("b").alias("side"), VALUE, W))
 
 

@@ -86,7 +86,7 @@ def distinct_counts(base: Dashboard, approximate: float | None = None) -> DataFr
 
 def moments(base: Dashboard, *keys: str) -> DataFrame:
     """n, mean, sample variance and sd, biased skewness and excess kurtosis."""
-    return weighted_moments(base.rows, VALUE, W, keys).select(
+    return weighted_moments(base.values(*keys), VALUE, W, keys).select(
         *keys, F.col("n").alias("readings"), F.col("mean").alias("mean_value"), "variance", "sd", "skewness", "kurtosis"
     )
 
@@ -112,7 +112,7 @@ def mean_interval(base: Dashboard, *keys: str, level: float = 0.95) -> DataFrame
 
 
 def medians(base: Dashboard, *keys: str) -> DataFrame:
-    return exact_percentiles(base.rows, VALUE, {"median": 0.5}, keys, W)
+    return exact_percentiles(base.values(*keys), VALUE, {"median": 0.5}, keys, W)
 
 
 def approximate_medians(base: Dashboard, *keys: str, accuracy: int = 10_000) -> DataFrame:
@@ -125,7 +125,7 @@ def approximate_medians(base: Dashboard, *keys: str, accuracy: int = 10_000) ->
 
 def mode(base: Dashboard) -> DataFrame:
     """Most frequent value at one decimal place; ties go to the smallest."""
-    counts = value_counts(base.with_facts(mode_value=one_place(VALUE)).rows, "mode_value", weight=W)
+    counts = value_counts(base.with_facts(mode_value=one_place(VALUE)).values(), "mode_value", weight=W)
     return counts.orderBy(F.desc("n"), F.asc("mode_value")).limit(1)
 
 
@@ -182,7 +182,7 @@ def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def box_summary(base: Dashboard, *keys: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group, all from value counts."""
-    counts = ranged_counts(base.rows, VALUE, keys, W)
+    counts = ranged_counts(base.values(*keys), VALUE, keys, W)
     fences = sized_broadcast(_fences(counts, keys))
     inside = F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return (
@@ -203,7 +203,7 @@ def box_outliers(base: Dashboard, key: str = "pillar", domain: Sequence[str] = P
     The fences have one row per domain value, so they are broadcast and the facts stay in place.
     """
     rows = base.rows
-    fences = _fences(ranged_counts(rows, VALUE, [key], W), [key])
+    fences = _fences(ranged_counts(base.values(key), VALUE, [key], W), [key])
     fences = fences.where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
     out = ~F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return rows.join(sized_broadcast(fences, len(domain)), key).where(out).drop("fence_low", "fence_high")

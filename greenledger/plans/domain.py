@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import views
 from ..operators.dashboard import Dashboard, build_dashboard
+from ..session import apply_settings
 
 SOURCES = ("customer", "nation", "orders", "supplier")
 
@@ -159,5 +160,5 @@ def domain_of(spark: SparkSession, sf_dir: str) -> Domain:
     """One Domain per session and folder: the plans are kept (never data), so files are listed once."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, sf_dir)
+        _DOMAINS[key] = Domain(apply_settings(spark), sf_dir)
     return _DOMAINS[key]

@@ -34,7 +34,7 @@ def _(d: Domain):
 
 
 # The statuses of a company's readings in time order stand for the history of one reading.
-HISTORY = """history as (select company_id reading_id, row_number() over (partition by company_id order by read_at, reading_id) seq,
+HISTORY = """history as (select company_id reading_id, cast(row_number() over (partition by company_id order by read_at, reading_id) as bigint) seq,
 status from reading)"""
 CHANGES = """select reading_id, seq, old_status, status new_status from (select *, lag(status) over (partition by reading_id
 order by seq) old_status from history) where old_status<>status"""

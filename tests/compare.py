@@ -40,25 +40,23 @@ def plain(v):
     return "\0" if v is None else str(v)
 
 
-def kind(v):
-    """Broad type of a value, so that 1 and 1.0 count as different."""
-    return type(v).__name__
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
-def table(columns, rows):
+def table(columns, kinds, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    kinds = [next((kind(r[i]) for r in rows if r[i] is not None), None) for i in order]
-    return [columns[i] for i in order], kinds, sorted(tuple(plain(r[i]) for i in order) for r in rows)
+    return [columns[i] for i in order], [kinds[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
 def run_spark(fn, spark, sf_dir):
     df = fn(spark, sf_dir)
-    return table(df.columns, [tuple(r) for r in df.collect()])
+    return table(df.columns, [KINDS.get(k, k) for _, k in df.dtypes], [tuple(r) for r in df.collect()])
 
 
 def run_sql(con, text):
     cur = con.execute(text)
-    return table([c[0] for c in cur.description], cur.fetchall())
+    return table([c[0] for c in cur.description], [str(c[1]) for c in cur.description], cur.fetchall())
 
 
 def difference(ours, theirs) -> str | None:
@@ -67,7 +65,7 @@ def difference(ours, theirs) -> str | None:
     if len(ours[2]) != len(theirs[2]):
         return f"rows {len(ours[2])} vs {len(theirs[2])}"
     if ours[1] != theirs[1]:
-        return f"types {list(zip(ours[0], ours[1], theirs[1]))}"
+        return f"types {[t for t in zip(ours[0], ours[1], theirs[1]) if t[1] != t[2]]}"
     bad = [(a, b) for a, b in zip(ours[2], theirs[2]) if a != b]
     return f"{len(bad)} rows differ, first {bad[0]}" if bad else None
 
@@ -79,6 +77,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else SF
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+                                                    "spark.ui.showConsoleProgress": "false",
                                                     "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, sql, failed = connect(sf_dir), contract.queries(), contract.oracle_sql(), 0
