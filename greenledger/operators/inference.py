@@ -9,7 +9,7 @@ from ..functions.numerics import f_upper_udf, rank_test_p_udf, t_two_sided_udf
 from ..session import checkpointed
 from .dashboard import VALUE, W, Dashboard
 from .moments import weighted_moments
-from .ordering import exact_percentiles, running_total, value_counts
+from .ordering import exact_percentiles, running_total
 from .rows import side_by_side
 
 ALPHA = 0.05
