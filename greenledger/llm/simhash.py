@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..operators.rows import sized_broadcast
 from .common import materialised
 from .components import connected
 
@@ -83,13 +84,21 @@ def variant_keys(fingerprint: Column, max_bits: int = MAX_BITS) -> Column:
 def find_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``a``, ``b``: links that connect what is within ``max_bits`` bits; ``prints`` has distinct ``fingerprint``."""
     keyed = prints.select("fingerprint", F.explode(variant_keys(F.col("fingerprint"), max_bits)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block)
+    frequent = (
+        keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+        .select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    )
+    # The list of frequent keys is counted; it is sent to the rows only while it is short.
+    members = keyed.join(sized_broadcast(frequent), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
     members = (
-        keyed.join(shared, "key")
-        .withColumn("own", F.pmod(F.xxhash64("fingerprint"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fingerprint")
+        members.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "key",
+            F.shiftleft(F.least("own", "other"), 31).bitwiseOR(F.greatest("own", "other")).alias("pair"),
+            "fingerprint",
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +106,8 @@ def find_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return (
-        members.repartition("key", "x", "y")
-        .sortWithinPartitions("key", "x", "y")
+        members.repartition("key", "pair")
+        .sortWithinPartitions("key", "pair")
         .mapInArrow(compare, "a long, b long")
         .distinct()
     )
@@ -112,12 +121,12 @@ def link_runs(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[tupl
         rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
         if not rows.shape[1]:
             continue
-        first = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+        first = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
         rest = rows[:, first[-1] :]
         if len(first) > 1:
-            yield link_sorted(rows[3, : first[-1]], first, max_bits)
+            yield link_sorted(rows[2, : first[-1]], first, max_bits)
     if rest is not None and rest.shape[1]:
-        yield link_sorted(rest[3], np.array([0, rest.shape[1]]), max_bits)
+        yield link_sorted(rest[2], np.array([0, rest.shape[1]]), max_bits)
 
 
 def link_sorted(prints: np.ndarray, bounds: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
