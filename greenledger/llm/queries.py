@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, simhash, url_filter
+from . import host_rules, packing, quality, simhash, toxicity, url_filter
 from .common import table
+from .labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,10 @@ URL_RULES = (
 LISTED_LABELS = ("adult-x", "casino-win", "free-bets", "spam-farm")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -78,6 +83,24 @@ from judged left join rates using (source)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, trees).select(
+        "doc_id", held_out("doc_id", quality.FOLDS, quality.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
@@ -113,8 +136,11 @@ from judged
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
