@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, packing, quality, simhash, toxicity, url_filter
+from . import host_rules, neighbours, packing, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
@@ -101,6 +101,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
@@ -141,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "op3_host_rules": op3_host_rules,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
