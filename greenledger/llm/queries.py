@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, neighbours, packing, quality, simhash, toxicity, url_filter
+from . import bpe, host_rules, neighbours, packing, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
@@ -105,6 +105,10 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
@@ -146,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_neighbours": op8_neighbours,
+    "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
