@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, neighbours, packing, quality, simhash, toxicity, url_filter
+from . import bpe, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, toxicity, url_filter
 from .common import table
 from .labelled import held_out
 
@@ -83,6 +83,42 @@ from judged left join rates using (source)
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+with d as (
+  select row_number() over () r, doc_id, text from documents
+), cut as (
+  select r, doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?] |\n|\z)[\x20\x09-\x0D]*') ls from d
+), numbered as (
+  select r, doc_id, i, ls[i] l from (select r, doc_id, ls, unnest(range(1, len(ls) + 1)) i from cut)
+), holding as (
+  select *, trim(l, E' \n\r\t') k, row_number() over (partition by r order by i) n
+  from numbered where regexp_matches(l, '[^\x20\x09-\x0D]')
+), joined as (
+  select *, k || chr(10) || lead(k) over p || chr(10) || lead(k, 2) over p w from holding
+  window p as (partition by r order by n)
+), windows as (
+  select *, row_number() over (partition by w order by doc_id, n) o from joined
+  where len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) >= 8
+), gone as (
+  select distinct r, n + g n from windows, range(3) t(g) where o > 1
+), dropped as (
+  select r, i, 1 yes from gone join holding using (r, n)
+)
+select d.doc_id, string_agg(case when yes is null then l else '' end, '' order by numbered.i) as text,
+       count(yes) removed_lines
+from d left join numbered using (r) left join dropped using (r, i) group by d.r, d.doc_id
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -147,6 +183,8 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_host_rules": op3_host_rules,
+    "op4_licenses": op4_licenses,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_neighbours": op8_neighbours,
@@ -155,5 +193,6 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op10_url_filter": OP10_SQL,
 }
