@@ -158,16 +158,20 @@ def link_sorted(prints: np.ndarray, bounds: np.ndarray, max_bits: int) -> tuple[
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``keep``, ``fingerprint`` (bigint) and ``component_id``: the smallest id that links reach."""
+    """``id_col``, ``keep``, ``fingerprint`` (bigint), ``root`` and ``component_id``.
+
+    ``root`` is the smallest fingerprint that links reach, ``component_id`` the smallest id. Where an id is repeated,
+    two components may have it as their smallest.
+    """
     rows = materialised(docs.select(id_col, *keep, fingerprint_of(text).alias("fingerprint")))
     prints = materialised(rows.groupBy("fingerprint").agg(F.min(id_col).alias("_first")))
     links = connected(find_links(prints))
     rooted = materialised(
         prints.join(links, prints["fingerprint"] == links["node"], "left")
-        .select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
+        .select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("root"))
     )
-    smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(smallest, "_root").select("fingerprint", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fingerprint", "root", "component_id")
     return rows.join(named, "fingerprint")
 
 
@@ -179,7 +183,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     marked = near_duplicates(docs.withColumn("_digest", digest), id_col, text, ("_digest",))
     first = F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.col("_digest")))
-    chosen = marked.groupBy("component_id").agg(first.alias("_chosen"))
+    chosen = marked.groupBy("root").agg(F.min("component_id").alias("component_id"), first.alias("_chosen"))
     numbered = docs.withColumn("_digest", digest)
     same = numbered[id_col].eqNullSafe(chosen["component_id"]) & (numbered["_digest"] == chosen["_chosen"])
     return numbered.join(chosen, same, "left_semi").dropDuplicates([id_col, "_digest"]).select(*docs.columns)
