@@ -29,11 +29,13 @@ from .labelled import fit_sample, held_out
 
 #: Labelled documents in the index and terms in the vocabulary, at most.
 EXAMPLES = 20_000
-VOCABULARY = 2048
+VOCABULARY = 512
 NEIGHBOURS = 15
-BLOCK = 64
-#: Documents a term must be in, and the log-likelihood ratio it must reach.
-MIN_DOCUMENTS, MIN_RATIO = 3, 15.0
+BLOCK = 512
+#: Documents a term must be in, and the log-likelihood ratio it must reach: chance gives 50 once in 10^12 terms.
+MIN_DOCUMENTS, MIN_RATIO = 3, 50.0
+#: Vectors whose neighbours one task remembers.
+MEMORY = 50_000
 BEGINNINGS = (4, 5, 6, 7)
 #: Weight of the overall share in a score, in neighbours of cosine one.
 PRIOR = 1.0
@@ -57,18 +59,23 @@ def pick_terms(sample: DataFrame, label: str, text: str, vocabulary: int) -> lis
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            seen: Counter[str] = Counter()
+            positive: Counter[str] = Counter()
             for value, y in zip(batch[text], batch[label], strict=True):
-                found = list(term_counts(value))
-                yield pd.DataFrame({"term": found, "y": np.full(len(found), y)})
+                found = term_counts(value).keys()
+                seen.update(found)
+                if y:
+                    positive.update(found)
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "k": [positive[t] for t in seen]})
 
     totals = sample.agg(F.count("*"), F.sum(label)).first()
     documents, positive = totals[0], totals[1] or 0
     if not 0 < positive < documents:
         return []
     seen = (
-        sample.mapInPandas(terms, "term string, y int")
+        sample.mapInPandas(terms, "term string, n long, k long")
         .groupBy("term")
-        .agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("k"))
+        .agg(F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"))
         .where(F.col("n") >= MIN_DOCUMENTS)
     )
     n, k, share = F.col("n"), F.col("k"), positive / documents
@@ -118,36 +125,42 @@ class BlockMaxIndex:
     share: float
     share_without: float
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots and cosines of the ``k`` nearest examples, equal ones by id."""
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
         order = order[: np.count_nonzero(bounds > 0)]
         slots = np.empty(0, np.int64)
         cosines = np.empty(0)
-        for at, block in enumerate(order.tolist()):
+        for block in order.tolist():
             # Rounding may set a bound a little below a cosine it covers.
-            if len(slots) >= k and bounds[block] < cosines[k - 1] - 1e-9:
+            if len(slots) == k and bounds[block] < cosines[-1] - 1e-9:
                 break
             totals = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.starts[t, block], self.starts[t, block + 1]
-                if hi > lo:
-                    totals[self.slots[lo:hi] - block * BLOCK] += w * self.weights[lo:hi]
-            hit = np.flatnonzero(totals)
-            new = hit + block * BLOCK
-            fits = self.ids[new] != own if own is not None else np.ones(len(new), bool)
-            slots = np.concatenate([slots, new[fits]])
-            cosines = np.concatenate([cosines, totals[hit[fits]]])
-            best = np.lexsort((self.ids[slots], -np.round(cosines, 12)))[:k]
+            first, last = self.starts[terms, block], self.starts[terms, block + 1]
+            for i in np.flatnonzero(last > first).tolist():
+                lo, hi = first[i], last[i]
+                totals[self.slots[lo:hi] - block * BLOCK] += weights[i] * self.weights[lo:hi]
+            hit = np.flatnonzero(totals >= (cosines[-1] - 1e-9 if len(slots) == k else 1e-300))
+            slots = np.concatenate([slots, hit + block * BLOCK])
+            cosines = np.concatenate([cosines, np.round(totals[hit], 12)])
+            best = np.lexsort((self.ids[slots], -cosines))[:k]
             slots, cosines = slots[best], cosines[best]
         return slots, cosines
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, own: int | None) -> tuple[float, list[int]]:
+    def score(self, terms: list[int], counts: list[int], own: int | None, known: dict) -> tuple[float, list[int]]:
+        """Score and evidence of one document; ``known`` remembers what equal vectors have found."""
         if not len(terms):
-            return self.share_without, []
-        weights = unit(counts, self.idf[terms])
-        slots, cosines = self.nearest(terms, weights, own, NEIGHBOURS)
+            return float(self.share_without), []
+        key = (tuple(terms), tuple(counts))
+        if key not in known:
+            if len(known) > MEMORY:
+                known.clear()
+            numbers = np.array(terms, np.int64)
+            known[key] = self.nearest(numbers, unit(np.array(counts, float), self.idf[numbers]), NEIGHBOURS + 1)
+        slots, cosines = known[key]
+        other = np.flatnonzero(self.ids[slots] != own)[:NEIGHBOURS] if own is not None else slice(NEIGHBOURS)
+        slots, cosines = slots[other], cosines[other]
         votes = (cosines * self.labels[slots]).sum() + PRIOR * self.share
         return float(votes / (cosines.sum() + PRIOR)), self.ids[slots].tolist()
 
@@ -208,10 +221,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = shared.value
+        found, known = shared.value, {}
         for batch in batches:
             out = [
-                found.score(np.array(t, np.int64), np.array(c, float), None if pd.isna(own) else own)
+                found.score(t, c, None if pd.isna(own) else own, known)
                 for own, t, c in zip(batch[id_col], batch["terms"], batch["counts"], strict=True)
             ]
             yield batch[list(kept)].assign(score=[s for s, _ in out], evidence=[e for _, e in out])
