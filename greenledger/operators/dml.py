@@ -1,7 +1,7 @@
 """Inserts, updates and deletes as functions from one snapshot to the next.
 
 Each returns a ``Change``: the new snapshot (lazy), the rows it touches, and the status transitions it causes.
-``TableStore.commit`` publishes snapshot and log together.
+Snapshot and log are written by the caller (``sources.tables``).
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ class Change:
         """Number of rows the statement touched."""
         return self.touched.agg(F.count(F.lit(1)).alias("affected"))
 
+    def last_id(self, key: str) -> DataFrame:
+        """The largest key among the rows the statement touched: after an insert, the id given last."""
+        return self.touched.agg(F.max(key).alias("last_id"))
+
 
 # --- inserts ---------------------------------------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dml, rules
 from ..schema import TABLES, ForeignKey
 from ..session import scratch_path
-from ..sources.snapshots import TableStore
+from ..sources.tables import read_table, replace_rows
 from .domain import Domain
 from .registry import query
 from .relational import empty_log
@@ -153,20 +153,29 @@ def _(d: Domain):
 
 @query("d9_committed_versions", "select 1 version, count(*) filter (status='REJECTED') rejected, 0::bigint logged from reading union all select 2, count(*) filter (status='REJECTED' and measured_value<=5000), count(*) filter (status='REJECTED' and measured_value>5000) from reading")
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
-    store.commit(replace={"reading": d.reading})
-    store.apply("reading", dml.reopen_rejected, NOW)
+    root = scratch_path(d.spark, "versions")
+    change = dml.reopen_rejected(d.reading)
+    log = dml.log_rows(empty_log(d), change.transitions, NOW)
+    replace_rows(d.reading, "reading", f"{root}/1/reading")
+    replace_rows(change.snapshot, "reading", f"{root}/2/reading")
+    replace_rows(log, "status_log", f"{root}/2/status_log")
     out = None
     for version in (1, 2):
-        rejected = store.read("reading", version).where("status = 'REJECTED'").agg(F.count(F.lit(1)))
-        logged = store.read("status_log", version).agg(F.count(F.lit(1)))
+        rejected = read_table(d.spark, "reading", f"{root}/{version}/reading").where("status = 'REJECTED'")
+        logged = read_table(d.spark, "status_log", f"{root}/{version}/status_log")
         part = d.spark.range(1).select(
-            F.lit(version).alias("version"), rejected.scalar().alias("rejected"), logged.scalar().alias("logged")
+            F.lit(version).alias("version"), rejected.agg(F.count(F.lit(1))).scalar().alias("rejected"),
+            logged.agg(F.count(F.lit(1))).scalar().alias("logged"),
         )
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("d8_last_inserted_id", "select max(reading_id) last_id from (select * from reading union all select * from batch)", READINGS)
+def _(d: Domain):
+    return dml.insert("reading", new_readings(d), with_reading_tables(d)).last_id("reading_id")
+
+
 # --- rules -----------------------------------------------------------------------------------------------
 
 

@@ -78,16 +78,21 @@ from customer where c_custkey%9=0""",
 
 # The same views in SQL, for the oracle only; on the Spark side they are DataFrame functions.
 ORACLE_VIEWS = {
+    "measure": """
+select metric_id, metric.name metric_name, category.description category, pillar
+from category join metric using (category_id)""",
     "reading_overview": """
-select r.reading_id, r.read_at, r.measured_value, r.status, e.trade_name, e.tax_id, m.name metric_name,
-c.description category, c.pillar from reading r join company e on r.company_id=e.company_id
-join metric m on r.metric_id=m.metric_id join category c on m.category_id=c.category_id""",
+select reading_id, read_at, measured_value, status, trade_name, tax_id, metric_name, category, pillar
+from measure join reading using (metric_id) join company using (company_id)""",
+    "audited": """
+select audit_id, reading_id, measured_value, status from reading join audit_reading using (reading_id)
+union all
+select audit_id, null, null, null from audit where audit_id not in (select audit_id from audit_reading)""",
     "audit_detail": """
-select aud.audit_id, aud.audit_date, aud.final_opinion, a.name auditor_name, a.license_no, r.reading_id,
-r.measured_value, r.status from audit aud left join auditor a on aud.auditor_id=a.auditor_id
-left join audit_reading ar on aud.audit_id=ar.audit_id left join reading r on ar.reading_id=r.reading_id""",
+select audit_id, audit_date, final_opinion, name auditor_name, license_no, reading_id, measured_value, status
+from audited join audit using (audit_id) left join auditor using (auditor_id)""",
     "dashboard_base": """
-select v.*, e.industry from reading_overview v join company e on e.trade_name=v.trade_name""",
+select reading_overview.*, industry from company join reading_overview using (trade_name)""",
 }
 
 

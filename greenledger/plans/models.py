@@ -9,8 +9,7 @@ from .domain import Domain
 from .registry import query
 from .statistics import PILLAR_MEANS, rounded
 
-TREES = 20  # the forests of the registered queries; the library default is 300
-DEPTH = 12
+TREES, DEPTH = 300, 12
 
 FEATURES = f"""features as (select *, environmental+social+governance total,
 row_number() over (order by trade_name, industry) row_id from (select trade_name, industry, {PILLAR_MEANS}
@@ -145,7 +144,7 @@ def _(d: Domain):
 
 @query("m10_cross_validated_f1")
 def _(d: Domain):
-    return models.fold_f1(models.quartile_grades(features(d)), num_trees=5, max_depth=DEPTH)
+    return models.fold_f1(models.quartile_grades(features(d)), num_trees=TREES, max_depth=DEPTH)
 
 
 @query("m11_t5_feature_importance")

@@ -11,27 +11,31 @@ from ..schema import TABLES
 from ..session import scratch_path
 from ..sources.scores import read_scores
 from ..sources.seed import seed_tables
-from ..sources.snapshots import TableStore
 from ..sources.sql import query as run_sql
+from ..sources.tables import append_rows, read_table, replace_rows
 from .domain import Domain
 from .registry import query
 
 MEAN = "cast(sum(cast(measured_value as decimal(18,4))) as double)/count(measured_value)"
 
-Q1 = """select r.reading_id, r.read_at, r.measured_value, r.status, e.trade_name, m.name metric_name, c.pillar
-from reading r join company e on e.company_id=r.company_id join metric m on m.metric_id=r.metric_id
-join category c on c.category_id=m.category_id"""
+NAMED = """select reading_id, read_at, measured_value, status, trade_name, metric_name, pillar
+from measure join reading using (metric_id) join company using (company_id)"""
 
 
 # --- sources and sinks -----------------------------------------------------------------------------------
 
 
-@query("s1_read_score_csv", "select * from raw_scores")
+# Names as spreadsheets hold them: with quotes, commas and line breaks.
+QUOTED_NAME = """case row_no%3 when 0 then concat('The "',name,'", Inc') when 1 then concat(name,chr(10),'second line') else name end"""
+
+
+@query("s1_read_score_csv", f"select * replace ({QUOTED_NAME} as name) from raw_scores")
 def _(d: Domain):
     path = scratch_path(d.spark, "score-file")
     keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    d.raw_scores.write.options(header=True, **keep_blanks).csv(path)
-    return read_scores(d.spark, path)
+    rows = d.raw_scores.withColumn("name", F.expr(QUOTED_NAME))
+    rows.write.options(header=True, quote='"', escape='"', **keep_blanks).csv(path)
+    return read_scores(d.spark, path).withColumn("row_no", F.col("row_no.line"))
 
 
 @query("s2_sql_text", "select status, count(*) readings from reading_overview group by status")
@@ -45,23 +49,24 @@ def _(d: Domain):
     return run_sql(d.register_views(), text, ("PENDING", 1000.0))
 
 
-@query("s3_named_parameters", "select c.description from metric m join category c on m.category_id=c.category_id where m.metric_id=2 and exists (select 1 from reading r where r.metric_id=m.metric_id)")
+@query("s3_named_parameters", "select category description from measure where metric_id=2 and metric_id in (select metric_id from reading)")
 def _(d: Domain):
-    text = """select c.description from metric m join category c on m.category_id=c.category_id
-              where m.metric_id=:metric and exists (select 1 from reading r where r.metric_id=m.metric_id)"""
+    text = """select category.description from category left semi join metric
+              on metric.category_id = category.category_id and metric.metric_id = :metric
+              and metric.metric_id in (select metric_id from reading)"""
     return run_sql(d.register_views(), text, {"metric": 2})
 
 
 @query("s4_append_to_table", "select reading_id, measured_value, status from reading")
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
+    path = scratch_path(d.spark, "append")
     early = F.year("read_at") < 1996
-    store.commit(replace={"reading": d.reading.where(early)})
-    store.commit(append={"reading": d.reading.where(~early)})
-    return store.read("reading").select("reading_id", "measured_value", "status")
+    append_rows(d.reading.where(early), "reading", path)
+    append_rows(d.reading.where(~early), "reading", path)
+    return read_table(d.spark, "reading", path).select("reading_id", "measured_value", "status")
 
 
-@query("s5_seeded_dimensions", "select m.metric_id, m.name, c.pillar, count(r.reading_id) readings from metric m join category c on m.category_id=c.category_id left join reading r on r.metric_id=m.metric_id group by all")
+@query("s5_seeded_dimensions", "select metric_id, metric_name name, pillar, (select count(*) from reading where reading.metric_id=measure.metric_id) readings from measure")
 def _(d: Domain):
     seeds = seed_tables(d.spark)
     per_metric = d.reading.groupBy("metric_id").agg(F.count(F.lit(1)).alias("n"))
@@ -81,12 +86,13 @@ union all select 'audit', cast(ceil(count(distinct ticker)/6.0) as bigint) from
 union all select 'audit_reading', 2*cast(ceil(count(distinct ticker)/6.0) as bigint) from raw_scores""",
 )
 def _(d: Domain):
-    store = TableStore(d.spark, scratch_path(d.spark, "store"), span="yyyy")
-    store.commit(replace=seed_tables(d.spark))
-    store.commit(replace=model_tables(d.raw_scores, d.auditor))
+    root = scratch_path(d.spark, "rebuilt")
+    for name, rows in {**seed_tables(d.spark), **model_tables(d.raw_scores, d.auditor)}.items():
+        replace_rows(rows, name, f"{root}/{name}")
     out = None
     for name in ("company", "site", "reading", "audit", "audit_reading"):
-        part = store.read(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        part = read_table(d.spark, name, f"{root}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("table_name"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -111,7 +117,7 @@ def _(d: Domain):
     return d.company.select("company_id", "trade_name").orderBy("trade_name", "company_id")
 
 
-@query("s9_used_metric_names", "select distinct m.metric_id, m.name, c.description category from metric m join category c using (category_id) join reading r using (metric_id)")
+@query("s9_used_metric_names", "select metric_id, metric_name name, category from measure where metric_id in (select metric_id from reading)")
 def _(d: Domain):
     used = d.reading.select("metric_id").distinct()
     return views.metric_pillars(d.metric.drop("description"), d.category).join(used, "metric_id", "left_semi").select(
@@ -166,22 +172,22 @@ def _(d: Domain):
 # --- joins -----------------------------------------------------------------------------------------------
 
 
-@query("j1_newest_readings", Q1 + " order by read_at desc, reading_id limit 200")
+@query("j1_newest_readings", NAMED + " order by read_at desc, reading_id limit 200")
 def _(d: Domain):
     return views.newest_readings(d.reading, d.company, d.metric, d.category)
 
 
-@query("j1_all_readings_joined", Q1)
+@query("j1_all_readings_joined", NAMED)
 def _(d: Domain):
     return views.newest_readings(d.reading, d.company, d.metric, d.category, limit=None)
 
 
-@query("j2_sites_with_company", "select s.site_id, s.company_id, e.trade_name, s.site_name, s.location from site s join company e on e.company_id=s.company_id")
+@query("j2_sites_with_company", "select site_id, company_id, trade_name, site_name, location from company join site using (company_id)")
 def _(d: Domain):
     return views.sites_with_company(d.site, d.company)
 
 
-@query("j2_metric_readings_by_category", "select m.metric_id, m.name, c.description category, c.pillar, count(*) readings from metric m join category c on c.category_id=m.category_id join reading r on r.metric_id=m.metric_id group by all")
+@query("j2_metric_readings_by_category", "select metric_id, metric_name name, category, pillar, readings from measure join (select metric_id, count(*) readings from reading group by metric_id) using (metric_id)")
 def _(d: Domain):
     n = d.reading.groupBy("metric_id").agg(F.count(F.lit(1)).alias("readings"))
     dims = views.metric_pillars(d.metric.drop("description"), d.category)
@@ -190,10 +196,10 @@ def _(d: Domain):
 
 @query(
     "j3_readings_with_site",
-    """select r.reading_id, r.read_at, r.measured_value, r.status, e.trade_name, s.site_name, m.name metric_name
-from reading r join company e on e.company_id=r.company_id
-join site s on s.site_id=r.site_id and s.company_id=r.company_id join metric m on m.metric_id=r.metric_id
-order by r.read_at desc, r.reading_id limit 200""",
+    """select reading_id, read_at, measured_value, status, trade_name, site_name, metric_name
+from (select company_id, site_id, trade_name, site_name from company join site using (company_id))
+join reading using (company_id, site_id) join measure using (metric_id)
+order by read_at desc, reading_id limit 200""",
 )
 def _(d: Domain):
     return views.reading_list(d.reading, d.company, d.site, d.metric)
@@ -209,13 +215,13 @@ def _(d: Domain):
     return d.base.rows.select("reading_id", "trade_name", "pillar", "measured_value", "industry", "copies")
 
 
-@query("j4_id_join", "select v.reading_id, v.trade_name, e.industry from reading_overview v join reading r using (reading_id) join company e on e.company_id=r.company_id")
+@query("j4_id_join", "select reading_id, trade_name, industry from reading join company using (company_id)")
 def _(d: Domain):
     base = build_dashboard(d.reading, d.company, d.metric, d.category, key="company_id")
     return base.rows.select("reading_id", "trade_name", "industry")
 
 
-@query("j5_audits_by_auditor", "select a.name, count(aud.audit_id) audits from auditor a left join audit aud on aud.auditor_id=a.auditor_id group by a.name order by audits desc, a.name")
+@query("j5_audits_by_auditor", "select name, cast(coalesce(sum(held), 0) as bigint) audits from auditor left join (select auditor_id, count(*) held from audit group by auditor_id) using (auditor_id) group by name order by audits desc, name")
 def _(d: Domain):
     return views.audits_by_auditor(d.auditor, d.audit)
 
@@ -225,19 +231,18 @@ def _(d: Domain):
     return d.audit_detail
 
 
-@query("j7_companies_without_site", "select e.company_id, e.trade_name, e.tax_id from company e left join site s on e.company_id=s.company_id where s.site_id is null")
+@query("j7_companies_without_site", "select company_id, trade_name, tax_id from company where not exists (select * from site where site.company_id=company.company_id)")
 def _(d: Domain):
     return views.companies_without_site(d.company, d.site)
 
 
-@query("j8_audited_metrics", "select m.metric_id, m.name, m.description from metric m where m.metric_id in (select r.metric_id from reading r join audit_reading ar on r.reading_id=ar.reading_id where r.status='VALIDATED')")
+@query("j8_audited_metrics", "select metric_id, name, description from metric where exists (select * from audit_reading join reading using (reading_id) where reading.metric_id=metric.metric_id and status='VALIDATED')")
 def _(d: Domain):
     return views.audited_metrics(d.metric, d.reading, d.audit_reading)
 
 
-FULL = """select a.name auditor_name, a.auditor_id, aud.audit_id, aud.audit_date from auditor a left join audit aud
-on a.auditor_id=aud.auditor_id union select a.name, a.auditor_id, aud.audit_id, aud.audit_date from audit aud
-left join auditor a on aud.auditor_id=a.auditor_id"""
+FULL = """select distinct auditor.name auditor_name, auditor.auditor_id, audit_id, audit_date
+from audit full outer join auditor on audit.auditor_id=auditor.auditor_id"""
 
 
 @query("j9_reconciled_auditors", FULL)
@@ -250,12 +255,16 @@ def _(d: Domain):
     people = d.auditor.select(F.col("name").alias("auditor_name"), "auditor_id")
     audits = d.audit.select("audit_id", "audit_date", F.col("auditor_id").alias("ref"))
     same = F.col("auditor_id") == F.col("ref")
-    return people.join(audits, same, "left").union(audits.join(people, same, "left").select(
-        "auditor_name", "auditor_id", "audit_id", "audit_date", "ref")).drop("ref").distinct()
+    # The audits are the large side and always the left one, which Spark splits for a busy auditor.
+    held = audits.join(people, same, "left").select("auditor_name", "auditor_id", "audit_id", "audit_date")
+    idle = people.join(audits.select("ref").distinct(), same, "left_anti").select(
+        "auditor_name", "auditor_id", F.lit(None).cast("bigint"), F.lit(None).cast("date"))
+    return held.union(idle).distinct()
 
 
-ABOVE = f"""select e.company_id, e.trade_name, {MEAN} mean_value from company e join reading r on e.company_id=r.company_id
-group by e.company_id, e.trade_name having {MEAN} > (select {MEAN} from reading)"""
+ABOVE = f"""select company_id, trade_name, mean_value from (select company_id, {MEAN} mean_value,
+cast(sum(sum(cast(measured_value as decimal(18,4)))) over () as double)/sum(count(measured_value)) over () overall
+from reading group by company_id) join company using (company_id) where mean_value > overall"""
 
 
 @query("j10_companies_above_average", ABOVE)
@@ -263,18 +272,18 @@ def _(d: Domain):
     return views.above_average_companies(d.reading, d.company, limit=None)
 
 
-@query("a4_top_companies_above_average", ABOVE + " order by mean_value desc, e.company_id limit 25")
+@query("a4_top_companies_above_average", ABOVE + " order by mean_value desc, company_id limit 25")
 def _(d: Domain):
     return views.above_average_companies(d.reading, d.company)
 
 
-@query("j11_category_of_metric", "select p.p_partkey row_id, p.p_partkey%6 metric_id, coalesce(c.description,'Category not found') category from part p left join metric m on m.metric_id=p.p_partkey%6 left join category c on c.category_id=m.category_id")
+@query("j11_category_of_metric", "select p_partkey row_id, p_partkey%6 metric_id, coalesce(category,'Category not found') category from part left join measure on metric_id=p_partkey%6")
 def _(d: Domain):
     rows = d.source("part").select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") % 6).alias("metric_id"))
     return views.metric_category(rows, d.metric, d.category)
 
 
-@query("r2_category_of_reading", "select r.reading_id, coalesce(c.description,'Category not found') category from reading r left join metric m on m.metric_id=r.metric_id left join category c on c.category_id=m.category_id")
+@query("r2_category_of_reading", "select reading_id, coalesce(category,'Category not found') category from reading left join measure using (metric_id)")
 def _(d: Domain):
     return views.metric_category(d.reading.select("reading_id", "metric_id"), d.metric, d.category).drop("metric_id")
 
@@ -297,7 +306,7 @@ def _(d: Domain):
     return views.count_status_by_company(d.reading, d.company, limit=None)
 
 
-@query("a3_audits_counting_idle", "select a.auditor_id, count(aud.audit_id) audits from auditor a left join audit aud on aud.auditor_id=a.auditor_id group by a.auditor_id")
+@query("a3_audits_counting_idle", "select auditor_id, (select count(*) from audit where audit.auditor_id=auditor.auditor_id) audits from auditor")
 def _(d: Domain):
     n = d.audit.groupBy("auditor_id").agg(F.count("audit_id").alias("n"))
     return d.auditor.join(n, "auditor_id", "left").select("auditor_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("audits"))
@@ -328,12 +337,12 @@ def _(d: Domain):
     return d.reading.select("reading_id", "status").orderBy(F.desc("reading_id")).limit(50)
 
 
-@query("t1_sort_nulls_first", "select company_id, industry from company order by industry nulls first, company_id limit 100")
+@query("t1_sort_nulls_first", "select company_id, industry from company order by industry nulls first, company_id")
 def _(d: Domain):
-    return d.company.select("company_id", "industry").orderBy(F.asc_nulls_first("industry"), "company_id").limit(100)
+    return d.company.select("company_id", "industry").orderBy(F.asc_nulls_first("industry"), "company_id")
 
 
-@query("t2_sites_capped", "select s.site_id, s.company_id, e.trade_name, s.site_name, s.location from site s join company e on e.company_id=s.company_id order by s.company_id, s.site_id limit 300")
+@query("t2_sites_capped", "select site_id, company_id, trade_name, site_name, location from company join site using (company_id) order by company_id, site_id limit 300")
 def _(d: Domain):
     return views.sites_with_company(d.site, d.company).orderBy("company_id", "site_id").limit(300)
 

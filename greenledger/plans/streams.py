@@ -13,7 +13,7 @@ from .registry import query
 def arrived(d: Domain):
     """Stream over readings, some with negative values, from files."""
     path = scratch_path(d.spark, "arrivals")
-    shifted(d).repartition(4).write.parquet(path)
+    shifted(d).write.parquet(path)
     return d.spark.readStream.schema(d.reading.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 

@@ -9,28 +9,42 @@ from ..functions.columns import nan_to_null
 from ..schema import SCORE_FILE
 
 FILE_ORDER = "row_no"
+#: Where a row stood: file, start of the split, and running number in the order the split was read.
+POSITION = T.StructType().add("file", T.StringType()).add("start", T.LongType()).add("line", T.LongType())
+WITH_POSITION = T.StructType([T.StructField(f.name, POSITION) if f.name == FILE_ORDER else f for f in SCORE_FILE.fields])
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Read the CSV by header name; a missing path gives an empty frame.
 
-    A file without a ``row_no`` column gets one that follows the order of the lines: file, then split offset,
-    then the running number inside the split, each of which is read by exactly one task.
+    Quotes inside a quoted field are doubled, as spreadsheets and pandas write them. ``multi_line`` allows line breaks
+    inside quoted fields; a file is then read by one task, so switch it off for large files that have none.
+
+    ``row_no`` is always a position that sorts in file order. A file may bring a ``row_no`` column of numbers, which
+    then is the ``line``.
     """
     try:
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SCORE_FILE)
+        return spark.createDataFrame([], WITH_POSITION)
+    missing = [n for n in SCORE_FILE.names if n != FILE_ORDER and n not in raw.columns]
+    if missing:
+        raise ValueError(f"the header of {path} lacks {', '.join(missing)}")
     return with_score_types(raw)
 
 
 def with_score_types(raw: DataFrame) -> DataFrame:
     if FILE_ORDER in raw.columns:
-        order = F.col(FILE_ORDER).cast("bigint")
+        order = F.struct(
+            F.lit("").alias("file"), F.lit(0).cast("bigint").alias("start"), F.col(FILE_ORDER).cast("bigint").alias("line")
+        )
     else:
-        order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+        order = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("line"),
+        )
     columns = []
     for f in SCORE_FILE.fields:
         if f.name == FILE_ORDER:

@@ -8,7 +8,7 @@ from greenledger.operators import dml, rules
 from greenledger.schema import TABLES
 from greenledger.session import scratch_path
 from greenledger.sources.seed import seed_tables
-from greenledger.sources.snapshots import TableStore
+from greenledger.sources.tables import append_rows, read_table, replace_rows
 
 AT = datetime(2022, 4, 19, 9)
 
@@ -126,41 +126,23 @@ def test_scalar_rules(spark):
         "VALIDATED", "VALIDATED", "VALIDATED", "PENDING", "REJECTED", "REJECTED", "REJECTED"]
 
 
-# --- store -----------------------------------------------------------------------------------------------
+# --- tables ----------------------------------------------------------------------------------------------
 
 
-def test_store_versions(spark, tables):
-    store = TableStore(spark, scratch_path(spark, "store"))
-    assert store.version() == 0 and store.read("reading").count() == 0
+def test_append_and_replace(spark, tables):
+    path = scratch_path(spark, "tables")
+    assert read_table(spark, "reading", path).count() == 0
     march, april = datetime(2022, 3, 5), datetime(2022, 4, 5)
     rows = readings(spark, (1, march, 1.0, "PENDING"), (2, april, 9000.0, "REJECTED"))
-    store.commit(replace={"reading": rows, **{k: tables[k] for k in ("company", "site")}})
-    store.commit(append={"reading": readings(spark, (3, april, 7000.0, "REJECTED"))})
-    before = store.paths()["reading"]
-    version, affected = store.apply("reading", dml.reopen_rejected, "2026-01-01 00:00:00")
-    after = store.paths()["reading"]
-    assert (version, affected) == (3, 2)
-    assert after["2022-03"] == before["2022-03"] and set(after["2022-04"]).isdisjoint(before["2022-04"])
-    assert store.read("reading").where("status = 'REJECTED'").count() == 0
-    assert store.read("reading", 2).where("status = 'REJECTED'").count() == 2
-    assert {(r.reading_id, r.old_status, r.new_status) for r in store.read("status_log").collect()} == {
-        (2, "REJECTED", "PENDING"), (3, "REJECTED", "PENDING")}
-    assert store.apply("reading", dml.reopen_rejected, "2026-01-01 00:00:00") == (3, 0)
-    assert store.read("company").count() == 3
-
-
-def test_failed_statement_stays_invisible(spark, tables):
-    store = TableStore(spark, scratch_path(spark, "store"))
-    store.commit(replace={"company": tables["company"]})
-    broken = tables["company"].withColumn("city", F.raise_error(F.lit("stop")).cast("string"))
-    with pytest.raises(Exception, match="stop"):
-        store.commit(replace={"site": tables["site"], "company": broken})
-    assert store.version() == 1 and store.read("site").count() == 0 and store.read("company").count() == 3
-
-
-def test_two_writers_collide(spark, tables):
-    store = TableStore(spark, scratch_path(spark, "store"))
-    store.commit(replace={"company": tables["company"]})
-    store.commit(append={"company": tables["company"].limit(1)}, base=1)
-    with pytest.raises(Exception, match="(?i)exists"):
-        store.commit(append={"company": tables["company"].limit(1)}, base=1)
+    append_rows(rows, "reading", path)
+    append_rows(readings(spark, (3, None, 7000.0, "REJECTED")), "reading", path)
+    got = read_table(spark, "reading", path)
+    assert sorted(r.reading_id for r in got.collect()) == [1, 2, 3] and got.schema == TABLES["reading"].schema
+    replace_rows(rows, "reading", path)
+    assert read_table(spark, "reading", path).count() == 2
+    replace_rows(tables["company"], "company", scratch_path(spark, "tables"))
+
+
+def test_last_id(spark, tables):
+    new = readings(spark, (7, datetime(2022, 3, 5), 1.0, "PENDING"), (9, datetime(2022, 3, 6), 2.0, "PENDING"))
+    assert dml.Change(new, new).last_id("reading_id").first()[0] == 9
