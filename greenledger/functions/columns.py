@@ -11,8 +11,8 @@ DEFAULT_READ_DATE = "2022-04-19"
 LOW_IMPACT = "LOW IMPACT / COMPLIANT"
 MODERATE_IMPACT = "MODERATE IMPACT / ATTENTION"
 CRITICAL_IMPACT = "CRITICAL IMPACT / ALERT"
-# Type of the addends of an exact mean. Ten decimals keep every cent-based value whole.
-EXACT = "decimal(26,10)"
+# Decimals of the addends of an exact mean: ten keep every cent-based value whole. Finer values need more places.
+PLACES = 10
 
 
 def _col(c: Column | str) -> Column:
@@ -68,19 +68,26 @@ def weighted_count(weight: Column | str, when: Column | None = None) -> Column:
     return F.coalesce(F.sum(w if when is None else F.when(when, w)), F.lit(0)).cast("bigint")
 
 
-def exact_sum(value: Column | str, weight: Column | str | None = None) -> Column:
-    """Sum that does not depend on the order of its addends."""
-    v = _col(value).cast(EXACT)
+def exact_sum(value: Column | str, weight: Column | str | None = None, places: int = PLACES) -> Column:
+    """Sum that does not depend on the order of its addends; NaN counts as missing. Addends are rounded to ``places``."""
+    v = nan_to_null(_col(value).cast("double")).cast(f"decimal({16 + places},{places})")
     if weight is not None:
         v = v * _col(weight).cast("decimal(10,0)")
     return F.sum(v)
 
 
-def exact_mean(value: Column | str, weight: Column | str | None = None, when: Column | None = None) -> Column:
-    """Mean of the non-null values, the same under any partitioning; NULL for no values."""
-    v = _col(value) if when is None else F.when(when, _col(value))
+def exact_count(value: Column | str) -> Column:
+    """How many values ``exact_sum`` adds: neither NULL nor NaN."""
+    return F.count(nan_to_null(_col(value).cast("double")))
+
+
+def exact_mean(
+    value: Column | str, weight: Column | str | None = None, when: Column | None = None, places: int = PLACES
+) -> Column:
+    """Mean of the values that are neither NULL nor NaN, the same under any partitioning; NULL for no values."""
+    v = nan_to_null((_col(value) if when is None else F.when(when, _col(value))).cast("double"))
     if weight is None:
         n = F.count(v)
     else:
         n = F.sum(F.when(v.isNotNull(), _col(weight)))
-    return F.try_divide(exact_sum(v, weight).cast("double"), n.cast("double"))
+    return F.try_divide(exact_sum(v, weight, places).cast("double"), n.cast("double"))

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_sum
+from ..functions.columns import exact_count, exact_sum
 from ..session import checkpointed
 from .views import metric_pillars
 
@@ -89,7 +89,7 @@ class Dashboard:
         """Weighted rows (n), values (c) and exact sum (s) per key; NULL keys form no group."""
         fact_keys = [k for k in keys if k in self.facts.columns]
         part = _keyed(self.facts, fact_keys).groupBy("company_id", *fact_keys).agg(
-            F.count(F.lit(1)).alias("n"), F.count(VALUE).alias("c"), exact_sum(VALUE).alias("s")
+            F.count(F.lit(1)).alias("n"), exact_count(VALUE).alias("c"), exact_sum(VALUE).alias("s")
         )
         copies = F.col(W).cast("decimal(10,0)")
         return (

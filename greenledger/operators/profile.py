@@ -284,5 +284,12 @@ def log_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def log_by_new_status(log: DataFrame) -> DataFrame:
+    """Transitions into each status and their share of all transitions."""
+    counts = log.where(F.col("new_status").isNotNull()).groupBy("new_status").agg(F.count(F.lit(1)).alias("transitions"))
+    total = counts.agg(F.sum("transitions"))
+    return counts.withColumn("percent", F.lit(100.0) * F.col("transitions") / total.scalar())
+
+
 def scatter_sample(overview: DataFrame, limit: int = 500) -> DataFrame:
     return overview.select("reading_id", "read_at", VALUE, "pillar").orderBy("reading_id").limit(limit)

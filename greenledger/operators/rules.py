@@ -99,11 +99,25 @@ def model_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def strict_batches(df: DataFrame, table: Table, batch: str) -> DataFrame:
+    """What a strict guard does with each batch of ``df``: one row that breaks a row rule refuses all of its batch.
+
+    ``accepted`` is the batch's rows or 0; ``broken`` counts the rows that break a rule.
+    """
+    reasons = _reasons(table)
+    bad = F.concat_ws("; ", *reasons) != ""
+    counts = df.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("broken"))
+    return counts.withColumn("accepted", F.when(F.col("broken") == 0, F.col("rows")).otherwise(0))
+
+
+def _reasons(table: Table) -> list[Column]:
+    out = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in table.not_null]
+    out += [F.when(~F.col(c).isin(list(a)), F.lit(f"{c} not allowed")) for c, a in table.domains.items()]
+    return out + [F.when(F.col(c) < 0, F.lit(f"{c} is negative")) for c in table.non_negative]
+
+
 def split_by_rules(df: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows by the rules a row can be judged on alone; rejected rows say why."""
-    reasons = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in table.not_null]
-    reasons += [F.when(~F.col(c).isin(list(a)), F.lit(f"{c} not allowed")) for c, a in table.domains.items()]
-    reasons += [F.when(F.col(c) < 0, F.lit(f"{c} is negative")) for c in table.non_negative]
-    why = F.concat_ws("; ", *reasons)
+    why = F.concat_ws("; ", *_reasons(table))
     marked = df.withColumn("reason", why)
     return marked.where(F.col("reason") == "").drop("reason"), marked.where(F.col("reason") != "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_sum
+from ..functions.columns import exact_count, exact_sum
 from .topk import newest_joined
 
 NEWEST = (F.desc, "read_at"), (F.asc, "reading_id")
@@ -85,7 +85,7 @@ def mean_by_pillar(reading: DataFrame, metric: DataFrame, category: DataFrame) -
     """Count and mean per pillar. Facts are combined per metric before they meet a dimension."""
     per_metric = reading.groupBy("metric_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count("measured_value").alias("n_values"),
+        exact_count("measured_value").alias("n_values"),
         exact_sum("measured_value").alias("s"),
     )
     dims = metric_pillars(metric, category).select("metric_id", "pillar")
@@ -169,7 +169,7 @@ def audited_metrics(
 
 def above_average_companies(reading: DataFrame, company: DataFrame, limit: int | None = 25) -> DataFrame:
     """Companies whose mean value is above the mean of all readings."""
-    sums = reading.groupBy("company_id").agg(exact_sum("measured_value").alias("s"), F.count("measured_value").alias("c"))
+    sums = reading.groupBy("company_id").agg(exact_sum("measured_value").alias("s"), exact_count("measured_value").alias("c"))
     # The overall mean comes from the sums per company, so the readings are scanned once.
     overall = sums.agg(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")))
     means = sums.withColumn("mean_value", F.try_divide(F.col("s").cast("double"), F.col("c").cast("double")))

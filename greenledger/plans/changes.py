@@ -80,9 +80,35 @@ def _(d: Domain):
     return dml.insert("company", new_companies(d), {"company": d.company}).snapshot
 
 
-@query("d1_insert_report", "select 'company' table_name, r rule, c columns, 0::bigint violations from (values ('primary key','company_id'),('unique','tax_id'),('not null','trade_name'),('not null','tax_id'),('foreign key','parent_company_id')) t(r,c)")
+BROKEN = """,
+broken as (select case when company_id%4=0 then 1 else company_id end company_id,
+case when company_id%5=0 then null else trade_name end trade_name, case when company_id%7=0 then 'twice' else tax_id end tax_id,
+case when company_id%3=0 then company_id+1000000 else parent_company_id end parent_company_id from batch)"""
+
+
+@query(
+    "d1_insert_report",
+    """select 'company' table_name, rule, columns, violations from (
+select 'primary key' rule, 'company_id' columns, (select count(*) from (select company_id from broken group by 1 having count(*)>1))
++(select count(*) from broken where company_id in (select company_id from company)) violations
+union all select 'unique','tax_id',(select count(*) from (select tax_id from broken where tax_id is not null group by 1 having count(*)>1))
++(select count(*) from broken where tax_id in (select tax_id from company))
+union all select 'not null','trade_name',(select count(*) from broken where trade_name is null)
+union all select 'not null','tax_id',(select count(*) from broken where tax_id is null)
+union all select 'foreign key','parent_company_id',(select count(*) from broken where parent_company_id is not null
+and parent_company_id not in (select company_id from company union all select company_id from broken)))""",
+    COMPANIES + BROKEN,
+)
 def _(d: Domain):
-    return rules.rule_report(new_companies(d), TABLES["company"], {"company": d.company}, existing=d.company)
+    """New companies with repeated and taken keys, missing names and unknown parents."""
+    i, keep = F.col("company_id"), F.col
+    broken = new_companies(d).withColumns({
+        "company_id": F.when(i % 4 == 0, 1).otherwise(i),
+        "trade_name": F.when(i % 5 != 0, keep("trade_name")),
+        "tax_id": F.when(i % 7 == 0, "twice").otherwise(keep("tax_id")),
+        "parent_company_id": F.when(i % 3 == 0, i + 1_000_000).otherwise(keep("parent_company_id")),
+    })
+    return rules.rule_report(broken, TABLES["company"], {"company": d.company}, existing=d.company)
 
 
 @query("d2_insert_sites", "select site_id, company_id, site_name, location from site union all select 2, company_id, concat('Annex ',site_name), location from site")
@@ -199,9 +225,10 @@ def _(d: Domain):
     return rules.duplicate_keys(d.company, ["industry", "city"])
 
 
-@query("c3_unique_tax_ids", "select tax_id, count(*) copies from company group by tax_id having count(*)>1")
+@query("c3_unique_tax_ids", "select tax_id, 2::bigint copies from company where company_id%10=3")
 def _(d: Domain):
-    return rules.duplicate_keys(d.company, ["tax_id"])
+    """Every tenth company entered twice."""
+    return rules.duplicate_keys(d.company.unionByName(d.company.where("company_id % 10 = 3")), ["tax_id"])
 
 
 @query("c4_null_counts", "select count(*)-count(trade_name) trade_name, count(*)-count(industry) industry, count(*)-count(parent_company_id) parent_company_id from company")
@@ -214,9 +241,11 @@ def _(d: Domain):
     return rules.outside_domain(d.raw_scores, "social_grade", ["A", "BBB"]).select("row_no", "social_grade")
 
 
-@query("c5_status_domain", "select reading_id from reading where status not in ('PENDING','VALIDATED','REJECTED')")
+@query("c5_status_domain", "select reading_id from reading where reading_id%11=0")
 def _(d: Domain):
-    return rules.outside_domain(d.reading, "status", TABLES["reading"].domains["status"]).select("reading_id")
+    """Every eleventh reading in lower case, which is no allowed status."""
+    rows = d.reading.withColumn("status", F.when(F.col("reading_id") % 11 == 0, F.lower("status")).otherwise(F.col("status")))
+    return rules.outside_domain(rows, "status", TABLES["reading"].domains["status"]).select("reading_id")
 
 
 @query("c6_orphan_audits", "select audit_id, auditor_id from audit where auditor_id not in (select auditor_id from auditor)")
@@ -229,10 +258,11 @@ def _(d: Domain):
     return rules.orphans(d.reading, TABLES["reading"].foreign_keys[0], d.site).select("reading_id", "company_id")
 
 
-@query("c7_missing_parents", "select company_id, parent_company_id from company c where parent_company_id is not null and not exists (select 1 from company p where p.company_id=c.parent_company_id)")
+@query("c7_missing_parents", "select company_id, parent_company_id from company where parent_company_id is not null and (parent_company_id%20=0 or parent_company_id not in (select company_id from company))")
 def _(d: Domain):
+    """Every second parent is missing."""
     key: ForeignKey = TABLES["company"].foreign_keys[0]
-    return rules.orphans(d.company, key, d.company).select("company_id", "parent_company_id")
+    return rules.orphans(d.company, key, d.company.where("company_id % 20 <> 0")).select("company_id", "parent_company_id")
 
 
 @query("c8_default_time", "select reading_id, timestamp '2026-01-01 00:00:00' changed_at, 'greenledger' changed_by from reading where status='REJECTED' and measured_value>5000")
@@ -278,6 +308,13 @@ def _(d: Domain):
     return rules.split_by_rules(shifted(d), TABLES["reading"])[1].select("reading_id", "reason")
 
 
+@query("r3_strict_batches", """select company_id, count(*) rows, count(*) filter (shifted.measured_value<0) broken,
+case when count(*) filter (shifted.measured_value<0)=0 then count(*) else 0 end accepted
+from shifted join reading using (reading_id) group by company_id""", SHIFTED)
+def _(d: Domain):
+    return rules.strict_batches(shifted(d), TABLES["reading"], "company_id")
+
+
 @query("r3_accepted_inserts", "select reading_id, measured_value from shifted where measured_value>=0", SHIFTED)
 def _(d: Domain):
     return rules.split_by_rules(shifted(d), TABLES["reading"])[0].select("reading_id", "measured_value")

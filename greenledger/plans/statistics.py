@@ -267,6 +267,15 @@ def _(d: Domain):
     return profile.eligible_sectors(d.base)
 
 
+@query("a8_log_by_new_status", """select new_status, count(*) transitions, 100.0::double*count(*)/sum(count(*)) over () "percent"
+from (select case when reading_id%3=0 then 'VALIDATED' when reading_id%3=1 then 'REJECTED' else 'PENDING' end new_status, status
+from reading) where new_status<>status group by new_status""")
+def _(d: Domain):
+    new = F.when(F.col("reading_id") % 3 == 0, "VALIDATED").when(F.col("reading_id") % 3 == 1, "REJECTED").otherwise("PENDING")
+    change = dml.update_status(d.reading, d.reading.select("reading_id", new.alias("status")))
+    return profile.log_by_new_status(dml.log_rows(empty_log(d), change.transitions, "2026-01-01 00:00:00"))
+
+
 @query("a29_log_summary", "select count(*) transitions, count(distinct reading_id) readings from reading where status='REJECTED' and measured_value>5000")
 def _(d: Domain):
     log = dml.log_rows(empty_log(d), dml.reopen_rejected(d.reading).transitions, "2026-01-01 00:00:00")

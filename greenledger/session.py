@@ -18,11 +18,20 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "greenledger", master: str | None = None, **extra: str) -> SparkSession:
+# Only read when a session starts: checkpoints go once nothing refers to them any more.
+START_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
+def build_session(
+    app_name: str = "greenledger", master: str | None = None, checkpoint_dir: str | None = None, **extra: str
+) -> SparkSession:
+    """``checkpoint_dir`` is the folder all executors share, kept as ``spark.checkpoint.dir``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    for key, value in {**SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -43,7 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="greenledger-")
     spark.conf.set("spark.checkpoint.dir", folder)
