@@ -15,6 +15,8 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,8 +36,11 @@ TABLE_CHUNKS = 8192
 CHUNK_BYTES = 4096
 #: A cut falls on every 2^CUT_BITS-th byte on average.
 CUT_BITS = 9
-#: Words remembered by one worker, and the longest of them; the memory is emptied when it is full.
-WORD_MEMORY, WORD_CHARS = 300_000, 64
+#: Words, and parts of words, that one worker learns before it forgets those not seen since, and the longest of them.
+WORD_MEMORY, PART_MEMORY, WORD_CHARS = 120_000, 200_000, 64
+#: Words of Latin letters and then ASCII marks, without apostrophes: the tokenizer lowers the letters one by one and
+#: never joins them with the marks, so both parts are encoded by themselves and remembered for other words.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 # One pseudo-random number per byte value (a Weyl sequence, mixed).
 _GEAR = np.arange(1, 257, dtype=np.uint32) * np.uint32(2654435769)
@@ -61,6 +66,8 @@ def chunks(data: bytes, cut_bits: int = CUT_BITS) -> list[bytes]:
 
 @cache
 def tokenizer(name: str) -> Tokenizer:
+    # Spark has a task for each core already; threads of the library would only get in each other's way.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     found = Tokenizer.from_file(public_tokenizers.path(name))
     found.no_truncation()
     found.no_padding()
@@ -76,19 +83,87 @@ class Encoded:
     count: int
 
 
-_memory: dict[str, dict[str, tuple[str, str]]] = {}
+class Memory:
+    """Encodings by word. When ``size`` new ones are in, those asked for since stay and the others are forgotten later."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+
+    def age(self, size: int) -> None:
+        if len(self.new) > size:
+            self.old, self.new = self.new, {}
+
+    def fetch(self, words: Iterable[str]) -> list[str]:
+        """Make what is known of ``words`` new again; returns the others."""
+        missing = []
+        for word in words:
+            if (found := self.old.get(word)) is not None:
+                self.new[word] = found
+            else:
+                missing.append(word)
+        return missing
+
+
+_words: dict[str, Memory] = {}
+_parts: dict[str, Memory] = {}
+
+
+def encode_each(words: list[str], name: str) -> list[tuple[str, str]]:
+    """Ids and tokens of each word by itself."""
+    found = tokenizer(name).encode_batch(words, add_special_tokens=False)
+    return [(" ".join(map(str, e.ids)), " ".join(e.tokens)) for e in found]
+
+
+@cache
+def merges(name: str):
+    """The merging part of the tokenizer, which takes bytes as visible characters, and the characters of the bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return tokenizer(name).model, {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
+def encode_plain(part: str, name: str) -> tuple[str, str]:
+    """Ids and tokens of small Latin letters or of ASCII marks: one run, which only has to be merged."""
+    model, signs = merges(name)
+    found = model.tokenize(part.translate(signs))
+    return " ".join([str(t.id) for t in found]), " ".join([t.value for t in found])
+
+
+def encode_missing(words: list[str], name: str) -> list[tuple[str, str]]:
+    """Ids and tokens of each word, plain words by their parts."""
+    memory = _parts.setdefault(name, Memory())
+    memory.age(PART_MEMORY)
+    known = memory.new
+    cut = [PLAIN.fullmatch(w) if len(w) <= WORD_CHARS else None for w in words]
+    whole = [w for w, m in zip(words, cut, strict=True) if not m]
+    others = dict(zip(whole, encode_each(whole, name), strict=True)) if whole else {}
+    out = []
+    for word, parts in zip(words, cut, strict=True):
+        if not parts:
+            out.append(others[word])
+            continue
+        pairs = []
+        for part in (parts[1].lower(), parts[2]):
+            if part:
+                if (pair := known.get(part)) is None:
+                    pair = known[part] = memory.old.get(part) or encode_plain(part, name)
+                pairs.append(pair)
+        a, b = pairs[0], pairs[-1]
+        out.append(a if len(pairs) == 1 else (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"))
+    return out
 
 
 def encode_words(words: list[str], name: str) -> Encoded:
     """The encoding of the words one after another; a word is what stands between spaces and line breaks."""
-    known = _memory.setdefault(name, {})
-    if len(known) > WORD_MEMORY:
-        known.clear()
-    missing = [w for w in dict.fromkeys(words) if w not in known]
+    memory = _words.setdefault(name, Memory())
+    memory.age(WORD_MEMORY)
+    known = memory.new
+    missing = memory.fetch(w for w in dict.fromkeys(words) if w not in known)
     extra = {}
     if missing:
-        for word, e in zip(missing, tokenizer(name).encode_batch(missing, add_special_tokens=False), strict=True):
-            pair = (" ".join(map(str, e.ids)), " ".join(e.tokens))
+        for word, pair in zip(missing, encode_missing(missing, name), strict=True):
             (known if len(word) <= WORD_CHARS else extra)[word] = pair
     pairs = [known[w] for w in words] if not extra else [extra.get(w) or known[w] for w in words]
     ids = " ".join([i for i, _ in pairs if i])
@@ -132,6 +207,8 @@ def repeated_chunks(docs: DataFrame, text: str, most: int) -> set[int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = Counter(c for t in batch[text] for c in table_chunks(t))
+            if not seen:
+                continue
             yield pd.DataFrame({
                 "hash": np.fromiter(map(chunk_hash, seen), np.int64, len(seen)),
                 "n": np.fromiter(seen.values(), np.int64, len(seen)),
@@ -169,7 +246,8 @@ def chunk_table(docs: DataFrame, text: str = "text", name: str = TOKENIZER, most
         for batch in batches:
             new = {c for t in batch[text] for c in table_chunks(t) if chunk_hash(c) in wanted.value} - done
             done |= new
-            yield pd.DataFrame({"chunk": sorted(new)})
+            if new:
+                yield pd.DataFrame({"chunk": sorted(new)})
 
     def encode_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
