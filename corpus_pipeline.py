@@ -19,7 +19,8 @@ from greenledger.llm.common import table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least one half."""
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, trees, keep=tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    scored = quality.score_quality(docs, trees, keep=tuple(docs.columns), name="_score")
+    return scored.where("_score >= 0.5").select(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

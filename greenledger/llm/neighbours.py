@@ -145,7 +145,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     sizes = first[vector].map(len)
     width = int(sizes.mode().iloc[0]) if len(first) else 0
     rows = rows.where(F.size(vector) == width)
-    fit = np.array(first.loc[sizes == width, vector].tolist(), float).reshape(-1, width)
+    chosen = first.loc[sizes == width, vector].tolist()
+    fit = np.array(chosen, float).reshape(len(chosen), width)
     points = distinct_points(rows, id_col, vector, k + 1)
     total = rows.count()
     depth = max(0, math.ceil(math.log2(max(1, min(total / leaf, len(fit) / 4)))))

@@ -170,15 +170,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit_trees(found[order], y[order])
 
 
-def score_quality(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score`` of every row; only these columns and the text go to Python."""
+def score_quality(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                  name: str = "score") -> DataFrame:
+    """``keep`` and the score, called ``name``, of every row; only these columns and the text go to Python."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([statistics_of(t) for t in batch[text]], float).reshape(len(batch), len(FEATURES))
-            yield batch[list(keep)].assign(score=trees.scores(found))
+            yield batch[list(keep)].assign(**{name: trees.scores(found)})
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", `{name}` double"
     columns = list(dict.fromkeys([*keep, text]))
     return docs.select(*columns).mapInPandas(score, schema)

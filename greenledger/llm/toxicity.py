@@ -66,7 +66,8 @@ def pick_terms(sample: DataFrame, label: str, text: str, vocabulary: int) -> lis
                 seen.update(found)
                 if y:
                     positive.update(found)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "k": [positive[t] for t in seen]})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "k": [positive[t] for t in seen]})
 
     totals = sample.agg(F.count("*"), F.sum(label)).first()
     documents, positive = totals[0], totals[1] or 0
