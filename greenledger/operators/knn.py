@@ -1,8 +1,10 @@
 """Exact nearest neighbours without comparing every query with every training row.
 
-Space is cut into boxes of about equal training size (cut points from a bounded hash sample). A query is first
-matched inside its own box; the distance of its k-th neighbour there bounds the search, and only boxes that this
-ball touches are visited in the second step. Boxes with many queries are split over several tasks.
+Space is cut into boxes of about equal training size (cut points from a bounded hash sample of the distinct points). A
+query is first matched inside its own box; the distance of its k-th neighbour there bounds the search, and only boxes
+whose rows this ball touches are visited in the second step. A query whose own box has too few rows takes its bound
+from the farthest corner of the nearest boxes that have enough. Boxes with many queries or many training rows are split
+over several tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 
@@ -42,6 +44,34 @@ class Boxes:
         return out
 
 
+@dataclass(frozen=True)
+class Spans:
+    """What the training rows of each box span, and how many of them every query may use."""
+
+    low: np.ndarray
+    high: np.ndarray
+    usable: np.ndarray
+
+    def near2(self, points: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to each span; never above that to a row of the box."""
+        out = np.zeros((len(points), len(self.low)))
+        for j in range(points.shape[1]):
+            gap = np.maximum(np.maximum(self.low[:, j] - points[:, [j]], points[:, [j]] - self.high[:, j]), 0.0)
+            out += gap * gap
+        return out
+
+    def radius2(self, points: np.ndarray, k: int) -> np.ndarray:
+        """A squared distance within which each point has ``k`` rows; infinite if there are not so many at all."""
+        far = np.zeros((len(points), len(self.low)))
+        for j in range(points.shape[1]):
+            gap = np.maximum(np.abs(points[:, [j]] - self.low[:, j]), np.abs(points[:, [j]] - self.high[:, j]))
+            far += gap * gap
+        order = np.argsort(far, axis=1, kind="stable")
+        reached = np.cumsum(self.usable[order], axis=1) >= k
+        first = order[np.arange(len(points)), reached.argmax(axis=1)]
+        return np.where(reached.any(axis=1), far[np.arange(len(points)), first], np.inf)
+
+
 def cut_boxes(sample: np.ndarray, depth: int) -> Boxes:
     d = sample.shape[1]
     low, high = np.full((1, d), -np.inf), np.full((1, d), np.inf)
@@ -99,14 +129,16 @@ def nearest_neighbours(
     d = len(features)
     t = train.select(F.col(key).cast("bigint").alias("key"), *[F.col(f).cast("double") for f in features],
                      F.col(target).cast("double").alias("y"), *[F.col(a).alias("grp") for a in extra])
-    n = train.count()
+    # Of training rows at the same point only the k smallest keys can ever be chosen. Cut points are drawn from what is
+    # left, so a point that many rows share does not take them all.
+    same = Window.partitionBy(*features, *(["grp"] if extra else [])).orderBy("key")
+    t = checkpointed(t.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy"))
+    n = t.count()
+    # At most 2**14 boxes, whose cuts and spans the driver holds; fuller boxes are split below.
     depth = max(0, min(14, int(np.ceil(np.log2(max(1, n / box_rows))))))
     taken = t.orderBy(F.xxhash64("key")).limit(16 << depth).select(*features).collect() if depth else []
     boxes = cut_boxes(np.array([tuple(r) for r in taken], dtype=float).reshape(-1, d), depth)
 
-    # Of training rows at the same point only the k smallest keys can ever be chosen.
-    same = Window.partitionBy(*features, *(["grp"] if extra else [])).orderBy("key")
-    t = t.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
     q = query.select(F.col(key).cast("bigint").alias("key"), *[F.col(f).cast("double") for f in features],
                      *[F.col(a).alias("grp") for a in extra])
 
@@ -121,14 +153,9 @@ def nearest_neighbours(
 
     def match(probes: DataFrame) -> DataFrame:
         # At most 2**14 counts; they say over how many tasks the queries of a box are spread.
-        crowd = {r.box: 1 + r.n // query_rows for r in probes.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = {b: c for b, c in crowd.items() if c > 1}
-        split = F.lit(1)
-        if parts:
-            held = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-            split = F.coalesce(F.try_element_at(held, F.col("box")), F.lit(1))
-        left = probes.withColumn("part", F.pmod(F.xxhash64("key"), split).cast("int"))
-        right = t.withColumn("part", F.explode(F.sequence(F.lit(0), (split - 1).cast("int"))))
+        split = parts_of(probes, query_rows)
+        left = probes.withColumn("part", F.pmod(F.xxhash64("key"), split).cast("int")).withColumn("slice", all_parts(pieces))
+        right = t.withColumn("part", all_parts(split)).withColumn("slice", F.pmod(F.xxhash64("key"), pieces).cast("int"))
 
         def local(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             hits = [
@@ -142,11 +169,30 @@ def nearest_neighbours(
                 {"query_key": [], "neighbour_key": [], "target": [], "d2": []}).astype(
                 {"query_key": "int64", "neighbour_key": "int64", "target": "float64", "d2": "float64"})
 
-        return left.groupBy("box", "part").cogroup(right.groupBy("box", "part")).applyInPandas(local, found)
+        group = ("box", "part", "slice")
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(local, found)
+
+    def parts_of(rows: DataFrame, most: int) -> Column:
+        """Into how many parts the rows of a box are cut. At most 2**14 counts reach the driver."""
+        counts = rows.groupBy("box").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).collect()
+        if not counts:
+            return F.lit(1)
+        held = F.create_map(*[F.lit(x) for r in counts for x in (r.box, 1 + r.n // most)])
+        return F.coalesce(F.try_element_at(held, F.col("box")), F.lit(1))
+
+    def all_parts(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+
+    pieces = parts_of(t, 4 * box_rows)
+    rank = Window.partitionBy("query_key").orderBy("d2", "neighbour_key")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k).drop("_r")
 
     if depth == 0:
-        return match(q)
-    first = checkpointed(match(q))
+        return best(match(q))
+    spans = spans_of(t, features, 1 << depth, bool(extra))
+    first = checkpointed(best(match(q)))
     reach = first.groupBy("query_key").agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("r2"))
     open_q = q.join(reach, F.col("key") == F.col("query_key"), "left").select(
         *q.columns, F.when(F.col("c") >= k, F.col("r2")).otherwise(F.lit(float("inf"))).alias("r2")
@@ -154,21 +200,38 @@ def nearest_neighbours(
     schema = open_q.drop("r2").schema
 
     def other_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, _PAIR_BUDGET // len(boxes.low))
+        step = max(1, _PAIR_BUDGET // len(spans.low))
         for whole in batches:
             for at in range(0, len(whole), step):
                 b = whole.iloc[at : at + step]
-                touched = boxes.distance2(b[features].to_numpy(float)) <= b["r2"].to_numpy()[:, None]
+                where, r2 = b[features].to_numpy(float), b["r2"].to_numpy().copy()
+                short = np.isinf(r2)
+                r2[short] = spans.radius2(where[short], k)
+                touched = spans.near2(where) <= r2[:, None]
                 touched[np.arange(len(b)), b["box"].to_numpy()] = False
                 row, box = np.nonzero(touched)
                 out = b.iloc[row].drop(columns="r2")
                 yield out.assign(box=box.astype("int32"))
 
     second = match(checkpointed(open_q.mapInPandas(other_boxes, schema)))
-    rank = Window.partitionBy("query_key").orderBy("d2", "neighbour_key")
-    return (
-        first.unionByName(second).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k).drop("_r")
-    )
+    return best(first.unionByName(second))
+
+
+def spans_of(rows: DataFrame, features: Sequence[str], boxes: int, grouped: bool) -> Spans:
+    """One row per box reaches the driver. Where rows of one group never meet, those of a box's largest group are not
+    counted as usable, whatever group a query is of."""
+    keys = ["box", "grp"] if grouped else ["box"]
+    edges = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("low", F.min), ("high", F.max))]
+    per_group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *edges)
+    usable = F.sum("n") - F.max("n") if grouped else F.sum("n")
+    outer = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in features for n, f in (("low", F.min), ("high", F.max))]
+    low, high = np.full((boxes, len(features)), np.inf), np.full((boxes, len(features)), -np.inf)
+    count = np.zeros(boxes, np.int64)
+    for r in per_group.groupBy("box").agg(usable.alias("n"), *outer).collect():
+        count[r.box] = r.n
+        low[r.box] = [r[f"low_{c}"] for c in features]
+        high[r.box] = [r[f"high_{c}"] for c in features]
+    return Spans(low, high, count)
 
 
 def predict(neighbours: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenledger.operators import models
-from greenledger.operators.knn import cut_boxes, nearest_neighbours, predict
+from greenledger.operators.knn import Spans, cut_boxes, nearest_neighbours, predict
 
 FEATURES = ["environmental", "social", "governance"]
 
@@ -46,6 +46,31 @@ def test_neighbours_equal_brute_force(spark, box_rows, apart):
     assert rows == brute(train, query, 7, apart)
 
 
+def test_thin_boxes_visit_few_others():
+    """Two thirds of the space hold no rows: a query there reaches the nearest boxes that have enough, not all."""
+    r = np.random.default_rng(1)
+    low = r.uniform(0, 1000, (512, 3))
+    spans = Spans(low, low + r.uniform(0, 5, (512, 3)), np.where(np.arange(512) % 3 == 0, 4, 0))
+    spans.low[spans.usable == 0], spans.high[spans.usable == 0] = np.inf, -np.inf
+    queries = r.uniform(0, 1000, (200, 3))
+    radius = spans.radius2(queries, 7)
+    visited = (spans.near2(queries) <= radius[:, None]).sum(axis=1)
+    assert np.isfinite(radius).all() and (visited >= 2).all() and visited.mean() < 12
+    for q, r2 in zip(queries, radius):  # the bound holds the seven rows of any way to fill the boxes
+        far = (np.maximum(abs(q - spans.low), abs(q - spans.high)) ** 2).sum(axis=1)
+        assert spans.usable[far <= r2].sum() >= 7
+    assert np.isinf(spans.radius2(queries[:3], 10_000)).all()
+
+
+def test_hot_point_and_far_queries(spark):
+    train, query = points(600), points(80, seed=9)
+    query[FEATURES] = query[FEATURES] * 6 - 200  # most fall where there is nothing
+    got = nearest_neighbours(
+        spark.createDataFrame(train), spark.createDataFrame(query), FEATURES, "row_id", 7, box_rows=20, query_rows=25
+    )
+    assert {(r.query_key, r.neighbour_key, r.d2) for r in got.collect()} == brute(train, query, 7, None)
+
+
 def test_fewer_rows_than_neighbours(spark):
     train, query = points(4), points(5, seed=7)
     got = nearest_neighbours(spark.createDataFrame(train), spark.createDataFrame(query), FEATURES, "row_id", 7)
