@@ -35,6 +35,11 @@ def enough_companies(features: DataFrame, least: int = LEAST_COMPANIES) -> bool:
     return features.limit(least).count() == least
 
 
+def gated(features: DataFrame, least: int = LEAST_COMPANIES) -> DataFrame:
+    """The rows a model may learn from: all of them, or none below ``least`` companies."""
+    return features if enough_companies(features, least) else features.limit(0)
+
+
 def quartile_grades(features: DataFrame, value: str = "total") -> DataFrame:
     """Grade by quartile, edges closed on the right. Equal edges are an error, as no grade could be told apart."""
     names = ("e0", "e1", "e2", "e3", "e4")
@@ -77,16 +82,16 @@ def regress(train: DataFrame, query: DataFrame, k: int = 7) -> DataFrame:
 
 
 def hold_out_regression(features: DataFrame, k: int = 7, seed: int = SEED) -> DataFrame:
-    """Observed and predicted totals of the test rows."""
-    parts = checkpointed(split(features, seed))
+    """Observed and predicted totals of the test rows; none below the gate."""
+    parts = checkpointed(split(gated(features), seed))
     test = parts.where("is_test")
     guess = regress(parts.where("not is_test"), test, k)
     return test.join(guess, "row_id").select("row_id", *KEY, F.col("total").alias("observed"), "predicted")
 
 
 def fold_regression(features: DataFrame, k: int = 7, n_folds: int = 5) -> DataFrame:
-    """Every row predicted from the other folds, in one job."""
-    parts = checkpointed(folds(features, n_folds))
+    """Every row predicted from the other folds, in one job; none below the gate."""
+    parts = checkpointed(folds(gated(features), n_folds))
     guess = predict(nearest_neighbours(parts, parts, FEATURES, "row_id", k, apart="fold"))
     return parts.join(guess, F.col("row_id") == F.col("query_key")).select(
         "row_id", "fold", F.col("total").alias("observed"), "predicted"
@@ -149,8 +154,14 @@ def classify(model: RandomForestClassificationModel, rows: DataFrame) -> DataFra
     ).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def unclassified(graded: DataFrame) -> DataFrame:
+    return graded.limit(0).withColumn("predicted_grade", F.lit(None).cast("string"))
+
+
 def hold_out_classification(graded: DataFrame, num_trees: int = 300, max_depth: int = 12, seed: int = SEED) -> DataFrame:
-    """Observed and predicted grades of the test rows of one aligned, stratified split."""
+    """Observed and predicted grades of the test rows of one aligned, stratified split; none below the gate."""
+    if not enough_companies(graded):
+        return unclassified(graded).select("row_id", "grade", "predicted_grade")
     parts = checkpointed(stratified_split(graded, seed))
     model = fit_forest(parts.where("not is_test"), num_trees, max_depth, seed)
     return classify(model, parts.where("is_test")).select("row_id", "grade", "predicted_grade")
@@ -159,7 +170,9 @@ def hold_out_classification(graded: DataFrame, num_trees: int = 300, max_depth:
 def fold_classification(
     graded: DataFrame, num_trees: int = 300, max_depth: int = 12, n_folds: int = 5, seed: int = SEED
 ) -> DataFrame:
-    """One forest per fold; every row is classified by the forest that has not seen it."""
+    """One forest per fold; every row is classified by the forest that has not seen it. None below the gate."""
+    if not enough_companies(graded):
+        return unclassified(graded).select("row_id", F.lit(0).alias("fold"), "grade", "predicted_grade")
     parts = checkpointed(stratified_folds(graded, n_folds))
     out = None
     for fold in range(n_folds):

@@ -62,23 +62,17 @@ def rule_report(df: DataFrame, table: Table, tables: Mapping[str, DataFrame], ex
             if existing is not None:
                 clash = df.join(existing.select(*key), list(key), "left_semi")
                 parts.append(_count(clash, table.name, rule, key))
-    required = list(dict.fromkeys([*table.not_null]))
-    if required:
-        counts = null_counts(df, required)
-        rows = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in required])
-        parts.append(
-            counts.select(F.explode(rows).alias("r")).select(
-                F.lit(table.name).alias("table_name"),
-                F.lit("not null").alias("rule"),
-                F.col("r.c").alias("columns"),
-                F.col("r.n").alias("violations"),
-            )
-        )
-    for column, allowed in table.domains.items():
-        parts.append(_count(outside_domain(df, column, allowed), table.name, "check", [column]))
-    for column in table.non_negative:
-        if existing is not None:
-            parts.append(_count(negative_values(df, column), table.name, "insert guard", [column]))
+    # Rules that a row breaks on its own are counted together, in one pass.
+    alone = [("not null", c, F.col(c).isNull()) for c in dict.fromkeys(table.not_null)]
+    alone += [("check", c, ~F.col(c).isin(list(allowed))) for c, allowed in table.domains.items()]
+    if existing is not None:
+        alone += [("insert guard", c, F.col(c) < 0) for c in table.non_negative]
+    if alone:
+        counts = F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("columns"), F.count_if(broken).alias("violations"))
+            for rule, c, broken in alone
+        ])
+        parts.append(df.agg(counts.alias("all")).select(F.lit(table.name).alias("table_name"), F.inline("all")))
     for key in table.foreign_keys:
         parent = tables[key.parent]
         if key.parent == table.name and existing is not None:

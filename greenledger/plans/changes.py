@@ -273,16 +273,20 @@ def _(d: Domain):
 
 @query(
     "rule_report",
-    """select 'company' table_name, 'primary key' rule, 'company_id' columns, 0::bigint violations
+    """select 'company' table_name, 'primary key' rule, 'company_id' columns,
+(select count(*) from (select company_id from company group by 1 having count(*)>1)) violations
 union all select 'company','unique','tax_id', (select count(*) from (select tax_id from company group by 1 having count(*)>1))
-union all select 'company','not null','trade_name',0 union all select 'company','not null','tax_id',0
+union all select 'company','not null',* from (unpivot (select count(*)-count(trade_name) trade_name, count(*)-count(tax_id) tax_id from company) on trade_name, tax_id)
 union all select 'company','foreign key','parent_company_id',(select count(*) from company c where parent_company_id is not null and parent_company_id not in (select company_id from company))
-union all select 'reading','primary key','reading_id',0
-union all select 'reading','not null',c,0 from (values ('read_at'),('measured_value'),('status'),('site_id'),('company_id'),('metric_id')) t(c)
-union all select 'reading','check','status',0
+union all select 'reading','primary key','reading_id',(select count(*) from (select reading_id from reading group by 1 having count(*)>1))
+union all select 'reading','not null',* from (unpivot (select count(*)-count(read_at) read_at, count(*)-count(measured_value) measured_value,
+count(*)-count(status) status, count(*)-count(site_id) site_id, count(*)-count(company_id) company_id, count(*)-count(metric_id) metric_id
+from reading) on read_at, measured_value, status, site_id, company_id, metric_id)
+union all select 'reading','check','status',(select count(*) from reading where status not in ('PENDING','VALIDATED','REJECTED'))
 union all select 'reading','foreign key','site_id,company_id',(select count(*) from reading where company_id not in (select company_id from site))
-union all select 'reading','foreign key','metric_id',0
-union all select 'audit','primary key','audit_id',0 union all select 'audit','not null','audit_date',0 union all select 'audit','not null','auditor_id',0
+union all select 'reading','foreign key','metric_id',(select count(*) from reading where metric_id not in (select metric_id from metric))
+union all select 'audit','primary key','audit_id',(select count(*) from (select audit_id from audit group by 1 having count(*)>1))
+union all select 'audit','not null',* from (unpivot (select count(*)-count(audit_date) audit_date, count(*)-count(auditor_id) auditor_id from audit) on audit_date, auditor_id)
 union all select 'audit','foreign key','auditor_id',(select count(*) from audit where auditor_id not in (select auditor_id from auditor))""",
 )
 def _(d: Domain):

@@ -8,23 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import checkpointed
+
 TRANSITION = "reading_id bigint, seq bigint, old_status string, new_status string"
 
 
 def _transitions(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Compare each status with the one before; the last one is kept for the next batch.
+    """Compare each status with the one before; the last status and its ``seq`` are kept for the next batch.
 
     The events of one reading in one batch are ordered by ``seq``. How many those can be is set by the rate
-    limit of the source (maxFilesPerTrigger, maxOffsetsPerTrigger), not by the size of the history.
+    limit of the source (maxFilesPerTrigger, maxOffsetsPerTrigger), not by the size of the history. An event whose
+    ``seq`` is not beyond the last one of an earlier batch came too late: its place is already written, so it is dropped.
     """
-    events = pd.concat(list(chunks)).dropna(subset=["status"]).sort_values("seq", kind="stable")
+    events = pd.concat(list(chunks)).dropna(subset=["status", "seq"]).sort_values("seq", kind="stable")
+    known, last = state.get if state.exists else (None, None)
+    if last is not None:
+        events = events[events["seq"] > last]
     if events.empty:
         return
-    known = state.get[0] if state.exists else None
     before = events["status"].shift(1)
     before.iloc[0] = known
     changed = before.notna() & (before != events["status"])
-    state.update((events["status"].iloc[-1],))
+    state.update((events["status"].iloc[-1], int(events["seq"].iloc[-1])))
     yield pd.DataFrame(
         {
             "reading_id": events["reading_id"][changed],
@@ -36,20 +41,33 @@ def _transitions(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
 
 
 def status_transition_stream(events: DataFrame) -> DataFrame:
-    """Events (reading_id, seq, status) to real status changes."""
+    """Events (reading_id, seq, status) to real status changes; late events are dropped. One small state per reading."""
     return (
         events.select("reading_id", "seq", "status")
         .groupBy("reading_id")
-        .applyInPandasWithState(_transitions, TRANSITION, "status string", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(
+            _transitions, TRANSITION, "status string, seq bigint", "append", GroupStateTimeout.NoTimeout
+        )
     )
 
 
 def status_transition_batch(events: DataFrame) -> DataFrame:
-    """The same transitions over a finished history."""
-    before = F.lag("status").over(Window.partitionBy("reading_id").orderBy("seq"))
+    """The same transitions over a finished history.
+
+    The events are cut into ranges of (reading, seq), so a reading with very many events lies in several tasks. Inside a
+    range each status is compared with the one before; the first one of a range with the last of the range before it.
+    """
+    ranged = events.where(F.col("status").isNotNull()).repartitionByRange("reading_id", "seq")
+    rows = checkpointed(ranged.select("reading_id", "seq", "status").withColumn("_range", F.spark_partition_id()))
+    last = rows.groupBy("reading_id", "_range").agg(F.max_by("status", "seq").alias("_last"))
+    carried = last.select(
+        "reading_id", "_range", F.lag("_last").over(Window.partitionBy("reading_id").orderBy("_range")).alias("_carried")
+    )
+    before = F.lag("status").over(Window.partitionBy("reading_id", "_range").orderBy("seq"))
     return (
-        events.where(F.col("status").isNotNull())
-        .withColumn("old_status", before)
+        rows.withColumn("_before", before)
+        .join(carried, ["reading_id", "_range"])
+        .withColumn("old_status", F.coalesce("_before", "_carried"))
         .where(F.col("old_status") != F.col("status"))
         .select("reading_id", "seq", "old_status", F.col("status").alias("new_status"))
     )

@@ -139,3 +139,6 @@ def test_regression_scores(spark):
 def test_company_gate(spark):
     _, df = graded(spark)
     assert models.enough_companies(df) and not models.enough_companies(df.limit(39))
+    few = df.limit(39)
+    assert models.hold_out_regression(few).collect() == [] and models.fold_regression(few).collect() == []
+    assert models.hold_out_classification(few).collect() == [] and models.fold_classification(few).collect() == []

@@ -42,3 +42,42 @@ def test_arrivals_are_split_once(spark):
     assert [r.reading_id for r in spark.read.parquet(good).collect()] == [1]
     assert sorted((r.reading_id, r.reason) for r in spark.read.parquet(bad).collect()) == [
         (2, "measured_value is negative"), (3, "status not allowed")]
+
+
+def test_batch_transitions_of_a_busy_reading(spark):
+    """Most events belong to one reading, which is cut into several ranges; equal neighbours are no change."""
+    from greenledger.streaming.changelog import status_transition_batch
+
+    names = ["PENDING", "VALIDATED", "REJECTED"]
+    rows = [(1, i, names[(i * i // 7) % 3]) for i in range(4000)] + [(r, i, names[i % 3]) for r in (2, 3) for i in range(5)]
+    rows += [(4, 1, None), (4, 2, "PENDING")]
+    got = {tuple(r) for r in status_transition_batch(spark.createDataFrame(rows, "reading_id long, seq long, status string")).collect()}
+    want, last = set(), {}
+    for reading, seq, status in rows:
+        if status is not None:
+            if last.get(reading, status) != status:
+                want.add((reading, seq, last[reading], status))
+            last[reading] = status
+    assert got == want
+
+
+def test_late_events_are_dropped():
+    import pandas as pd
+
+    from greenledger.streaming.changelog import _transitions
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def events(*pairs):
+        return iter([pd.DataFrame({"reading_id": 1, "seq": [p[0] for p in pairs], "status": [p[1] for p in pairs]})])
+
+    state = State()
+    first = pd.concat(_transitions((1,), events((2, "VALIDATED"), (1, "PENDING")), state))
+    assert first[["seq", "old_status", "new_status"]].values.tolist() == [[2, "PENDING", "VALIDATED"]]
+    assert list(_transitions((1,), events((1, "REJECTED"), (2, "REJECTED")), state)) == []
+    after = pd.concat(_transitions((1,), events((1, "PENDING"), (3, "REJECTED")), state))
+    assert after[["seq", "old_status", "new_status"]].values.tolist() == [[3, "VALIDATED", "REJECTED"]]
