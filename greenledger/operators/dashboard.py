@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
@@ -85,6 +85,11 @@ class Dashboard:
             out = out.where_facts(F.col("read_at") < F.lit(end).cast("timestamp_ntz"))
         return out
 
+    def per_company(self, combine: Callable[[DataFrame, list[str]], DataFrame], *keys: str) -> DataFrame:
+        """``combine(facts, grouping columns)`` per company and fact key, joined to the labels asked for."""
+        fact_keys = [k for k in keys if k in self.facts.columns]
+        return combine(_keyed(self.facts, fact_keys), ["company_id", *fact_keys]).join(self._labels_by(*keys), "company_id")
+
     def totals(self, *keys: str) -> DataFrame:
         """Weighted rows (n), values (c) and exact sum (s) per key; NULL keys form no group."""
         fact_keys = [k for k in keys if k in self.facts.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import exact_sum
 
@@ -13,27 +13,44 @@ def weighted_moments(df: DataFrame, value: str, weight: str, keys: Sequence[str]
     """n, mean, sum of squares about the mean (ss), sample variance and sd, biased skewness, excess kurtosis.
 
     Rows of equal weight are aggregated with the built-in, merge-safe moments; the few partial results of a
-    group are then shifted to the group's mean. No second pass and no join with the means is needed.
+    group are then shifted to the group's mean. The rows are read once.
     """
-    kept = df.where(F.col(value).isNotNull())
+    return merge_moments(partial_moments(df, value, [*keys, weight]), weight, keys)
+
+
+def partial_moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Count, exact sum and shape of the values of each group that are neither NULL nor NaN; NULL keys form no group."""
+    kept = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
-    parts = kept.groupBy(*keys, weight).agg(
+    return kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("c"),
         exact_sum(value).alias("s"),
         F.var_pop(value).alias("v2"),
         F.coalesce(F.skewness(value), F.lit(0.0)).alias("g1"),
         F.coalesce(F.kurtosis(value), F.lit(-3.0)).alias("g2"),
     )
-    group = Window.partitionBy(*keys)
+
+
+def merge_moments(parts: DataFrame, weight: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Moments of groups from ``partial_moments``, each part counted ``weight`` times.
+
+    The parts of a group are shifted to its mean, which comes from their sums first.
+    """
+    for k in keys:
+        parts = parts.where(F.col(k).isNotNull())
     whole = F.col("s").cast("decimal(27,10)") * F.col(weight).cast("decimal(10,0)")
     d, v2 = F.col("d"), F.col("v2")
     p2, p3, p4 = (lambda c: c * c), (lambda c: c * c * c), (lambda c: c * c * c * c)
     m3, m4 = F.col("g1") * F.sqrt(v2) * v2, (F.col("g2") + 3) * v2 * v2
+    weighed = parts.withColumn("n", F.col("c") * F.col(weight))
+    mean = F.try_divide(F.sum(whole).cast("double"), F.sum("n").cast("double"))
+    if keys:
+        centred = weighed.join(weighed.groupBy(*keys).agg(mean.alias("m")), list(keys))
+    else:
+        centred = weighed.withColumn("m", weighed.agg(mean).scalar())
     sums = (
-        parts.withColumn("n", F.col("c") * F.col(weight))
-        .withColumn("m", F.sum(whole).over(group).cast("double") / F.sum("n").over(group).cast("double"))
-        .withColumn("d", F.col("s").cast("double") / F.col("c").cast("double") - F.col("m"))
+        centred.withColumn("d", F.col("s").cast("double") / F.col("c").cast("double") - F.col("m"))
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),

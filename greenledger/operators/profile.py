@@ -10,7 +10,7 @@ from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, im
 from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
 from .dashboard import VALUE, W, Dashboard, keep_most_frequent
-from .moments import weighted_moments
+from .moments import merge_moments, partial_moments
 from .ordering import count_percentiles, exact_percentiles, ranged_counts, value_counts
 from .rows import side_by_side, sized_broadcast
 
@@ -85,8 +85,11 @@ def distinct_counts(base: Dashboard, approximate: float | None = None) -> DataFr
 
 
 def moments(base: Dashboard, *keys: str) -> DataFrame:
-    """n, mean, sample variance and sd, biased skewness and excess kurtosis."""
-    return weighted_moments(base.values(*keys), VALUE, W, keys).select(
+    """n, mean, sample variance and sd, biased skewness and excess kurtosis.
+
+    The facts are combined per company first, so one row per company and fact key meets the labels.
+    """
+    return merge_moments(base.per_company(lambda facts, by: partial_moments(facts, VALUE, by), *keys), W, keys).select(
         *keys, F.col("n").alias("readings"), F.col("mean").alias("mean_value"), "variance", "sd", "skewness", "kurtosis"
     )
 
