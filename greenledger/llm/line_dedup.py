@@ -16,6 +16,8 @@ their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,25 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def word_count(lines: Column) -> Column:
-    """Words of several lines put together."""
-    return F.size(F.regexp_extract_all(lines, F.lit(f"[^{SPACE}]+"), F.lit(0)))
+def word_count(line: Column) -> Column:
+    """Words of a line that neither starts nor ends with a space; only lines with other gaps are cut to count them."""
+    exact = F.size(F.regexp_extract_all(line, F.lit(f"[^{SPACE}]+"), F.lit(0)))
+    plain = F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), exact).otherwise(plain)
+
+
+def over_windows(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """``combine`` of each three neighbours of an array of at least three."""
+    n = F.size(values) - (WINDOW - 1)
+    first, second, third = (F.slice(values, F.lit(i), n) for i in (1, 2, 3))
+    return F.zip_with(F.zip_with(first, second, combine), third, combine)
 
 
 def windows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines)."""
+    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines).
+
+    Each line is hashed and counted once; windows combine what their lines have.
+    """
     kept = F.filter(
         F.transform(lines_of(F.col(text)), lambda line: F.btrim(line, F.lit(_ENDS))),
         lambda line: F.rlike(line, F.lit(f"[^{SPACE}]")),
@@ -46,14 +60,17 @@ def windows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     lines = docs.where(F.col(text).isNotNull()).select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), kept.alias("_lines")
     ).where(F.size("_lines") >= WINDOW)
-    numbered = F.transform(
-        F.slice("_lines", F.lit(1), F.size("_lines") - (WINDOW - 1)),
-        lambda first, i: F.struct(i.alias("at"), F.array_join(F.slice("_lines", i + 1, F.lit(WINDOW)), "\n").alias("w")),
+    hashed = lines.select(
+        "_id", "_digest", F.transform("_lines", lambda line: F.xxhash64(line)).alias("_h"),
+        F.transform("_lines", lambda line: F.xxhash64(line, F.lit(1))).alias("_g"),
+        F.transform("_lines", word_count).alias("_n"),
     )
-    opened = lines.select("_id", "_digest", F.inline(numbered).alias("_at", "_window"))
-    return opened.where(word_count(F.col("_window")) >= MIN_WORDS).select(
-        "_id", "_digest", "_at", F.xxhash64("_window").alias("_h"), F.xxhash64("_window", F.lit(1)).alias("_g")
+    combined = hashed.select(
+        "_id", "_digest", over_windows(F.col("_h"), lambda a, b: F.xxhash64(a, b)).alias("_h"),
+        over_windows(F.col("_g"), lambda a, b: F.xxhash64(a, b)).alias("_g"), over_windows(F.col("_n"), lambda a, b: a + b).alias("_n"),
     )
+    opened = combined.select("_id", "_digest", F.posexplode(F.arrays_zip("_h", "_g", "_n")).alias("_at", "_w"))
+    return opened.where(F.col("_w._n") >= MIN_WORDS).select("_id", "_digest", "_at", "_w._h", "_w._g")
 
 
 def later_occurrences(windows: DataFrame) -> DataFrame:
