@@ -37,7 +37,7 @@ def lines_of(text: Column) -> Column:
 def word_count(line: Column) -> Column:
     """Words of a line that neither starts nor ends with a space; only lines with other gaps are cut to count them."""
     exact = F.size(F.regexp_extract_all(line, F.lit(f"[^{SPACE}]+"), F.lit(0)))
-    plain = F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    plain = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), exact).otherwise(plain)
 
 
@@ -48,8 +48,9 @@ def over_windows(values: Column, combine: Callable[[Column, Column], Column]) ->
     return F.zip_with(F.zip_with(first, second, combine), third, combine)
 
 
-def windows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines).
+def windows_of(docs: DataFrame, id_col: str, text: str, placed: bool = True) -> DataFrame:
+    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines), or only
+    ``_h`` if not ``placed``.
 
     Each line is hashed and counted once; windows combine what their lines have.
     """
@@ -69,13 +70,18 @@ def windows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         "_id", "_digest", over_windows(F.col("_h"), lambda a, b: F.xxhash64(a, b)).alias("_h"),
         over_windows(F.col("_g"), lambda a, b: F.xxhash64(a, b)).alias("_g"), over_windows(F.col("_n"), lambda a, b: a + b).alias("_n"),
     )
+    if not placed:
+        return combined.select(F.inline(F.arrays_zip("_h", "_n"))).where(F.col("_n") >= MIN_WORDS).select("_h")
     opened = combined.select("_id", "_digest", F.posexplode(F.arrays_zip("_h", "_g", "_n")).alias("_at", "_w"))
     return opened.where(F.col("_w._n") >= MIN_WORDS).select("_id", "_digest", "_at", "_w._h", "_w._g")
 
 
-def later_occurrences(windows: DataFrame) -> DataFrame:
-    """Per text the numbers of its windows that are not the first of their kind: ``_id``, ``_digest``, ``_removed``."""
-    repeated = windows.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+def later_occurrences(windows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Per text the numbers of its windows that are not the first of their kind: ``_id``, ``_digest``, ``_removed``.
+
+    ``hashes`` has ``_h`` of all windows once more, so that counting them does not carry their places.
+    """
+    repeated = hashes.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
     # A hash of 64 bits may bring different windows together here; the second one keeps them apart.
     members = materialised(windows.join(repeated, "_h", "left_semi"))
     place = F.struct("_id", "_digest", "_at")
@@ -99,7 +105,8 @@ def covered_lines(removed: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its ``text`` cleaned, and ``removed_lines``: how many lines that hold a word were removed."""
-    removed = later_occurrences(windows_of(docs, id_col, text)).withColumn("_runs", covered_lines(F.col("_removed")))
+    later = later_occurrences(windows_of(docs, id_col, text), windows_of(docs, id_col, text, placed=False))
+    removed = later.withColumn("_runs", covered_lines(F.col("_removed")))
     marked = docs.withColumn("_digest", F.xxhash64(text))
     same = marked[id_col].eqNullSafe(removed["_id"]) & (marked["_digest"] == removed["_digest"])
     joined = marked.join(removed.select("_id", "_digest", "_runs"), same, "left")
