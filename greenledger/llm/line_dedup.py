@@ -48,11 +48,10 @@ def over_windows(values: Column, combine: Callable[[Column, Column], Column]) ->
     return F.zip_with(F.zip_with(first, second, combine), third, combine)
 
 
-def windows_of(docs: DataFrame, id_col: str, text: str, placed: bool = True) -> DataFrame:
-    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines), or only
-    ``_h`` if not ``placed``.
+def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``_id``, ``_digest``, and of each line that holds a word its hash (``_lines``) and words (``_words``).
 
-    Each line is hashed and counted once; windows combine what their lines have.
+    Twelve bytes a line are kept on the shared folder, so the texts are cut once for all that follows.
     """
     kept = F.filter(
         F.transform(lines_of(F.col(text)), lambda line: F.btrim(line, F.lit(_ENDS))),
@@ -61,17 +60,22 @@ def windows_of(docs: DataFrame, id_col: str, text: str, placed: bool = True) ->
     lines = docs.where(F.col(text).isNotNull()).select(
         F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), kept.alias("_lines")
     ).where(F.size("_lines") >= WINDOW)
-    hashed = lines.select(
-        "_id", "_digest", F.transform("_lines", lambda line: F.xxhash64(line)).alias("_h"),
-        F.transform("_lines", lambda line: F.xxhash64(line, F.lit(1))).alias("_g"),
-        F.transform("_lines", word_count).alias("_n"),
-    )
-    combined = hashed.select(
-        "_id", "_digest", over_windows(F.col("_h"), lambda a, b: F.xxhash64(a, b)).alias("_h"),
-        over_windows(F.col("_g"), lambda a, b: F.xxhash64(a, b)).alias("_g"), over_windows(F.col("_n"), lambda a, b: a + b).alias("_n"),
-    )
+    return materialised(lines.select(
+        "_id", "_digest", F.transform("_lines", lambda line: F.xxhash64(line)).alias("_lines"),
+        F.transform("_lines", word_count).alias("_words"),
+    ))
+
+
+def windows_of(lines: DataFrame, placed: bool = True) -> DataFrame:
+    """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines' hashes),
+    or only ``_h`` if not ``placed``."""
+    first = over_windows(F.col("_lines"), lambda a, b: F.xxhash64(a, b)).alias("_h")
+    words = over_windows(F.col("_words"), lambda a, b: a + b).alias("_n")
     if not placed:
-        return combined.select(F.inline(F.arrays_zip("_h", "_n"))).where(F.col("_n") >= MIN_WORDS).select("_h")
+        opened = lines.select(first, words).select(F.inline(F.arrays_zip("_h", "_n")))
+        return opened.where(F.col("_n") >= MIN_WORDS).select("_h")
+    second = over_windows(F.col("_lines"), lambda a, b: F.xxhash64(a, b, F.lit(1))).alias("_g")
+    combined = lines.select("_id", "_digest", first, second, words)
     opened = combined.select("_id", "_digest", F.posexplode(F.arrays_zip("_h", "_g", "_n")).alias("_at", "_w"))
     return opened.where(F.col("_w._n") >= MIN_WORDS).select("_id", "_digest", "_at", "_w._h", "_w._g")
 
@@ -105,7 +109,8 @@ def covered_lines(removed: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its ``text`` cleaned, and ``removed_lines``: how many lines that hold a word were removed."""
-    later = later_occurrences(windows_of(docs, id_col, text), windows_of(docs, id_col, text, placed=False))
+    lines = hashed_lines(docs, id_col, text)
+    later = later_occurrences(windows_of(lines), windows_of(lines, placed=False))
     removed = later.withColumn("_runs", covered_lines(F.col("_removed")))
     marked = docs.withColumn("_digest", F.xxhash64(text))
     same = marked[id_col].eqNullSafe(removed["_id"]) & (marked["_digest"] == removed["_digest"])
