@@ -28,12 +28,13 @@ from .common import materialised
 #: Vectors the trees are cut on, at most. Cells get wider with the table beyond it; every row is indexed all the same.
 SAMPLE = 32_768
 TREES = 12
-#: Points a leaf should hold.
-LEAF = 128
+#: Points a leaf should hold, and splits from a root to a leaf, at most: with the share of leaves below, a query brings
+#: back as many rows from a large table as from a small one, and leaves grow instead.
+LEAF, DEPTH = 128, 7
 #: Leaves a query visits: this share of all leaves of all trees, at least ``VISITS``. Vectors without any structure, the
 #: hardest case, need a constant share: 0.944 of the true neighbours were found among 10,256 such vectors of 64
-#: components and 0.979 among 51,282.
-VISITS, VISIT_SHARE = 64, 0.05
+#: components (at a share of 0.05) and 0.95 among 51,282.
+VISITS, VISIT_SHARE = 64, 0.06
 #: A node's direction joins two centres found from a random draw of its points; a cut between them that leaves less
 #: than this share on a side is moved to the median.
 MEANS, MEANS_STEPS, LEAST_SHARE = 256, 4, 0.1
@@ -149,7 +150,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     fit = np.array(chosen, float).reshape(len(chosen), width)
     points = distinct_points(rows, id_col, vector, k + 1)
     total = rows.count()
-    depth = max(0, math.ceil(math.log2(max(1, min(total / leaf, len(fit) / 4)))))
+    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, min(total / leaf, len(fit) / 4))))))
     forest = grow(fit, trees, depth)
     visits = max(VISITS, math.ceil(visit_share * trees * 2**depth))
     shared = table.sparkSession.sparkContext.broadcast(forest)
