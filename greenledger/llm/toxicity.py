@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from .common import materialised
 from .labelled import fit_sample, held_out
 
-#: Labelled documents in the index and terms in the vocabulary, at most.
+#: Labelled documents in the index, at most.
 EXAMPLES = 20_000
-VOCABULARY = 512
 NEIGHBOURS = 15
 BLOCK = 512
-#: Documents a term must be in, and the log-likelihood ratio it must reach: chance gives 50 once in 10^12 terms.
-MIN_DOCUMENTS, MIN_RATIO = 3, 50.0
+#: Blocks compared one by one; what the bounds then leave is compared in one sweep over the terms.
+AHEAD = 3
+#: Documents a term must be in, and the log-likelihood ratio it must reach: chance gives 15 once in 10^4 terms.
+MIN_DOCUMENTS, MIN_RATIO = 3, 15.0
 #: Vectors whose neighbours one task remembers.
 MEMORY = 50_000
 BEGINNINGS = (4, 5, 6, 7)
@@ -54,7 +55,7 @@ def term_counts(text: str | None) -> Counter[str]:
     return counts
 
 
-def pick_terms(sample: DataFrame, label: str, text: str, vocabulary: int) -> list[str]:
+def pick_terms(sample: DataFrame, label: str, text: str) -> list[str]:
     """Terms that occur in a larger share of the label's documents, the largest log-likelihood ratio first."""
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def pick_terms(sample: DataFrame, label: str, text: str, vocabulary: int) -> lis
         + part(documents - positive - n + k, (documents - n) * (1 - share))
     )
     chosen = seen.where(k > n * share).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
-    return [r["term"] for r in chosen.orderBy(F.desc("ratio"), "term").limit(vocabulary).select("term").collect()]
+    return [r["term"] for r in chosen.orderBy(F.desc("ratio"), "term").select("term").collect()]
 
 
 def term_vectors(docs: DataFrame, terms: list[str], text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -133,20 +134,29 @@ class BlockMaxIndex:
         order = order[: np.count_nonzero(bounds > 0)]
         slots = np.empty(0, np.int64)
         cosines = np.empty(0)
-        for block in order.tolist():
+        for done, block in enumerate(order.tolist()):
             # Rounding may set a bound a little below a cosine it covers.
             if len(slots) == k and bounds[block] < cosines[-1] - 1e-9:
                 break
-            totals = np.zeros(BLOCK)
-            first, last = self.starts[terms, block], self.starts[terms, block + 1]
+            rest = done == AHEAD
+            start, end = (0, self.largest.shape[1]) if rest else (block, block + 1)
+            totals = np.zeros((end - start) * BLOCK)
+            first, last = self.starts[terms, start], self.starts[terms, end]
             for i in np.flatnonzero(last > first).tolist():
                 lo, hi = first[i], last[i]
-                totals[self.slots[lo:hi] - block * BLOCK] += weights[i] * self.weights[lo:hi]
-            hit = np.flatnonzero(totals >= (cosines[-1] - 1e-9 if len(slots) == k else 1e-300))
-            slots = np.concatenate([slots, hit + block * BLOCK])
+                totals[self.slots[lo:hi] - start * BLOCK] += weights[i] * self.weights[lo:hi]
+            if rest:
+                totals.reshape(-1, BLOCK)[order[:done]] = 0
+            least = cosines[-1] - 1e-9 if len(slots) == k else 1e-300
+            if rest and len(totals) > k:
+                least = max(least, np.partition(totals, -k)[-k] - 1e-9)
+            hit = np.flatnonzero(totals >= least)
+            slots = np.concatenate([slots, hit + start * BLOCK])
             cosines = np.concatenate([cosines, np.round(totals[hit], 12)])
             best = np.lexsort((self.ids[slots], -cosines))[:k]
             slots, cosines = slots[best], cosines[best]
+            if rest:
+                break
         return slots, cosines
 
     def score(self, terms: list[int], counts: list[int], own: int | None, known: dict) -> tuple[float, list[int]]:
@@ -197,15 +207,14 @@ def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndar
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
-                   label: str = "toxic", keep: tuple[str, ...] = (), examples: int = EXAMPLES,
-                   vocabulary: int = VOCABULARY) -> DataFrame:
+                   label: str = "toxic", keep: tuple[str, ...] = (), examples: int = EXAMPLES) -> DataFrame:
     """``id_col``, ``keep``, ``score`` and ``evidence`` (ids of the nearest examples) of every row of ``docs``.
 
-    The gathered index has at most ``examples`` vectors over ``vocabulary`` terms.
+    The gathered index has at most ``examples`` vectors over all terms that go with the label in them.
     """
     sample = fit_sample(docs, labels, label, ~held_out(id_col, FOLDS, HELD_OUT), examples, id_col, text)
     sample = materialised(sample)
-    terms = pick_terms(sample, label, text, vocabulary)
+    terms = pick_terms(sample, label, text)
     kept = tuple(dict.fromkeys([id_col, *keep]))
     vectors = materialised(term_vectors(docs, terms, text, kept))
     documents = vectors.count()

@@ -127,3 +127,27 @@ def test_own_example_is_no_evidence():
     t, c = vectors[own]
     assert own * 3 not in index.score(t.tolist(), c.tolist(), own * 3, {})[1]
     assert own * 3 in index.score(t.tolist(), c.tolist(), None, {})[1]
+
+
+def test_terms_of_a_small_sample(spark):
+    rows = queries.op6_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert any(r["evidence"] for r in rows) and len({r["score"] for r in rows}) > 1
+
+
+def test_every_term_beyond_chance_is_kept(frame):
+    """Seven hundred words of which each stands in four of ten toxic texts and in no other."""
+    words = ["".join(chr(97 + i // 26**p % 26) for p in range(3)) for i in range(700)]
+    rows = [(" ".join(w for i, w in enumerate(words) if (d + i) % 10 < 4), 1) for d in range(10)] + [("clean", 0)] * 90
+    terms = toxicity.pick_terms(frame(rows, "text string, y int"), "y", "text")
+    assert set(words) <= set(terms)
+
+
+def test_sweep_finds_what_blocks_find(monkeypatch):
+    vectors, idf, index = random_index(5, 6000)
+    for t, c in vectors[:80]:
+        if len(t):
+            swept = index.nearest(t, toxicity.unit(c, idf[t]), 10)
+            with monkeypatch.context() as m:
+                m.setattr(toxicity, "AHEAD", -1)
+                by_block = index.nearest(t, toxicity.unit(c, idf[t]), 10)
+            assert swept[0].tolist() == by_block[0].tolist() and np.allclose(swept[1], by_block[1], atol=1e-11)
