@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenledger.llm import line_dedup, packing, quality, simhash, toxicity
+from greenledger.llm import packing, passages, quality, simhash, toxicity
 from greenledger.llm.common import table
 
 
@@ -39,7 +39,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of passages; ``n_chars`` follows the text."""
-    cleaned = line_dedup.remove_repeats(docs).drop("removed_lines")
+    cleaned = passages.remove_passages(docs)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind))
