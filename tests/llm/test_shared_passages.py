@@ -30,3 +30,11 @@ def test_any_fifty_words_hold_a_run():
     for i in range(1, 200):
         a, b = (passages.windows_of(" ".join(words(s, 30 + s % 9) + shared + words(s + 1, 30)))[0] for s in (i, i + 500))
         assert set(a.tolist()) & set(b.tolist())
+
+
+def test_short_lines_and_short_texts(spark, frame):
+    rows = [(1, "Own one here\nHome\nNews\nHelp\n"), (2, "Other two there\nHome\nNews\nHelp\n"), (3, "Same text"), (4, "Same text"),
+            (5, "z " * 90), (6, None)]
+    got = dict(rows_of(corpus_pipeline.line_deduplication(spark, frame(rows, "doc_id long, text string"), ""), "doc_id", "text"))
+    assert got == dict(rows) | {2: "Other two there\n", 4: ""} | {5: got[5]}
+    assert got[5].split().count("z") >= 20
