@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, toxicity, url_filter
+from . import (
+    bpe, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, spelling, toxicity, url_filter,
+)
 from .common import table
 from .labelled import held_out
 
@@ -179,6 +181,56 @@ select page_id, host, path, rule, coalesce(does, case when listed then 'block' e
 from judged
 """
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t
+), runs as (
+  select coalesce(cast(doc_id as varchar), '') id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) r from documents
+), lowered as (
+  select id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w, count(*) n
+  from runs where length(r) >= 6 group by all
+), points as (
+  select w, n, list_transform(string_split(id || ':' || w, ''), lambda c: unicode(c)) p from lowered
+), bytes as (
+  select w, n, flatten(list_transform(p, lambda c: case when c < 128 then [c] else [192 + (c >> 6), 128 + (c & 63)] end)) b
+  from points
+), hashed as (
+  select w, n, xor(list_reduce(list_prepend(4294967295, b),
+    lambda h, c: xor(h >> 8, t[1 + cast(xor(h, c) & 255 as int)])), 4294967295) h
+  from bytes, crc
+), written as (
+  select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end word, n
+  from hashed
+), words as materialized (
+  select word, cast(sum(n) as bigint) n from written where length(word) >= 6 group by word having sum(n) >= 5
+), dels as (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) d
+  from (select word, unnest(range(1, length(word) + 1)) i from words)
+), nears as materialized (
+  select a.word, b.word near from dels a join dels b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select dels.word, w.word from dels join words w on d = w.word
+  union select w.word, dels.word from dels join words w on d = w.word
+), ranked as (
+  select nears.word, near, words.n m, count(*) over (partition by nears.word) n_near,
+         row_number() over (partition by nears.word order by words.n desc, near) o
+  from nears join words on near = words.word
+), forms as materialized (
+  select word, case when m >= 5 * n then near end form, n, coalesce(n_near, 0) n_near, case when m >= 5 * n then m end form_n
+  from words left join (select * from ranked where o = 1) using (word)
+), ways(word, root) as (
+  select word, word from forms
+  union all select ways.word, form from ways join forms on root = forms.word where form is not null
+), roots as (
+  select ways.word, root from ways join forms on root = forms.word where form is null
+)
+select word, form, root, n, n_near, form_n from forms join roots using (word)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -190,9 +242,11 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling": op11_spelling,
 }
 ORACLES: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_spelling": OP11_SQL,
 }
