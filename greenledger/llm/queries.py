@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, spelling, toxicity, url_filter,
+    bpe, filter_audit, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, spelling, toxicity,
+    url_filter,
 )
 from .common import table
 from .labelled import held_out
@@ -231,6 +232,54 @@ with recursive crc as (
 select word, form, root, n, n_near, form_n from forms join roots using (word)
 """
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    return filter_audit.audit_files(spark, path, table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+with own as (
+  select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents
+), cut as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from own
+), masked as (
+  select doc_id, part, if(len(ws) < 100, 1, 0) + if(100 * len(list_distinct(ws)) < 80 * len(ws), 2, 0)
+         + if(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 4, 0)
+         + if(regexp_matches(t, '[#$%&*|]'), 8, 0)
+         + if(coalesce(doc_id > min(doc_id) over (partition by t), false), 16, 0) mask
+  from cut
+), marks as (
+  select doc_id, max(if(quality = 1, 1, 0)) good, max(if(toxic = 1, 1, 0)) toxic from labels group by doc_id
+), cells as (
+  select part, mask, count(*) n, coalesce(sum(good), 0) good, coalesce(sum(toxic), 0) toxic
+  from masked left join marks using (doc_id) group by all
+), letters as (
+  select cast(i as int) k, chr(cast(65 + i as int)) f from range(5) t(i)
+), orders as (
+  select a.f || b.f || c.f || d.f || e.f filter_order from letters a join letters b on b.k <> a.k
+  join letters c on c.k not in (a.k, b.k) join letters d on d.k not in (a.k, b.k, c.k)
+  join letters e on e.k not in (a.k, b.k, c.k, d.k)
+), places as (
+  select filter_order, step, 1 << (ascii(filter_order[step]) - 65) f,
+         list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda x: if(x = '', 0, 1 << (ascii(x) - 65)))) earlier
+  from (select filter_order, unnest(range(1, 6)) step from orders)
+), steps as (
+  select part, filter_order, step, f,
+         sum(if(mask & f = 0 and mask & cast(coalesce(earlier, 0) as int) = 0, n, 0)) kept,
+         sum(if(mask & f > 0 and mask & cast(coalesce(earlier, 0) as int) = 0, n, 0)) removed,
+         sum(if(mask & f > 0 and mask & cast(coalesce(earlier, 0) as int) > 0, n, 0)) redundant,
+         sum(if(mask = f, n, 0)) unique_fails,
+         sum(if(mask & f > 0 and mask & cast(coalesce(earlier, 0) as int) = 0, good, 0)) good_lost,
+         sum(if(mask & f > 0 and mask & cast(coalesce(earlier, 0) as int) = 0, toxic, 0)) toxic_lost
+  from cells, places group by all
+)
+select part, filter_order, cast(step as int) step, cast(kept as bigint) kept, cast(removed as bigint) removed,
+       cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails,
+       cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) shapley
+from steps
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -243,10 +292,12 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
     "op11_spelling": op11_spelling,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_url_filter": OP10_SQL,
     "op11_spelling": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
