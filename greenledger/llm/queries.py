@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, filter_audit, host_rules, licenses, line_dedup, neighbours, packing, quality, simhash, spelling, toxicity,
-    url_filter,
+    bpe, filter_audit, host_rules, licenses, line_dedup, neighbours, packing, private_data, quality, simhash,
+    spelling, toxicity, url_filter,
 )
 from .common import table
 from .labelled import held_out
@@ -280,6 +280,10 @@ select part, filter_order, cast(step as int) step, cast(kept as bigint) kept, ca
 from steps
 """
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -293,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
     "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
+    "op13_private_data": op13_private_data,
 }
 ORACLES: dict[str, str] = {
     "op3_host_rules": OP3_SQL,
