@@ -1,14 +1,16 @@
 """What each of five document filters removes, in every order of applying them, kept up to date by a stream.
 
 The documents are read as files in available-now micro-batches. Of a text only a digest, the mask of the filters it
-fails by itself and its part leave the task that read it. The state of a digest is the smallest id seen so far and the
-rows that have it: these are no copies, all others fail the filter of copies as well. When a smaller id arrives, the
-rows counted as first are retracted from the counters under their earlier mask and added under the new one. Each
+fails by itself and its part leave the task that read it. The state keeps for each digest the smallest id seen so far
+and the rows that have it: these are no copies, all others fail the filter of copies as well. When a smaller id arrives,
+the rows counted as first are retracted from the counters under their earlier mask and added under the new one. Each
 micro-batch adds its changes, summed by part and mask, to the counters' folder under its own number, so that a batch
 that runs again replaces itself. The report is made of the counters alone: at most 32 masks a part.
 
-A text held by a third of all rows meets its state as one row for each Arrow batch, part and label, since rows are
-counted before they are shuffled by digest.
+Digests with the same leading bits share a state, about ``SHARD_TEXTS`` of them whatever the number of documents. A text
+held by a third of all rows meets its state as one row for each Arrow batch, part and label, since rows are counted
+before they are shuffled. The state lies in the session's state store; for more texts than fit in the executors' memory
+set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
 
 Defined cases: a null text is an empty one; a null part is the empty string; a null id is never smaller than another
 and no id is smaller than it, so its row never fails the filter of copies and makes no other row fail it; rows that
@@ -39,11 +41,12 @@ SYMBOLS = b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Micro-batches a folder is read in, at most.
 BATCHES = 4
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Texts that share a state, on average: a state is called once a batch, and a call costs as much as some hundred texts.
+SHARD_TEXTS = 64
 
-MEASURED = "_id long, _unknown boolean, _part string, _mask int, _key binary"
-COUNTED = "_key binary, _mask int, _part string, _good int, _toxic int, _n long, _unknown boolean, _first long, _firsts long"
-COUNTS = ("_mask", "_part", "_good", "_toxic", "_n", "_unknown", "_first", "_firsts")
+MEASURED = "_id long, _unknown boolean, _part string, _mask int, _key string, _shard long"
+COUNTED = "_shard long, _key string, _mask int, _part string, _good int, _toxic int, _n long, _unknown boolean, _first long, _firsts long"
+COUNTS = ("_key", "_mask", "_part", "_good", "_toxic", "_n", "_unknown", "_first", "_firsts")
 CHANGES = "part string, mask int, good int, toxic int, n long"
 
 
@@ -56,16 +59,22 @@ def own_mask(raw: bytes, length: int) -> int:
     return mask | (len(raw.translate(None, SYMBOLS)) < len(raw)) << 3
 
 
-def measured(docs: DataFrame, id_col: str, text: str, part: str) -> DataFrame:
-    """A narrow row of each document; two texts have the same ``_key`` only if they are equal."""
+def shard_bits(rows: int) -> int:
+    """Leading bits of a digest that make a shard of about ``SHARD_TEXTS`` texts, at most 48."""
+    return min(48, max(0, (rows // SHARD_TEXTS).bit_length()))
+
+
+def measured(docs: DataFrame, id_col: str, text: str, part: str, bits: int) -> DataFrame:
+    """A narrow row of each document; ``_key`` is a digest of 128 bits, ``_shard`` its first ``bits``."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["_text"]]
             raw = [t.encode() for t in texts]
+            keys = [hashlib.blake2b(b, digest_size=16).hexdigest() for b in raw]
             yield batch[["_id", "_unknown", "_part"]].assign(
                 _mask=[own_mask(b, len(t)) for b, t in zip(raw, texts, strict=True)],
-                _key=[hashlib.sha256(b).digest() for b in raw],
+                _key=keys, _shard=[int(k[:12], 16) >> 48 - bits for k in keys],
             )
 
     rows = docs.select(
@@ -82,7 +91,7 @@ def count_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for batch in batches:
         cells: dict[tuple, list] = {}
-        alike = zip(*(batch[c] for c in ("_key", "_mask", "_part", "_good", "_toxic", "_unknown")), strict=True)
+        alike = zip(*(batch[c] for c in ("_shard", "_key", "_mask", "_part", "_good", "_toxic", "_unknown")), strict=True)
         for key, own in zip(alike, batch["_id"].tolist(), strict=True):
             cell = cells.setdefault(key, [0, own, 0])
             cell[0] += 1
@@ -91,44 +100,47 @@ def count_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif own == cell[1]:
                 cell[2] += 1
         yield pd.DataFrame(
-            [(*k[:5], n, k[5], first, firsts) for k, (n, first, firsts) in cells.items()],
-            columns=["_key", "_mask", "_part", "_good", "_toxic", "_n", "_unknown", "_first", "_firsts"],
+            [(*k[:6], n, k[6], first, firsts) for k, (n, first, firsts) in cells.items()],
+            columns=["_shard", *COUNTS],
         )
 
 
 def change_counters(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the rows of one text in one micro-batch.
+    """Changes of the counters by the rows that one micro-batch has for the texts of one shard.
 
-    ``cells`` holds the rows of the smallest id so far by part and labels; they are counted without the filter of copies.
+    The state has of each text the smallest id so far and the rows of that id by part and labels, which are counted
+    without the filter of copies.
     """
-    smallest, cells = None, {}
-    if state.exists:
-        smallest, held = state.get
-        cells = {tuple(k): n for k, n in json.loads(held)}
+    texts = json.loads(state.get[0]) if state.exists else {}
     changes: dict[tuple, int] = {}
 
     def add(cell: tuple, mask: int, n: int) -> None:
         changes[*cell, mask] = changes.get((*cell, mask), 0) + n
 
     for chunk in chunks:
-        rows = zip(*(chunk[c].tolist() for c in COUNTS), strict=True)
-        for mask, part, good, toxic, n, unknown, first, firsts in rows:
+        for text, mask, part, good, toxic, n, unknown, first, firsts in zip(*(chunk[c].tolist() for c in COUNTS), strict=True):
             cell = (part, good, toxic)
             if unknown:
                 add(cell, mask, n)
                 continue
+            smallest, cells = texts.get(text, (None, []))
             if smallest is None or first < smallest:
-                for earlier, count in cells.items():  # a smaller id makes copies of what came first
-                    add(earlier, mask, -count)
-                    add(earlier, mask | COPY, count)
-                smallest, cells = first, {}
+                for *earlier, count in cells:  # a smaller id makes copies of what came first
+                    add(tuple(earlier), mask, -count)
+                    add(tuple(earlier), mask | COPY, count)
+                smallest, cells = first, []
             firsts = firsts if first == smallest else 0
             add(cell, mask, firsts)
             add(cell, mask | COPY, n - firsts)
             if firsts:
-                cells[cell] = cells.get(cell, 0) + firsts
-    if smallest is not None:
-        state.update((smallest, json.dumps([[list(k), n] for k, n in cells.items()])))
+                same = next((c for c in cells if tuple(c[:3]) == cell), None)
+                if same:
+                    same[3] += firsts
+                else:
+                    cells.append([*cell, firsts])
+            texts[text] = (smallest, cells)
+    if texts:
+        state.update((json.dumps(texts, separators=(",", ":")),))
     out = [(part, mask, good, toxic, n) for (part, good, toxic, mask), n in changes.items() if n]
     if out:
         yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "n"])
@@ -142,17 +154,18 @@ def labels_by_id(labels: DataFrame, id_col: str) -> DataFrame:
 
 
 def counter_changes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    part: str = "lang") -> DataFrame:
-    """A stream of changes of the counters (``CHANGES``) from a stream of documents."""
-    rows = measured(docs, id_col, text, part)
+                    part: str = "lang", bits: int = 0) -> DataFrame:
+    """A stream of changes of the counters (``CHANGES``) from a stream of documents, with a state for each of the
+    2 ** ``bits`` shards of texts."""
+    rows = measured(docs, id_col, text, part, bits)
     marks = labels_by_id(labels, id_col)
     known = rows.join(marks, (F.col("_id") == F.col("_label_id")) & ~F.col("_unknown"), "left")
     known = known.select(
-        "_id", "_unknown", "_part", "_mask", "_key",
+        "_id", "_unknown", "_part", "_mask", "_key", "_shard",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_good", "_toxic")],
     )
-    return known.mapInPandas(count_alike, COUNTED).groupBy("_key").applyInPandasWithState(
-        change_counters, CHANGES, "smallest long, cells string", "update", GroupStateTimeout.NoTimeout
+    return known.mapInPandas(count_alike, COUNTED).groupBy("_shard").applyInPandasWithState(
+        change_counters, CHANGES, "texts string", "update", GroupStateTimeout.NoTimeout
     )
 
 
@@ -164,17 +177,11 @@ def keep_counters(changes: DataFrame, counters: str, checkpoint: str) -> None:
         sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
         sums.write.mode("overwrite").parquet(f"{counters}/batch={number}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)  # the state grows with the number of texts, so it is not held in the heap
-    try:
-        query = (
-            changes.writeStream.foreachBatch(write).outputMode("update")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    query = (
+        changes.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
 
 
 def read_counters(spark: SparkSession, counters: str) -> DataFrame:
@@ -229,5 +236,6 @@ def audit_files(spark: SparkSession, path: str, labels: DataFrame, id_col: str =
     stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", max(1, files)).parquet(pattern)
     counters = scratch_path(spark, "filter-counters")
     spark.createDataFrame([], CHANGES).write.parquet(f"{counters}/batch=-1")
-    keep_counters(counter_changes(stream, labels, id_col, text, part), counters, scratch_path(spark, "filter-offsets"))
+    bits = shard_bits(found.count())  # from the footers of the files
+    keep_counters(counter_changes(stream, labels, id_col, text, part, bits), counters, scratch_path(spark, "filter-offsets"))
     return report(materialised(read_counters(spark, counters)))

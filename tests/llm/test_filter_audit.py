@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 from itertools import permutations
@@ -108,22 +109,31 @@ def test_changes_of_one_text():
 
         def update(self, value):
             self.exists, self.get = True, value
+            json.loads(value[0])
 
-    state, total, columns = State(), Counter(), list(filter_audit.COUNTS)
+    state, total, big = State(), Counter(), 2**60
     arrivals = [
-        [[(1, "en", 0, 0, 3, False, 2**60 + 7, 2)], [(1, "de", 1, 0, 1, False, 2**60 + 7, 1), (1, "en", 0, 0, 4, False, 2**60 + 8, 1)]],
-        [[(1, "en", 0, 0, 2, True, 0, 2)]],
-        [[(1, "en", 0, 1, 5, False, 2**60 + 6, 1), (1, "en", 0, 0, 1, False, 2, 1)]],
+        [[("k", 1, "en", 0, 0, 3, False, big + 7, 2), ("o", 2, "en", 0, 0, 1, False, 5, 1)],
+         [("k", 1, "de", 1, 0, 1, False, big + 7, 1), ("k", 1, "en", 0, 0, 4, False, big + 8, 1)]],
+        [[("k", 1, "en", 0, 0, 2, True, 0, 2)]],
+        [[("k", 1, "en", 0, 1, 5, False, big + 6, 1), ("k", 1, "en", 0, 0, 1, False, 2, 1), ("o", 2, "en", 0, 0, 1, False, 9, 1)]],
     ]
     for chunks in arrivals:
-        for out in filter_audit.change_counters((b"k",), iter([pd.DataFrame(c, columns=columns) for c in chunks]), state):
+        frames = iter([pd.DataFrame(c, columns=filter_audit.COUNTS) for c in chunks])
+        for out in filter_audit.change_counters((0,), frames, state):
             for row in out.itertuples(index=False):
                 total[tuple(row)[:4]] += row.n
     assert {k: n for k, n in total.items() if n} == {
         ("en", 1, 0, 0): 3, ("en", 17, 0, 0): 7, ("de", 17, 1, 0): 1, ("en", 17, 0, 1): 5,
+        ("en", 2, 0, 0): 1, ("en", 18, 0, 0): 1,
     }
 
 
+def test_shards():
+    """As many texts a shard at every size."""
+    assert [filter_audit.shard_bits(n) for n in (0, 63, 64, 1000, 10**6, 10**10, 10**30)] == [0, 0, 1, 4, 14, 28, 48]
+
+
 def test_documents_of_all_kinds(spark, docs, frame):
     path = scratch_path(spark, "audit-test")
     docs.write.parquet(path)
