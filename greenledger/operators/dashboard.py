@@ -90,6 +90,20 @@ class Dashboard:
         fact_keys = [k for k in keys if k in self.facts.columns]
         return combine(_keyed(self.facts, fact_keys), ["company_id", *fact_keys]).join(self._labels_by(*keys), "company_id")
 
+    def counts(self, *keys: str, **more: tuple[Callable, str]) -> DataFrame:
+        """Weighted rows (n) per key; NULL keys form no group. ``more`` adds smallest or
+        largest values, which no weight changes, as ``name=(F.min, column)``.
+
+        Facts are counted per company and fact key before the join, so no single fact is shuffled to its label.
+        """
+        fact_keys = [k for k in keys if k in self.facts.columns]
+        part = _keyed(self.facts, fact_keys).groupBy("company_id", *fact_keys).agg(
+            F.count(F.lit(1)).alias("n"), *[f(c).alias(name) for name, (f, c) in more.items()]
+        )
+        n = F.sum(F.col("n") * F.col(W)).cast("bigint").alias("n")
+        joined = part.join(self._labels_by(*keys), "company_id")
+        return joined.groupBy(*keys).agg(n, *[f(name).alias(name) for name, (f, _) in more.items()])
+
     def totals(self, *keys: str) -> DataFrame:
         """Weighted rows (n), values (c) and exact sum (s) per key; NULL keys form no group."""
         fact_keys = [k for k in keys if k in self.facts.columns]

@@ -8,18 +8,41 @@ from ..functions.columns import exact_mean
 from ..functions.numerics import f_upper_udf, rank_test_p_udf, t_two_sided_udf
 from ..session import checkpointed
 from .dashboard import VALUE, W, Dashboard
-from .moments import weighted_moments
+from .moments import merge_moments, partial_moments, weighted_moments
 from .ordering import exact_percentiles, running_total
 from .rows import side_by_side
+from .selection import percentiles
 
 ALPHA = 0.05
 LEAST = 3
 
 
+def _side(a: str) -> Column:
+    return F.when(F.col("industry") == a, "a").otherwise("b").alias("side")
+
+
 def two_groups(base: Dashboard, a: str, b: str) -> DataFrame:
-    """Non-null values of two sectors, marked ``a`` and ``b``; the three tests read them, so they are materialised."""
-    rows = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull()).values("industry")
-    return checkpointed(rows.select(F.when(F.col("industry") == a, "a").otherwise("b").alias("side"), VALUE, W))
+    """Distinct values of two sectors, marked ``a`` and ``b``, weighted by how often they occur; the tests read them, so
+    they are materialised."""
+    counts = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull()).counts("industry", VALUE)
+    return checkpointed(counts.select(_side(a), VALUE, F.col("n").alias(W)))
+
+
+def sector_levene(base: Dashboard, a: str, b: str) -> DataFrame:
+    """``levene`` of two sectors without a look at single values: the medians come from bins, and the distances to both
+    medians are combined per company before the labels say which of the two counts."""
+    both = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull())
+    centres = checkpointed(percentiles(both, {"centre": 0.5}, "industry"))
+    parts = None
+    for name in (a, b):
+        centre = centres.where(F.col("industry") == name).select("centre").scalar()
+        facts = both.facts.withColumn("z", F.abs(F.col(VALUE) - centre))
+        part = partial_moments(facts, "z", ["company_id"]).withColumn("_of", F.lit(name))
+        parts = part if parts is None else parts.unionByName(part)
+    labels = both._labels_by("industry")
+    same = (parts["company_id"] == labels["company_id"]) & (F.col("_of") == F.col("industry"))
+    moments = merge_moments(parts.join(labels, same).withColumn("side", _side(a)), W, ["side"])
+    return _levene(_sides(moments))
 
 
 def group_means(pair: DataFrame) -> DataFrame:
@@ -29,10 +52,14 @@ def group_means(pair: DataFrame) -> DataFrame:
 def _spread(pair: DataFrame, value: str) -> DataFrame:
     """n, mean and sum of squares of both sides in one row."""
 
+    return _sides(weighted_moments(pair, value, W, ["side"]))
+
+
+def _sides(moments: DataFrame) -> DataFrame:
     def side(s: str, c: str) -> Column:
         return F.max(F.when(F.col("side") == s, F.col(c))).cast("double").alias(f"{c}_{s}")
 
-    return weighted_moments(pair, value, W, ["side"]).agg(*[side(s, c) for s in "ab" for c in ("n", "mean", "ss")])
+    return moments.agg(*[side(s, c) for s in "ab" for c in ("n", "mean", "ss")])
 
 
 def _enough(row: DataFrame) -> DataFrame:
@@ -67,14 +94,18 @@ def decision(p: str, alpha: float = ALPHA) -> Column:
 
 
 def levene(pair: DataFrame) -> DataFrame:
-    """Median-centred Levene statistic W and its p."""
+    """Median-centred Levene statistic W and its p, from weighted values."""
     centres = exact_percentiles(pair, VALUE, {"centre": 0.5}, ["side"], W).where(F.col("side").isin("a", "b"))
     z = pair.join(F.broadcast(centres), "side").withColumn("z", F.abs(F.col(VALUE) - F.col("centre")))
+    return _levene(_spread(z, "z"))
+
+
+def _levene(spread: DataFrame) -> DataFrame:
     n, k = F.col("n_a") + F.col("n_b"), 2
     grand = (F.col("n_a") * F.col("mean_a") + F.col("n_b") * F.col("mean_b")) / n
     between = F.col("n_a") * (F.col("mean_a") - grand) * (F.col("mean_a") - grand) + F.col("n_b") * (F.col("mean_b") - grand) * (F.col("mean_b") - grand)
     return (
-        _enough(_spread(z, "z"))
+        _enough(spread)
         .withColumn("w", F.try_divide((n - k) * between, (k - 1) * (F.col("ss_a") + F.col("ss_b"))))
         .withColumn("p", f_upper_udf("w", F.lit(float(k - 1)), n - k))
         .select("w", "p")
@@ -118,7 +149,7 @@ def compare_sectors(base: Dashboard, a: str, b: str) -> DataFrame:
         [
             (side("a"), {"n": "n_a", "mean_value": "mean_a"}),
             (side("b"), {"n": "n_b", "mean_value": "mean_b"}),
-            (levene(pair), {"w": "levene_w", "p": "levene_p"}),
+            (sector_levene(base, a, b), {"w": "levene_w", "p": "levene_p"}),
             (welch(pair), {"t": "welch_t", "df": "welch_df", "p": "welch_p", "decision": "decision"}),
             (mann_whitney(pair), {"u_a": "u", "p": "u_p"}),
         ]

@@ -15,9 +15,13 @@ SEED = 42
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The earliest row of each key. Map-side minima keep a key with very many copies small."""
-    row = F.struct(*df.columns)
-    return df.groupBy(key).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
+    """The earliest row of each key; ``order`` must be unique.
+
+    Two phases: the smallest position per key, by hash aggregation of two narrow columns, and then the rows that stand
+    there. A key with very many copies is one row a task in the first and one row in the second.
+    """
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, df[key].eqNullSafe(first["_key"]) & (df[order] == first["_first"]), "left_semi")
 
 
 def listed_companies(raw: DataFrame, order: str = "row_no") -> DataFrame:

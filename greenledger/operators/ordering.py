@@ -7,32 +7,56 @@ number is used twice; after that a result does not depend on the partitioning or
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from ..session import checkpointed
 from .rows import sized_broadcast
 
+#: Rows a range holds, about.
+RANGE_ROWS = 2_000_000
+_PLACE = (1 << 33) - 1
+
+
+def ranges_for(df: DataFrame, rows: int | None = None) -> int:
+    """How many ranges to sort in: by the number of rows, and no fewer than the session's shuffle partitions."""
+    rows = df.count() if rows is None else rows
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
 
 def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows with a ``_bucket`` that never falls along ``order``, on reliable storage."""
     # A fixed number, since AQE would merge partitions and with them the buckets.
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = ranges_for(df)
     return checkpointed(df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()))
 
 
-def _cells(marked: DataFrame, groups: Sequence[str], weight: str) -> DataFrame:
+def _cells(marked: DataFrame, groups: Sequence[str], weight: str, *more: Column) -> DataFrame:
     """Weight of each (group, bucket) and the weight before it: at most one row per bucket and group."""
     ordered = Window.partitionBy(*groups).orderBy("_bucket")
     return (
         marked.groupBy(*groups, "_bucket")
-        .agg(F.sum(weight).alias("_cell"))
+        .agg(F.sum(weight).alias("_cell"), *more)
         .withColumn("_prior", F.sum("_cell").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cell"))
         .withColumn("_total", F.sum("_cell").over(Window.partitionBy(*groups)))
     )
 
 
+def _prefix_sums(weights: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    carried = 0
+    for batch in weights:
+        sums = batch.cumsum() + carried
+        carried = int(sums.iloc[-1]) if len(sums) else carried
+        yield sums
+
+
+#: Sum of the weights of a partition's rows up to and with each row; only the weights pass through Python.
+prefix_sum = F.pandas_udf(_prefix_sums, LongType()).asNondeterministic()
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[str],
@@ -40,22 +64,30 @@ def running_total(
     groups: Sequence[str] = (),
     name: str = "before",
     total: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the weight of all rows that come earlier in ``order`` within the same group.
 
     ``order`` must be unique within a group and the group columns must not be NULL. ``total`` also adds the
-    weight of the whole group.
+    weight of the whole group. ``rows`` is their number where the caller knows it.
+
+    One shuffle of the rows: they are sorted in ranges of the order, each row keeps the weight up to it within its
+    range, and the few sums of (group, range) say what lies before the range and where in it the group starts.
     """
-    weight = F.lit(1).cast("bigint") if weight is None else weight
-    marked = ranged(df.withColumn("_w", weight), [*groups, *order])
-    cells = _cells(marked, groups, "_w").drop("_cell")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = marked.join(cells, [*groups, "_bucket"]).withColumn(
-        name, (F.col("_prior") + F.sum("_w").over(inside) - F.col("_w")).cast("bigint")
+    weight = F.lit(1) if weight is None else weight
+    keys = [*groups, *order]
+    placed = df.withColumn("_w", weight.cast("bigint")).repartitionByRange(ranges_for(df, rows), *keys).sortWithinPartitions(*keys)
+    marked = checkpointed(
+        placed.withColumn("_upto", prefix_sum("_w")).withColumn("_bucket", F.shiftright(F.monotonically_increasing_id(), 33))
     )
+    cells = _cells(marked, groups, "_w", F.min(F.col("_upto") - F.col("_w")).alias("_open")).drop("_cell")
+    # Without groups there is one row per range; with groups their number decides.
+    cells = sized_broadcast(cells) if groups else F.broadcast(cells)
+    place = F.col("_prior") + F.col("_upto") - F.col("_w") - F.col("_open")
+    out = marked.join(cells, [*groups, "_bucket"]).withColumn(name, place.cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("bigint"))
-    return out.drop("_w", "_bucket", "_prior", "_total")
+    return out.drop("_w", "_upto", "_open", "_bucket", "_prior", "_total")
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int | Column = 1) -> DataFrame:
@@ -65,14 +97,13 @@ def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int | Colum
     comes from the sizes of the ranges, one row each.
     """
     first = F.lit(start).cast("bigint") if isinstance(start, int) else start
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(ranges_for(df), *order).sortWithinPartitions(*order)
     marked = checkpointed(placed.withColumn("_i", F.monotonically_increasing_id()))
     bucket = F.shiftright("_i", 33)
     sizes = marked.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     starts = sizes.select("_bucket", before.alias("_before"))
-    place = F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    place = F.col("_before") + F.col("_i").bitwiseAND(F.lit(_PLACE)) + first
     out = marked.withColumn("_bucket", bucket).join(F.broadcast(starts), "_bucket")
     return out.withColumn(name, place.cast("bigint")).drop("_bucket", "_i", "_before")
 

@@ -11,10 +11,8 @@ from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
 from .dashboard import VALUE, W, Dashboard, keep_most_frequent
 from .moments import merge_moments, partial_moments
-from .ordering import count_percentiles, exact_percentiles, ranged_counts, value_counts
 from .rows import side_by_side, sized_broadcast
-
-QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+from .selection import QUARTILES, Bins, percentiles
 
 
 def _count(when: Column | None = None) -> Column:
@@ -115,7 +113,7 @@ def mean_interval(base: Dashboard, *keys: str, level: float = 0.95) -> DataFrame
 
 
 def medians(base: Dashboard, *keys: str) -> DataFrame:
-    return exact_percentiles(base.values(*keys), VALUE, {"median": 0.5}, keys, W)
+    return percentiles(base, {"median": 0.5}, *keys)
 
 
 def approximate_medians(base: Dashboard, *keys: str, accuracy: int = 10_000) -> DataFrame:
@@ -128,7 +126,7 @@ def approximate_medians(base: Dashboard, *keys: str, accuracy: int = 10_000) ->
 
 def mode(base: Dashboard) -> DataFrame:
     """Most frequent value at one decimal place; ties go to the smallest."""
-    counts = value_counts(base.with_facts(mode_value=one_place(VALUE)).values(), "mode_value", weight=W)
+    counts = base.with_facts(mode_value=one_place(VALUE)).counts("mode_value")
     return counts.orderBy(F.desc("n"), F.asc("mode_value")).limit(1)
 
 
@@ -174,30 +172,9 @@ def histogram(base: Dashboard, bins: int = 30, by: str = "pillar") -> DataFrame:
     return count_by(binned, by, "bin")
 
 
-def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    return (
-        count_percentiles(counts, VALUE, QUARTILES, keys)
-        .withColumn("fence_low", F.col("q1") - reach)
-        .withColumn("fence_high", F.col("q3") + reach)
-    )
-
-
 def box_summary(base: Dashboard, *keys: str) -> DataFrame:
-    """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group, all from value counts."""
-    counts = ranged_counts(base.values(*keys), VALUE, keys, W)
-    fences = sized_broadcast(_fences(counts, keys))
-    inside = F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
-    return (
-        counts.join(fences, list(keys))
-        .groupBy(*keys)
-        .agg(
-            *[F.max(q).alias(q) for q in QUARTILES],
-            F.min(F.when(inside, F.col(VALUE))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(VALUE))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("bigint").alias("outliers"),
-        )
-    )
+    """Quartiles, whisker ends within 1.5 IQR and the number of values beyond, per group."""
+    return Bins(base, keys).boxes()
 
 
 def box_outliers(base: Dashboard, key: str = "pillar", domain: Sequence[str] = PILLARS) -> DataFrame:
@@ -206,8 +183,7 @@ def box_outliers(base: Dashboard, key: str = "pillar", domain: Sequence[str] = P
     The fences have one row per domain value, so they are broadcast and the facts stay in place.
     """
     rows = base.rows
-    fences = _fences(ranged_counts(base.values(key), VALUE, [key], W), [key])
-    fences = fences.where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
+    fences = Bins(base, [key]).fences().where(F.col(key).isin(list(domain))).select(key, "fence_low", "fence_high")
     out = ~F.col(VALUE).between(F.col("fence_low"), F.col("fence_high"))
     return rows.join(sized_broadcast(fences, len(domain)), key).where(out).drop("fence_low", "fence_high")
 

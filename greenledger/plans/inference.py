@@ -64,12 +64,12 @@ def pair(d: Domain):
 
 @query("h1_levene", "select round((zg.n-2)*sum(zs.n*(m-g)*(m-g))/max(zg.ss),6) w from zs, zg group by zg.n", LEVENE)
 def _(d: Domain):
-    return rounded(inference.levene(pair(d)).select("w"), 6, "w")
+    return rounded(inference.sector_levene(d.base, *sectors(d)).select("w"), 6, "w")
 
 
 @query("h1_levene_p", "select round(w,6) w, round(p,6) p from levene, levene_tail", LEVENE_P)
 def _(d: Domain):
-    return rounded(inference.levene(pair(d)), 6, "w", "p")
+    return rounded(inference.sector_levene(d.base, *sectors(d)), 6, "w", "p")
 
 
 @query("h2_welch", "select round((ma-mb)/sqrt(va+vb),6) t, round((va+vb)*(va+vb)/(va*va/(na-1)+vb*vb/(nb-1)),4) df from w", SPREAD)

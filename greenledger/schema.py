@@ -137,9 +137,14 @@ TABLES = {
     )
 }
 
-# The wide score file, one row per listed company.
-SCORE_FILE = _struct(
-    "row_no bigint, ticker string, name string, exchange string, industry string, last_processing_date string,"
+# Where a row of a file stood: file, start of the split, and running number in the order the split was read.
+POSITION = T.StructType([T.StructField("file", T.StringType()), *_struct("start bigint, line bigint").fields])
+
+# The wide score file, one row per listed company, in the order of ``row_no``.
+FILE_ORDER = "row_no"
+_SCORE_COLUMNS = _struct(
+    "ticker string, name string, exchange string, industry string, last_processing_date string,"
     " environment_score double, social_score double, governance_score double, total_score double,"
     " environment_grade string, social_grade string, governance_grade string, total_grade string"
 )
+SCORE_FILE = T.StructType([T.StructField(FILE_ORDER, POSITION), *_SCORE_COLUMNS.fields])

@@ -40,7 +40,7 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """The table with its declared schema; a missing path gives an empty frame."""
     schema = TABLES[name].schema
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)  # without the column of the folders
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
