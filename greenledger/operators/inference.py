@@ -32,13 +32,12 @@ def sector_levene(base: Dashboard, a: str, b: str) -> DataFrame:
     """``levene`` of two sectors without a look at single values: the medians come from bins, and the distances to both
     medians are combined per company before the labels say which of the two counts."""
     both = base.filter(industries=[a, b]).where_facts(F.col(VALUE).isNotNull())
-    centres = checkpointed(percentiles(both, {"centre": 0.5}, "industry"))
-    parts = None
-    for name in (a, b):
-        centre = centres.where(F.col("industry") == name).select("centre").scalar()
-        facts = both.facts.withColumn("z", F.abs(F.col(VALUE) - centre))
-        part = partial_moments(facts, "z", ["company_id"]).withColumn("_of", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
+    centres = {r["industry"]: r["centre"] for r in percentiles(both, {"centre": 0.5}, "industry").collect()}  # two rows
+    distances = [
+        F.struct(F.lit(name).alias("_of"), F.abs(F.col(VALUE) - F.lit(centres.get(name)).cast("double")).alias("z"))
+        for name in (a, b)
+    ]
+    parts = partial_moments(both.facts.select("company_id", F.inline(F.array(*distances))), "z", ["company_id", "_of"])
     labels = both._labels_by("industry")
     same = (parts["company_id"] == labels["company_id"]) & (F.col("_of") == F.col("industry"))
     moments = merge_moments(parts.join(labels, same).withColumn("side", _side(a)), W, ["side"])

@@ -23,5 +23,9 @@ def side_by_side(parts: Sequence[tuple[DataFrame, Mapping[str, str]]]) -> DataFr
 
 def sized_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Materialise a result and broadcast it when it has at most ``max_rows`` rows, else leave it to a shuffle join."""
-    held = checkpointed(df)
-    return F.broadcast(held) if held.count() <= max_rows else held
+    return counted_broadcast(checkpointed(df), max_rows)
+
+
+def counted_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """The same for a frame that is cheap to make again, such as a filter over materialised rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df

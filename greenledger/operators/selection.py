@@ -1,10 +1,10 @@
 """Exact percentiles and box figures of a ``Dashboard`` without moving single facts to their labels.
 
-Values are put into bins, equally wide on a logarithmic scale between the smallest and the largest value. The facts are
+Values are put into bins, equally wide on a logarithmic scale, so that no pass has to look for their span. The facts are
 counted per company, fact key and bin, so that what is joined to the labels and weighted by ``copies`` is at most one
 row per company and bin. The sums of the bins tell which few hold a wanted rank; only their values are counted one by one,
-again per company first. Bins only say where to look: the result is exact whatever the distribution. A bin that holds
-very many different values is sorted over many tasks by ``running_total``.
+again per company first. Bins only say where to look: the result is exact whatever the distribution. Where a wanted bin
+may hold very many different values, they are sorted over many tasks by ``running_total``.
 """
 
 from __future__ import annotations
@@ -16,23 +16,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import checkpointed
 from .dashboard import VALUE, Dashboard
 from .ordering import running_total
-from .rows import sized_broadcast
+from .rows import counted_broadcast
 
-BINS = 4096
+#: Bins for each factor e: one spans 0.4 % of its values.
+RESOLUTION = 256
+#: Rows of a wanted bin that one task may sort; its weight is known and is never less than its number of values.
+TASK_ROWS = 1_000_000
+MAX_BROADCAST = 10_000
 BIN = "_bin"
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _scale(value: Column) -> Column:
-    """Never falls where the value rises."""
-    return F.signum(value) * F.log1p(F.abs(value))
-
-
-def _bin(value: Column, span: Column) -> Column:
-    """Number of a value's bin, 0 to ``BINS``; NaN, the largest value of all, has the last one to itself."""
-    at = F.try_divide(_scale(value) - span["lo"], span["hi"] - span["lo"]) * BINS
-    number = F.greatest(F.least(F.floor(F.coalesce(at, F.lit(0.0))), F.lit(BINS - 1)), F.lit(0))
-    return F.when(F.isnan(value), BINS).otherwise(number).cast("int")
+def _bin(value: Column) -> Column:
+    """Number of a value's bin, which never falls where the value rises; NaN, the largest value, has the last one."""
+    # Logarithms of doubles lie between -745 and 710; 746 makes all of them positive.
+    size = (F.floor((F.least(F.ln(F.abs(value)), F.lit(710.0)) + 746) * RESOLUTION)).cast("int")
+    return F.when(F.isnan(value), 1 << 30).when(value > 0, size).when(value < 0, -size).otherwise(0)
 
 
 class Bins:
@@ -40,11 +39,7 @@ class Bins:
 
     def __init__(self, base: Dashboard, keys: Sequence[str] = ()):
         kept = base.where_facts(F.col(VALUE).isNotNull())
-        scaled = _scale(F.col(VALUE))
-        finite = F.when(~F.isnan(VALUE) & (F.abs(VALUE) < float("inf")), scaled)
-        span = kept.facts.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-        self.span = span.select(F.struct("lo", "hi").alias("s")).scalar()
-        self.base = kept.with_facts(_span=self.span).with_facts(**{BIN: _bin(F.col(VALUE), F.col("_span"))})
+        self.base = kept.with_facts(**{BIN: _bin(F.col(VALUE))})
         self.keys = list(keys)
         counted = self.base.counts(*keys, BIN, least=(F.min, VALUE), most=(F.max, VALUE))
         ordered = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)
@@ -54,8 +49,8 @@ class Bins:
         )
 
     def values(self, wanted: DataFrame) -> DataFrame:
-        """Keys, bin, value and n of the values in the bins of ``wanted`` (keys and bin, each pair once)."""
-        wanted = sized_broadcast(wanted)
+        """Keys, bin, value and n of the values in the bins of ``wanted`` (keys and bin, each pair once), with its other
+        columns."""
         fact_keys = [k for k in self.keys if k in self.base.facts.columns]
         # The facts know their own keys only; label keys are compared after the join.
         places = wanted.select(*fact_keys, BIN).distinct()
@@ -74,8 +69,15 @@ class Bins:
         holding = self.cells.withColumn("_ranks", ranks).where(
             F.exists("_ranks", lambda r: (r >= F.col("prior")) & (r < after))
         )
-        counted = checkpointed(self.values(holding.select(*self.keys, BIN, "prior", "total")))
-        placed = running_total(counted, [VALUE], F.col("n"), [*self.keys, BIN], "_before", rows=counted.count())
+        rows, heaviest = holding.agg(F.count(F.lit(1)), F.max("n")).first()
+        wanted = holding.select(*self.keys, BIN, "prior", "total")
+        counted = self.values(F.broadcast(wanted) if rows <= MAX_BROADCAST else wanted)
+        groups = [*self.keys, BIN]
+        if (heaviest or 0) <= TASK_ROWS:
+            inside = Window.partitionBy(*groups).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+            placed = counted.withColumn("_before", F.sum("n").over(inside) - F.col("n"))
+        else:
+            placed = running_total(counted, [VALUE], F.col("n"), groups, "_before")
         first = F.col("prior") + F.col("_before")
 
         def at(rank: Column) -> Column:
@@ -103,21 +105,21 @@ class Bins:
         bins are looked at one by one.
         """
         fences = checkpointed(self.fences())
-        edges = {f"_{c}": _bin(F.col(f"fence_{c}"), F.col("_span")) for c in ("low", "high")}
-        marked = fences.withColumn("_span", self.span).withColumns(edges).drop("_span")
+        marked = fences.withColumns({f"_{c}": _bin(F.col(f"fence_{c}")) for c in ("low", "high")})
         low, high, here = F.col("_low"), F.col("_high"), F.col(BIN)
         if self.keys:
-            cells = self.cells.join(sized_broadcast(marked), self.keys)
+            cells = self.cells.join(counted_broadcast(marked), self.keys)
         else:
             cells = self.cells.withColumns({c: marked.select(c).scalar() for c in marked.columns})
-        cells = checkpointed(cells.drop("prior", "total"))
+        cells = cells.drop("prior", "total")
         own = (here == low) | (here == high)
         inner = (here > low) & (here < high)
         whole = cells.where(~own).select(
             *self.keys, *QUARTILES, F.when(inner, F.col("least")).alias("a"), F.when(inner, F.col("most")).alias("b"),
             F.when(inner, 0).otherwise(F.col("n")).alias("beyond"),
         )
-        single = self.values(cells.where(own).select(*self.keys, BIN, *QUARTILES, "fence_low", "fence_high"))
+        edges = cells.where(own).select(*self.keys, BIN, *QUARTILES, "fence_low", "fence_high")
+        single = self.values(counted_broadcast(edges, MAX_BROADCAST))
         inside = F.when(F.col(VALUE).between(F.col("fence_low"), F.col("fence_high")), F.col(VALUE))
         single = single.select(
             *self.keys, *QUARTILES, inside.alias("a"), inside.alias("b"),

@@ -164,3 +164,41 @@ def test_histogram_and_spans(data):
     assert got["readings"].sum() == len(full) and got["bin"].min() == 1 and got["bin"].max() == 30
     span = frame(profile.date_span(base))
     assert (span["first_read"], span["last_read"]) == (full.read_at.min(), full.read_at.max())
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 0])
+@pytest.mark.parametrize("kind", ["normal", "heavy tails", "few values", "constant", "odd"])
+def test_selection_is_exact_for_any_distribution(spark, monkeypatch, kind, task_rows):
+    """Quantiles, whiskers and outliers against numpy over the multiplied rows, by a window and by ranges."""
+    import numpy as np
+
+    from greenledger.operators import selection
+    from greenledger.operators.dashboard import Dashboard
+
+    monkeypatch.setattr(selection, "TASK_ROWS", task_rows)
+    r = np.random.default_rng(3)
+    n = 600
+    v = {
+        "normal": r.normal(50, 20, n), "heavy tails": np.exp(r.normal(0, 8, n)) * r.choice([-1, 1], n),
+        "few values": r.integers(0, 4, n).astype(float), "constant": np.full(n, 7.25),
+        "odd": np.where(r.random(n) < 0.1, 1e300, np.where(r.random(n) < 0.1, -1e-300, r.normal(0, 1e-9, n))),
+    }[kind]
+    company = r.integers(0, 12, n)
+    facts = spark.createDataFrame([(int(c), float(x), "EN"[int(c) % 2]) for c, x in zip(company, v)] + [(1, None, "E")],
+                                  "company_id long, measured_value double, pillar string")
+    copies = [(c, f"s{s}", 1 + (c + s) % 3) for c in range(10) for s in range(2) if (c + s) % 4]
+    labels = spark.createDataFrame(copies, "company_id long, industry string, copies long")
+    base = Dashboard(facts, labels)
+    rows = [("EN"[c % 2], s, x) for c, x in zip(company, v) for i, s, k in copies if i == c for _ in range(k)]
+    for keys, of in ((("pillar", "industry"), lambda t: (t[0], t[1])), ((), lambda t: ())):
+        groups = {}
+        for t in rows:
+            groups.setdefault(of(t), []).append(t[2])
+        got = {tuple(b[k] for k in keys): b for b in selection.Bins(base, keys).boxes().collect()}
+        assert got.keys() == groups.keys()
+        for key, values in groups.items():
+            values, b = np.array(values), got[key]
+            q1, median, q3 = np.percentile(values, [25, 50, 75])
+            assert [b.q1, b.median, b.q3] == pytest.approx([q1, median, q3], rel=1e-12, abs=1e-300)
+            inside = values[(values >= b.q1 - (b.q3 - b.q1) * 1.5) & (values <= b.q3 + (b.q3 - b.q1) * 1.5)]
+            assert (b.whisker_low, b.whisker_high, b.outliers) == (inside.min(), inside.max(), len(values) - len(inside))
