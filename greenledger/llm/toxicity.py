@@ -7,8 +7,8 @@ cosine a block can hold, until no block left can change its nearest examples. Th
 shrunk to the share of toxic examples, give the score; their ids are its evidence.
 
 Defined cases: a null text is an empty one; a text without terms has no neighbours and gets the toxic share of the
-examples without terms; equal cosines go to the smaller example id; an example is never its own neighbour; repeated
-rows each get a row; without labels every score is 0.5; an empty table gives an empty result; labels, language, source
+examples without terms; equal cosines go to the smaller example id; an example is never the neighbour of a text
+equal to its own, so rows of equal text get equal scores whatever their ids; repeated rows each get a row; without labels every score is 0.5; an empty table gives an empty result; labels, language, source
 and id are never inputs of a score; other columns are not read.
 """
 
@@ -118,6 +118,8 @@ class BlockMaxIndex:
     t in b are ``slots`` and ``weights`` from ``starts[t, b]`` to ``starts[t, b + 1]``."""
 
     ids: np.ndarray
+    texts: np.ndarray
+    copies: dict[int, int]
     labels: np.ndarray
     idf: np.ndarray
     largest: np.ndarray
@@ -160,17 +162,20 @@ class BlockMaxIndex:
         return slots, cosines
 
     def score(self, terms: list[int], counts: list[int], own: int | None, known: dict) -> tuple[float, list[int]]:
-        """Score and evidence of one document; ``known`` remembers what equal vectors have found."""
+        """Score and evidence of one document, whose text has the hash ``own``; ``known`` remembers what equal vectors
+        have found."""
         if not len(terms):
             return float(self.share_without), []
-        key = (tuple(terms), tuple(counts))
+        # Examples of this very text are left out, so as many more are asked for.
+        wanted = NEIGHBOURS + self.copies.get(own, 0)
+        key = (tuple(terms), tuple(counts), wanted)
         if key not in known:
             if len(known) > MEMORY:
                 known.clear()
             numbers = np.array(terms, np.int64)
-            known[key] = self.nearest(numbers, unit(np.array(counts, float), self.idf[numbers]), NEIGHBOURS + 1)
+            known[key] = self.nearest(numbers, unit(np.array(counts, float), self.idf[numbers]), wanted)
         slots, cosines = known[key]
-        other = np.flatnonzero(self.ids[slots] != own)[:NEIGHBOURS] if own is not None else slice(NEIGHBOURS)
+        other = np.flatnonzero(self.texts[slots] != own)[:NEIGHBOURS] if own is not None else slice(NEIGHBOURS)
         slots, cosines = slots[other], cosines[other]
         votes = (cosines * self.labels[slots]).sum() + PRIOR * self.share
         return float(votes / (cosines.sum() + PRIOR)), self.ids[slots].tolist()
@@ -182,8 +187,12 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]],
-                idf: np.ndarray) -> BlockMaxIndex:
-    """Examples are put in the order of their heaviest term, so that a block holds similar ones."""
+                idf: np.ndarray, texts: np.ndarray | None = None) -> BlockMaxIndex:
+    """Examples are put in the order of their heaviest term, so that a block holds similar ones.
+
+    ``texts`` are hashes that tell which examples have the same text; without them each has its own, its id.
+    """
+    texts = ids if texts is None else texts
     weighted = [(t, unit(c, idf[t]) if len(t) else np.empty(0)) for t, c in vectors]
     heaviest = np.array([t[w.argmax()] if len(t) else -1 for t, w in weighted], np.int64)
     without = heaviest < 0
@@ -201,7 +210,7 @@ def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndar
     cell = term * (blocks + 1) + slot // BLOCK
     starts = np.searchsorted(cell, np.arange(len(idf))[:, None] * (blocks + 1) + np.arange(blocks + 1))
     return BlockMaxIndex(
-        ids[order], labels[order], idf, largest, starts, slot, weight, share,
+        ids[order], texts[order], dict(Counter(texts[order].tolist())), labels[order], idf, largest, starts, slot, weight, share,
         (labels[without].sum() + share) / (without.sum() + 1),
     )
 
@@ -216,26 +225,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sample = materialised(sample)
     terms = pick_terms(sample, label, text)
     kept = tuple(dict.fromkeys([id_col, *keep]))
-    vectors = materialised(term_vectors(docs, terms, text, kept))
+    own = F.xxhash64(text).alias("_own")
+    vectors = materialised(term_vectors(docs.select(*kept, *({text} - {*kept}), own), terms, text, (*kept, "_own")))
     documents = vectors.count()
     frequency = np.zeros(len(terms))
     for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         frequency[row["t"]] = row["count"]
     idf = np.log((1 + documents) / (1 + frequency)) + 1
-    got = term_vectors(sample, terms, text, (id_col, label)).toPandas()
+    got = term_vectors(sample.select("*", own), terms, text, (id_col, label, "_own")).toPandas()
     got = got.sort_values([id_col, label], kind="stable").drop_duplicates(id_col)
     pairs = [
         (np.array(t, np.int64), np.array(c, float)) for t, c in zip(got["terms"], got["counts"], strict=True)
     ]
-    index = build_index(got[id_col].to_numpy(), got[label].to_numpy(float), pairs, idf)
+    index = build_index(got[id_col].to_numpy(), got[label].to_numpy(float), pairs, idf, got["_own"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, known = shared.value, {}
         for batch in batches:
             out = [
-                found.score(t, c, None if pd.isna(own) else own, known)
-                for own, t, c in zip(batch[id_col], batch["terms"], batch["counts"], strict=True)
+                found.score(t, c, own, known)
+                for own, t, c in zip(batch["_own"].tolist(), batch["terms"], batch["counts"], strict=True)
             ]
             yield batch[list(kept)].assign(score=[s for s, _ in out], evidence=[e for _, e in out])
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from greenledger.llm import queries, quality, toxicity
 from greenledger.llm.labelled import fit_sample, held_out
@@ -151,3 +152,24 @@ def test_sweep_finds_what_blocks_find(monkeypatch):
                 m.setattr(toxicity, "AHEAD", -1)
                 by_block = index.nearest(t, toxicity.unit(c, idf[t]), 10)
             assert swept[0].tolist() == by_block[0].tolist() and np.allclose(swept[1], by_block[1], atol=1e-11)
+
+
+def test_equal_texts_have_equal_scores_whatever_their_ids(spark):
+    """The id is no input: training texts once more under other ids, labelled or not, and without one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    again = docs.where("doc_id < 300").selectExpr("doc_id + 1000000 doc_id", "text")
+    nameless = docs.where("doc_id < 20").selectExpr("cast(null as bigint) doc_id", "text")
+    scored = toxicity.score_toxicity(docs.unionByName(again).unionByName(nameless).withColumn("score", F.lit("clash")), labels, keep=("text",))
+    spread = scored.groupBy("text").agg(F.count_distinct("score").alias("n"), F.count("*").alias("rows"))
+    assert spread.where("n > 1").count() == 0 and spread.where("rows > 1").count() >= 200
+
+
+def test_all_examples_of_a_text_are_left_out():
+    """However many examples share the text, the nearest others are found."""
+    vectors = [(np.array([0, 1]), np.ones(2))] * 60 + [(np.array([0, 2]), np.ones(2))] * 20
+    texts = np.array([7] * 60 + list(range(100, 120)))
+    index = toxicity.build_index(np.arange(80), np.array([1.0] * 60 + [0.0] * 20), vectors, np.ones(3), texts)
+    score, evidence = index.score([0, 1], [1, 1], 7, {})
+    assert evidence == list(range(60, 75)) and score < 0.5
+    assert index.score([0, 1], [1, 1], 8, {})[1] == list(range(15))
