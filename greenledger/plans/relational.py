@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..operators import dml, views
@@ -9,6 +11,7 @@ from ..operators.dashboard import build_dashboard
 from ..operators.ingest import model_tables
 from ..schema import TABLES
 from ..session import scratch_path
+from ..sources.layout import read_clustered, write_clustered
 from ..sources.scores import read_scores
 from ..sources.seed import seed_tables
 from ..sources.sql import query as run_sql
@@ -151,6 +154,19 @@ def _(d: Domain):
     ).select("reading_id")
 
 
+@query(
+    "f5_clustered_company_and_days",
+    """select reading_id, read_at, measured_value, status from reading where company_id=(select max(company_id) from reading
+where status='PENDING') and cast(read_at as date) between date '1995-01-01' and date '1997-06-30'""",
+)
+def _(d: Domain):
+    path = scratch_path(d.spark, "clustered")
+    write_clustered(d.reading, path, files=16)
+    company = d.reading.where("status = 'PENDING'").agg(F.max("company_id")).first()[0]
+    found = read_clustered(d.spark, path, company, date(1995, 1, 1), date(1997, 6, 30))
+    return found.select("reading_id", "read_at", "measured_value", "status")
+
+
 @query("f6_aliased_projection", "select reading_id id, read_at taken_at, measured_value amount, status review_state from reading")
 def _(d: Domain):
     return d.reading.select(
