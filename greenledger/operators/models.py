@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -174,9 +177,15 @@ def fold_classification(
     if not enough_companies(graded):
         return unclassified(graded).select("row_id", F.lit(0).alias("fold"), "grade", "predicted_grade")
     parts = checkpointed(stratified_folds(graded, n_folds))
+
+    def fit(fold: int) -> RandomForestClassificationModel:
+        return fit_forest(parts.where(F.col("fold") != fold), num_trees, max_depth, seed)
+
+    # The jobs of one forest are many and small: the forests are fitted side by side and share the executors.
+    with ThreadPoolExecutor(n_folds) as pool:
+        fitted = list(pool.map(inheritable_thread_target(parts.sparkSession)(fit), range(n_folds)))
     out = None
-    for fold in range(n_folds):
-        model = fit_forest(parts.where(F.col("fold") != fold), num_trees, max_depth, seed)
+    for fold, model in enumerate(fitted):
         part = classify(model, parts.where(F.col("fold") == fold)).select("row_id", "fold", "grade", "predicted_grade")
         out = part if out is None else out.unionByName(part)
     return out

@@ -188,6 +188,15 @@ def hold_out(
     return ranked.withColumn("is_test", F.col("_place") < cut).drop("draw", "_place", "_n")
 
 
+def hash_split(df: DataFrame, key: Sequence[str], seed: int, share: float = 0.2) -> DataFrame:
+    """Mark about ``share`` of the rows as the test set (``is_test``), each by its own key alone: no order, no shuffle.
+
+    A row stays on its side when others come or go; the size of the test set is expected, not exact.
+    """
+    limit = f"{int(share * 16**12):012x}" if share < 1 else "g"
+    return hash_order(df, key, seed).withColumn("is_test", F.col("draw") < limit).drop("draw")
+
+
 def contiguous_folds(
     df: DataFrame, order: Sequence[str], k: int = 5, strata: Sequence[str] = (), name: str = "fold"
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..operators.ordering import hash_split
 from ..session import checkpointed
 from .domain import Domain
 from .registry import query
@@ -80,6 +81,12 @@ def _(d: Domain):
     return models.split(features(d)).select("trade_name", "industry", "is_test")
 
 
+@query("m3_hash_split", "select trade_name, industry, md5(concat('42:',trade_name,':',industry))<'333333333333' is_test from features", FEATURES)
+def _(d: Domain):
+    wide = models.feature_table(d.base, numbered=False)
+    return hash_split(wide, models.KEY, models.SEED).select("trade_name", "industry", "is_test")
+
+
 @query("m4_stratified_hold_out", "select trade_name, industry, grade, is_test from parts", GRADED + parts("graded", "partition by grade"))
 def _(d: Domain):
     return models.stratified_split(models.quartile_grades(features(d))).select("trade_name", "industry", "grade", "is_test")
@@ -156,6 +163,21 @@ def _(d: Domain):
     return scores.select("folds", (F.col("mean_macro_f1") > 0.5).alias("above_half"))
 
 
+@query(
+    "m10_fold_f1_of_given_predictions",
+    """select fold, round(avg(2.0::double*tp/seen),6) macro_f1 from (select fold, g,
+count(*) filter (grade=g and predicted_grade=g) tp, count(*) filter (grade=g)+count(*) filter (predicted_grade=g) seen
+from (select fold, grade, case when row_id%7=0 then 'A' when row_id%5=0 then 'B' else grade end predicted_grade from folded),
+(values ('A'),('B'),('BB'),('BBB')) t(g) group by fold, g) where seen>0 group by fold""",
+    GRADED + fold_cte("graded", "partition by grade"),
+)
+def _(d: Domain):
+    folds = models.stratified_folds(models.quartile_grades(features(d)))
+    guess = F.when(F.col("row_id") % 7 == 0, "A").when(F.col("row_id") % 5 == 0, "B").otherwise(F.col("grade"))
+    scores = models.classification_scores(folds.withColumn("predicted_grade", guess), "fold")
+    return rounded(scores.select("fold", "macro_f1"), 6, "macro_f1")
+
+
 @query("m11_t5_feature_importance", "select pillar, true used, 1.0::double total from category")
 def _(d: Domain):
     graded = models.quartile_grades(features(d))

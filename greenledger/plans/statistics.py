@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import impact_class, month_of, one_place, processing_date, pseudo_tax_id, status_from_grade
 from ..operators import dml, profile
+from ..session import checkpointed
 from .domain import Domain
 from .registry import query
 from .relational import MEAN, empty_log
@@ -91,6 +92,29 @@ def _(d: Domain):
     return rounded(profile.medians(d.base, "pillar"), 6, "median")
 
 
+@query(
+    "a10_approximate_median_by_sector",
+    """select industry, round(median(measured_value),6) median, true near_value, true near_rank from dashboard_base
+where industry is not null group by industry""",
+)
+def _(d: Domain):
+    """Medians from merged sketches, held to the exact ones: by value, and by the share of rows below them."""
+    exact = profile.medians(d.base, "industry")
+    guess = checkpointed(profile.approximate_medians(d.base, "industry").withColumnRenamed("median", "guess"))
+    both = exact.join(guess, "industry")
+    totals = d.base.totals("industry").select("industry", "n")
+    labels = d.base.labels.join(F.broadcast(guess), "industry")
+    below = (
+        d.base.facts.join(labels, "company_id")
+        .groupBy("industry").agg(F.sum(F.when(F.col(V) < F.col("guess"), F.col("copies")).otherwise(0)).alias("below"))
+    )
+    rank = F.abs(F.col("below") / F.col("n") - 0.5)
+    return both.join(totals, "industry").join(below, "industry").select(
+        "industry", F.round("median", 6).alias("median"),
+        (F.abs(F.col("guess") - F.col("median")) <= F.col("median") / 100).alias("near_value"), (rank <= 0.02).alias("near_rank"),
+    )
+
+
 @query("a11_mode", "select round_even(measured_value,1) mode_value, count(*) n from dashboard_base group by 1 order by n desc, mode_value limit 1")
 def _(d: Domain):
     return profile.mode(d.base)

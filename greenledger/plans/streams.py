@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..session import scratch_path
-from ..streaming.changelog import status_transition_batch, status_transition_stream
+from ..session import checkpointed, scratch_path
+from ..streaming.changelog import status_transition_batch, write_change_log
 from ..streaming.readings import validate_arrivals
 from .changes import SHIFTED, shifted
 from .domain import Domain
@@ -45,22 +45,29 @@ def history(d: Domain):
     return d.spark.sql(HISTORY[len("history as ("):-1])
 
 
+def logged(d: Domain, *parts: str) -> tuple[str, str]:
+    """Log and late events of a stream over files that arrive one condition on the history after the other."""
+    events, log, late = (scratch_path(d.spark, name) for name in ("events", "transitions", "late"))
+    rows = checkpointed(history(d))
+    for part in parts:  # all events of a reading that arrive together lie in one file
+        rows.where(part).repartition(2, "reading_id").write.mode("append").parquet(events)
+    source = d.spark.readStream.schema("reading_id bigint, seq bigint, status string").option("maxFilesPerTrigger", 2)
+    write_change_log(source.parquet(events), log, late, scratch_path(d.spark, "offsets")).awaitTermination()
+    return log, late
+
+
 @query("w2_transition_stream", CHANGES, HISTORY)
 def _(d: Domain):
-    events = scratch_path(d.spark, "events")
-    history(d).write.parquet(events)
-    log = scratch_path(d.spark, "transitions")
-    source = d.spark.readStream.schema("reading_id bigint, seq bigint, status string").parquet(events)
-    stream = status_transition_stream(source)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", log)
-        .option("checkpointLocation", scratch_path(d.spark, "offsets"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return d.spark.read.parquet(log)
+    log, _ = logged(d, "seq <= 6", "seq > 6")
+    return d.spark.read.parquet(log).drop("batch")
+
+
+@query("w2_late_events", """select reading_id, seq, status from history where seq<=3 and reading_id in
+(select reading_id from history where seq>3)""", HISTORY)
+def _(d: Domain):
+    """The first events of each reading arrive after the later ones."""
+    _, late = logged(d, "seq > 3", "seq <= 3")
+    return d.spark.read.parquet(late).drop("batch")
 
 
 @query("w2_transition_batch", CHANGES, HISTORY)

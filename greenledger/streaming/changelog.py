@@ -1,16 +1,30 @@
-"""The status change log as a stream with one remembered status per reading."""
+"""The status change log as a stream with one remembered status per reading.
+
+What is remembered grows with the number of readings, so it belongs in the RocksDB store (``rocksdb_state``), and a
+reading that has been silent for long may be forgotten (``forget_after``). Events that come too late to be placed are
+not lost without a trace: ``write_change_log`` keeps them beside the log.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpointed
 
 TRANSITION = "reading_id bigint, seq bigint, old_status string, new_status string"
+STATE = "status string, seq bigint"
+STORE, ROCKSDB = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 
 
 def _transitions(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,13 +54,84 @@ def _transitions(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
     )
 
 
+def _marked(
+    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, forget_ms: int | None = None
+) -> Iterator[pd.DataFrame]:
+    """``_transitions`` and, marked ``late``, the events it drops. A silent reading is forgotten after ``forget_ms``."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    events = pd.concat(list(chunks))
+    last = state.get[1] if state.exists else None
+    if last is not None:
+        late = events[(events["seq"] <= last) & events["status"].notna()]
+        if len(late):
+            yield pd.DataFrame({
+                "reading_id": late["reading_id"], "seq": late["seq"], "old_status": None, "new_status": late["status"], "late": True,
+            })
+    for found in _transitions(key, iter([events]), state):
+        yield found.assign(late=False)
+    if forget_ms and state.exists:
+        state.setTimeoutDuration(forget_ms)
+
+
+def marked_transition_stream(events: DataFrame, forget_after: timedelta | None = None) -> DataFrame:
+    """Transitions with ``late`` false, and the events that came too late with ``late`` true and no old status.
+
+    With ``forget_after`` the state of a reading that had no event for that long (by the clock) is dropped with the next
+    batch; its next event then is a first one, which makes no transition.
+    """
+    forget_ms = int(forget_after.total_seconds() * 1000) if forget_after else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return (
+        events.select("reading_id", "seq", "status")
+        .groupBy("reading_id")
+        .applyInPandasWithState(partial(_marked, forget_ms=forget_ms), f"{TRANSITION}, late boolean", STATE, "append", timeout)
+    )
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on the executors' disks and in the checkpoint folder."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def write_change_log(
+    events: DataFrame, log: str, late: str, checkpoint: str, forget_after: timedelta | None = None, **trigger
+) -> StreamingQuery:
+    """Append transitions to ``log`` and late events to ``late``, each batch in a folder of its own number, so that a batch
+    that runs again replaces itself.
+
+    The source's rate limit (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds the events of one reading in a batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.where("not late").drop("late").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        batch.where("late").select("reading_id", "seq", F.col("new_status").alias("status")).write.mode("overwrite").parquet(
+            f"{late}/batch={number}"
+        )
+        batch.unpersist()
+
+    with rocksdb_state(events.sparkSession):
+        return (
+            marked_transition_stream(events, forget_after).writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
+
+
 def status_transition_stream(events: DataFrame) -> DataFrame:
     """Events (reading_id, seq, status) to real status changes; late events are dropped. One small state per reading."""
     return (
         events.select("reading_id", "seq", "status")
         .groupBy("reading_id")
         .applyInPandasWithState(
-            _transitions, TRANSITION, "status string, seq bigint", "append", GroupStateTimeout.NoTimeout
+            _transitions, TRANSITION, STATE, "append", GroupStateTimeout.NoTimeout
         )
     )
 

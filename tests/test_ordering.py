@@ -77,3 +77,25 @@ def test_contiguous_folds(spark, n):
     got = ordering.contiguous_folds(spark.range(n), ["id"], 5).toPandas().sort_values("id")["fold"].tolist()
     want = [f for f, part in enumerate(np.array_split(np.arange(n), 5)) for _ in part]
     assert got == want
+
+
+def test_hash_split_is_each_rows_own(spark):
+    df = spark.range(4000)
+    got = {r.id: r.is_test for r in ordering.hash_split(df, ["id"], 42).collect()}
+    assert 700 < sum(got.values()) < 900
+    some = {r.id: r.is_test for r in ordering.hash_split(df.where("id % 3 = 0").repartition(5), ["id"], 42).collect()}
+    assert all(got[i] == t for i, t in some.items())
+    assert "Exchange" not in ordering.hash_split(df, ["id"], 42)._jdf.queryExecution().toString()
+    assert ordering.hash_split(df, ["id"], 42, 0.0).where("is_test").count() == 0
+    assert ordering.hash_split(df, ["id"], 42, 1.0).where("is_test").count() == 4000
+
+
+def test_running_total_moves_rows_once(spark):
+    """One exchange by range; numbers far beyond a partition's rows and batches stay exact."""
+    df = spark.range(30_000).selectExpr("id", "id % 3 g", "id * 1000003 w")
+    got = ordering.running_total(df, ["id"], F.col("w"), ["g"], total="t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" not in plan
+    rows = got.toPandas().sort_values(["g", "id"])
+    assert (rows["before"] == rows.groupby("g")["w"].cumsum() - rows["w"]).all()
+    assert (rows["t"] == rows.groupby("g")["w"].transform("sum")).all()

@@ -81,3 +81,43 @@ def test_late_events_are_dropped():
     assert list(_transitions((1,), events((1, "REJECTED"), (2, "REJECTED")), state)) == []
     after = pd.concat(_transitions((1,), events((1, "PENDING"), (3, "REJECTED")), state))
     assert after[["seq", "old_status", "new_status"]].values.tolist() == [[3, "VALIDATED", "REJECTED"]]
+
+
+def test_late_events_are_kept_beside_the_log(spark):
+    """Rate limited: one file a batch, the second with places the first has passed."""
+    from greenledger.streaming.changelog import STORE, write_change_log
+
+    source, log, late, offsets = (scratch_path(spark, n) for n in ("events", "log", "late", "offsets"))
+    for rows in ([(1, 2, "PENDING"), (1, 3, "VALIDATED"), (2, 1, "PENDING")], [(1, 1, "REJECTED"), (1, 3, None), (1, 4, "PENDING"), (2, 2, "REJECTED")]):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    before = spark.conf.get(STORE, None)
+    query = write_change_log(stream, log, late, offsets)
+    query.awaitTermination()
+    assert spark.conf.get(STORE, None) == before
+    got = sorted(tuple(r)[:4] for r in spark.read.parquet(log).collect())
+    assert got == [(1, 3, "PENDING", "VALIDATED"), (1, 4, "VALIDATED", "PENDING"), (2, 2, "PENDING", "REJECTED")]
+    assert [tuple(r)[:3] for r in spark.read.parquet(late).collect()] == [(1, 1, "REJECTED")]
+
+
+def test_silent_readings_are_forgotten(spark):
+    """Reading 1 is silent for longer than its state is kept; reading 2 is not."""
+    import time
+    from datetime import timedelta
+
+    from greenledger.streaming.changelog import write_change_log
+
+    source, log, late, offsets = (scratch_path(spark, n) for n in ("events", "log", "late", "offsets"))
+    rounds = [
+        ([(1, 1, "PENDING")], 12), ([(2, 1, "PENDING")], 0), ([(1, 2, "VALIDATED"), (2, 2, "VALIDATED")], 0),
+    ]
+    states = []
+    for rows, pause in rounds:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(EVENT).parquet(source)
+        query = write_change_log(stream, log, late, offsets, timedelta(seconds=10 if rows[0][0] == 1 and pause else 600))
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(pause)
+    assert states == [1, 1, 2]  # the second batch forgets reading 1
+    assert [tuple(r)[:4] for r in spark.read.parquet(log).collect()] == [(2, 2, "PENDING", "VALIDATED")]
