@@ -21,6 +21,7 @@ from ..session import checkpointed
 
 TRANSITION = "reading_id bigint, seq bigint, old_status string, new_status string"
 STATE = "status string, seq bigint"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 STORE, ROCKSDB = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -91,14 +92,20 @@ def marked_transition_stream(events: DataFrame, forget_after: timedelta | None =
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, on the executors' disks and in the checkpoint folder."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+def rocksdb_state(spark: SparkSession, empty_batches: bool = True) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on the executors' disks and in the checkpoint folder.
+
+    Without ``empty_batches`` a batch needs new events; else a stream that waits for timeouts never ends by itself.
+    """
+    wanted = {STORE: ROCKSDB} | ({} if empty_batches else {EMPTY_BATCHES: "false"})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def write_change_log(
@@ -118,10 +125,11 @@ def write_change_log(
         )
         batch.unpersist()
 
-    with rocksdb_state(events.sparkSession):
+    trigger = trigger or {"availableNow": True}
+    with rocksdb_state(events.sparkSession, empty_batches="availableNow" not in trigger):
         return (
             marked_transition_stream(events, forget_after).writeStream.foreachBatch(write).outputMode("append")
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
 
 
