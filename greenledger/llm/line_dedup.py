@@ -8,7 +8,7 @@ they belong to one window or to several that overlap.
 Windows of fewer than ``MIN_WORDS`` words are too common by chance and are never repeats.
 
 Only the windows' hashes are shuffled, first to find the few that repeat; a window held by a third of all texts is
-counted before it moves and then joined, which Spark splits. Defined cases: a null text stays null; a text without
+counted before it moves and then joined with a table of its own, so that Spark splits the join. Defined cases: a null text stays null; a text without
 three lines is left alone; the id of a row may be null (such rows come first) or repeated: rows of equal id and text
 count as one text and are changed alike; an empty table gives an empty result; all other columns are passed on, whatever
 their names.
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialised
+from .common import SPACE, materialised, written
 
 #: One line with the white space after it, so that only the first match of a text can be blank; the last is empty.
 LINE = rf"(?s).*?(?:[.!?] |\n|\z)[{SPACE}]*"
@@ -85,11 +85,11 @@ def later_occurrences(windows: DataFrame, hashes: DataFrame) -> DataFrame:
 
     ``hashes`` has ``_h`` of all windows once more, so that counting them does not carry their places.
     """
-    repeated = hashes.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    repeated = written(hashes.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"), "repeated")
     # A hash of 64 bits may bring different windows together here; the second one keeps them apart.
     members = materialised(windows.join(repeated, "_h", "left_semi"))
     place = F.struct("_id", "_digest", "_at")
-    first = members.groupBy("_h", "_g").agg(F.min(place).alias("_first"))
+    first = written(members.groupBy("_h", "_g").agg(F.min(place).alias("_first")), "first")
     later = members.join(first, ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
     return later.groupBy("_id", "_digest").agg(F.sort_array(F.collect_set("_at")).alias("_removed"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialised
+from .common import SPACE, materialised, written
 
 NEAR, RUN_WORDS = 8, 20
 #: Bits of the bitmap of repeated hashes, as a power of two.
@@ -140,7 +140,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
     place = F.struct("_id", "_digest", "_f", "_t")
     first = members.groupBy("_h", "_g").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = members.join(first.drop("_n"), ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
+    later = members.join(written(first.drop("_n"), "first"), ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
     own = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_digest") == F.col("_first._digest"))
     later = later.withColumn("_f", F.when(own, F.greatest("_f", "_first._t")).otherwise(F.col("_f"))).where("_f < _t")
     spans = later.groupBy("_id", "_digest").agg(F.sort_array(F.collect_set(F.struct("_f", "_t"))).alias("_spans"))
