@@ -11,8 +11,11 @@ DEFAULT_READ_DATE = "2022-04-19"
 LOW_IMPACT = "LOW IMPACT / COMPLIANT"
 MODERATE_IMPACT = "MODERATE IMPACT / ATTENTION"
 CRITICAL_IMPACT = "CRITICAL IMPACT / ALERT"
-# Decimals of the addends of an exact mean: ten keep every cent-based value whole. Finer values need more places.
+# Decimals of the exact part of a sum: ten keep every cent-based value whole. What is finer, and values from LIMIT on, are
+# summed as doubles beside it, so that nothing is lost and nothing overflows.
 PLACES = 10
+LIMIT = 1e11
+NOISE = 2.0**-50
 
 
 def _col(c: Column | str) -> Column:
@@ -68,12 +71,38 @@ def weighted_count(weight: Column | str, when: Column | None = None) -> Column:
     return F.coalesce(F.sum(w if when is None else F.when(when, w)), F.lit(0)).cast("bigint")
 
 
-def exact_sum(value: Column | str, weight: Column | str | None = None, places: int = PLACES) -> Column:
-    """Sum that does not depend on the order of its addends; NaN counts as missing. Addends are rounded to ``places``."""
-    v = nan_to_null(_col(value).cast("double")).cast(f"decimal({16 + places},{places})")
+def exact_parts(value: Column | str, weight: Column | str | None = None, places: int = PLACES) -> tuple[Column, Column]:
+    """A sum in two parts; NaN counts as missing. NULL for no values is in the second part only.
+
+    The first holds the addends below ``LIMIT`` to ``places`` as decimals, the second what that leaves of each, as doubles.
+    Values of at most ``places`` decimals below ``LIMIT`` leave nothing, so their sum does not depend on the order; nor do
+    those that miss such a number by the last bits of a double.
+    """
+    v = nan_to_null(_col(value).cast("double"))
+    near = F.when(F.abs(v) < LIMIT, v).cast(f"decimal({11 + places},{places})")
+    left = v - F.coalesce(near.cast("double"), F.lit(0.0))
+    rest = F.when(near.isNotNull() & (F.abs(left) <= F.abs(v) * NOISE), 0.0).otherwise(left)
     if weight is not None:
-        v = v * _col(weight).cast("decimal(10,0)")
-    return F.sum(v)
+        near, rest = near * _col(weight).cast("decimal(10,0)"), rest * _col(weight)
+    return F.sum(near), F.sum(rest)
+
+
+def whole_sum(near: Column, rest: Column) -> Column:
+    """One double of the two parts of a sum; NULL if there were no values."""
+    return F.coalesce(near.cast("double"), F.lit(0.0)) + rest
+
+
+def weighed_parts(near: Column, rest: Column, weight: Column | str) -> tuple[Column, Column]:
+    """Both parts of a sum times a weight; what would not fit a decimal goes to the second."""
+    w = _col(weight)
+    product = near.try_cast("decimal(30,10)") * w.try_cast("decimal(7,0)")
+    beyond = F.coalesce(F.when(product.isNull(), near.cast("double") * w), F.lit(0.0))
+    return product, rest * w + beyond
+
+
+def exact_sum(value: Column | str, weight: Column | str | None = None, places: int = PLACES) -> Column:
+    """Sum as a double, see ``exact_parts``; NULL for no values."""
+    return whole_sum(*exact_parts(value, weight, places))
 
 
 def exact_count(value: Column | str) -> Column:
@@ -90,4 +119,4 @@ def exact_mean(
         n = F.count(v)
     else:
         n = F.sum(F.when(v.isNotNull(), _col(weight)))
-    return F.try_divide(exact_sum(v, weight, places).cast("double"), n.cast("double"))
+    return F.try_divide(exact_sum(v, weight, places), n.cast("double"))

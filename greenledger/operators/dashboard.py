@@ -8,8 +8,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_count, exact_sum
+from ..functions.columns import exact_count, exact_parts, weighed_parts
 from ..session import checkpointed
+from .moments import sum_and_shape
 from .views import metric_pillars
 
 VALUE = "measured_value"
@@ -105,21 +106,23 @@ class Dashboard:
         return joined.groupBy(*keys).agg(n, *[f(name).alias(name) for name, (f, _) in more.items()])
 
     def totals(self, *keys: str) -> DataFrame:
-        """Weighted rows (n), values (c) and exact sum (s) per key; NULL keys form no group."""
+        """Weighted rows (n), values (c) and both parts of the sum (s, e) per key; NULL keys form no group."""
+        near, rest = exact_parts(VALUE)
         fact_keys = [k for k in keys if k in self.facts.columns]
         part = _keyed(self.facts, fact_keys).groupBy("company_id", *fact_keys).agg(
-            F.count(F.lit(1)).alias("n"), exact_count(VALUE).alias("c"), exact_sum(VALUE).alias("s")
+            F.count(F.lit(1)).alias("n"), exact_count(VALUE).alias("c"), near.alias("s"), rest.alias("e")
         )
-        copies = F.col(W).cast("decimal(10,0)")
-        return (
-            part.join(self._labels_by(*keys), "company_id")
-            .groupBy(*keys)
-            .agg(
-                F.coalesce(F.sum(F.col("n") * F.col(W)), F.lit(0)).cast("bigint").alias("n"),
-                F.coalesce(F.sum(F.col("c") * F.col(W)), F.lit(0)).cast("bigint").alias("c"),
-                F.sum(F.col("s").cast("decimal(27,10)") * copies).alias("s"),
-            )
+        return merge_totals(part.join(self._labels_by(*keys), "company_id"), *keys)
+
+    def parts(self, *keys: str) -> DataFrame:
+        """Per company and key all that ``merge_totals``, ``merge_moments`` and ``Bins`` merge into their figures, with
+        ``copies``, in one pass over the facts. Rows of NULL fact keys stay, so that each figure can leave out its own."""
+        fact_keys = [k for k in keys if k in self.facts.columns]
+        part = self.facts.groupBy("company_id", *fact_keys).agg(
+            F.count(F.lit(1)).alias("n"), exact_count(VALUE).alias("c"), *sum_and_shape(VALUE),
+            F.min(VALUE).alias("least"), F.max(VALUE).alias("most"),
         )
+        return part.join(self._labels_by(*keys), "company_id")
 
     def top(self, k: int, key: str = "industry") -> DataFrame:
         """The k most frequent values of a label; equal counts are ordered by value."""
@@ -131,6 +134,17 @@ class Dashboard:
         return replace(self, labels=self.labels.join(F.broadcast(top), key, "left_semi"))
 
 
+def merge_totals(parts: DataFrame, *keys: str) -> DataFrame:
+    """Totals per key from parts that know their ``copies``."""
+    near, rest = weighed_parts(F.col("s"), F.col("e"), W)
+    return _keyed(parts, keys).groupBy(*keys).agg(
+        F.coalesce(F.sum(F.col("n") * F.col(W)), F.lit(0)).cast("bigint").alias("n"),
+        F.coalesce(F.sum(F.col("c") * F.col(W)), F.lit(0)).cast("bigint").alias("c"),
+        F.sum(near).alias("s"),
+        F.sum(rest).alias("e"),
+    )
+
+
 def most_frequent(totals: DataFrame, k: int, key: str = "industry") -> DataFrame:
     """The k values of ``key`` with the largest sum of n."""
     return totals.groupBy(key).agg(F.sum("n").cast("bigint").alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(k)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_sum
+from ..functions.columns import exact_parts, weighed_parts, whole_sum
 
 
 def weighted_moments(df: DataFrame, value: str, weight: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -23,13 +23,19 @@ def partial_moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
-    return kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("c"),
-        exact_sum(value).alias("s"),
+    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), *sum_and_shape(value))
+
+
+def sum_and_shape(value: str) -> list[Column]:
+    """Aggregates of a part besides its count of values: both parts of the sum, variance and shape."""
+    near, rest = exact_parts(value)
+    return [
+        near.alias("s"),
+        rest.alias("e"),
         F.var_pop(value).alias("v2"),
         F.coalesce(F.skewness(value), F.lit(0.0)).alias("g1"),
         F.coalesce(F.kurtosis(value), F.lit(-3.0)).alias("g2"),
-    )
+    ]
 
 
 def merge_moments(parts: DataFrame, weight: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,18 +45,18 @@ def merge_moments(parts: DataFrame, weight: str, keys: Sequence[str] = ()) -> Da
     """
     for k in keys:
         parts = parts.where(F.col(k).isNotNull())
-    whole = F.col("s").cast("decimal(27,10)") * F.col(weight).cast("decimal(10,0)")
+    near, rest = weighed_parts(F.col("s"), F.col("e"), weight)
     d, v2 = F.col("d"), F.col("v2")
     p2, p3, p4 = (lambda c: c * c), (lambda c: c * c * c), (lambda c: c * c * c * c)
     m3, m4 = F.col("g1") * F.sqrt(v2) * v2, (F.col("g2") + 3) * v2 * v2
     weighed = parts.withColumn("n", F.col("c") * F.col(weight))
-    mean = F.try_divide(F.sum(whole).cast("double"), F.sum("n").cast("double"))
+    mean = F.try_divide(whole_sum(F.sum(near), F.sum(rest)), F.sum("n").cast("double"))
     if keys:
         centred = weighed.join(weighed.groupBy(*keys).agg(mean.alias("m")), list(keys))
     else:
         centred = weighed.withColumn("m", weighed.agg(mean).scalar())
     sums = (
-        centred.withColumn("d", F.col("s").cast("double") / F.col("c").cast("double") - F.col("m"))
+        centred.withColumn("d", whole_sum(F.col("s"), F.col("e")) / F.col("c").cast("double") - F.col("m"))
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, impact_class, month_of, one_place
+from ..functions.columns import CRITICAL_IMPACT, LOW_IMPACT, MODERATE_IMPACT, impact_class, month_of, one_place, whole_sum
 from ..functions.numerics import t_quantile_udf
 from ..schema import METRIC_NAMES, PILLARS
-from .dashboard import VALUE, W, Dashboard, keep_most_frequent
+from ..session import checkpointed
+from .dashboard import VALUE, W, Dashboard, keep_most_frequent, merge_totals
 from .moments import merge_moments, partial_moments
 from .rows import side_by_side, sized_broadcast
-from .selection import QUARTILES, Bins, percentiles
+from .selection import BIN, QUARTILES, Bins, log_bin, percentiles
 
 
 def _count(when: Column | None = None) -> Column:
@@ -22,9 +23,9 @@ def _count(when: Column | None = None) -> Column:
 
 def _mean(when: Column | None = None) -> Column:
     """Mean from totals: exact sum over count, optionally of the groups that meet a condition."""
-    s, c = (F.col(x) if when is None else F.when(when, F.col(x)) for x in ("s", "c"))
+    s, e, c = (F.sum(F.col(x) if when is None else F.when(when, F.col(x))) for x in ("s", "e", "c"))
     # A condition that no group meets leaves NULL / NULL.
-    return F.try_divide(F.sum(s).cast("double"), F.sum(c).cast("double"))
+    return F.try_divide(whole_sum(s, e), c.cast("double"))
 
 
 def _percent(when: Column) -> Column:
@@ -36,7 +37,7 @@ def count_by(base: Dashboard, *keys: str) -> DataFrame:
 
 
 def mean_by(base: Dashboard, *keys: str) -> DataFrame:
-    mean = F.try_divide(F.col("s").cast("double"), F.col("c").cast("double"))
+    mean = F.try_divide(whole_sum(F.col("s"), F.col("e")), F.col("c").cast("double"))
     return base.totals(*keys).select(*keys, mean.alias("mean_value"))
 
 
@@ -53,9 +54,11 @@ def share_by(base: Dashboard, key: str) -> DataFrame:
 
 def counted(base: Dashboard) -> DataFrame:
     """Rows and validated share; an empty base gives one row of 0 and NULL."""
-    return base.totals("status").agg(
-        _count().alias("readings"), _percent(F.col("status") == "VALIDATED").alias("validated_percent")
-    )
+    return _validated(base.totals("status"))
+
+
+def _validated(totals: DataFrame) -> DataFrame:
+    return totals.agg(_count().alias("readings"), _percent(F.col("status") == "VALIDATED").alias("validated_percent"))
 
 
 def date_span(base: Dashboard) -> DataFrame:
@@ -67,14 +70,18 @@ def date_span(base: Dashboard) -> DataFrame:
 
 def distinct_counts(base: Dashboard, approximate: float | None = None) -> DataFrame:
     """Distinct names and sectors with readings. ``approximate`` is a relative error to trade for one pass."""
-    used = base.labels.join(base.facts.select("company_id").distinct(), "company_id", "left_semi")
+    return _distinct_labels(base, base.facts.select("company_id").distinct(), approximate)
+
+
+def _distinct_labels(base: Dashboard, companies: DataFrame, approximate: float | None = None) -> DataFrame:
+    used = base.labels.join(companies, "company_id", "left_semi")
     if approximate:
         return used.agg(
             F.approx_count_distinct("trade_name", approximate).alias("companies"),
             F.approx_count_distinct("industry", approximate).alias("industries"),
         )
     # One distinct per column: several in one aggregation would copy each row once per column.
-    return base.facts.sparkSession.range(1).select(
+    return used.sparkSession.range(1).select(
         *[
             used.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar().alias(n)
             for n, c in (("companies", "trade_name"), ("industries", "industry"))
@@ -87,7 +94,11 @@ def moments(base: Dashboard, *keys: str) -> DataFrame:
 
     The facts are combined per company first, so one row per company and fact key meets the labels.
     """
-    return merge_moments(base.per_company(lambda facts, by: partial_moments(facts, VALUE, by), *keys), W, keys).select(
+    return _named_moments(base.per_company(lambda facts, by: partial_moments(facts, VALUE, by), *keys), *keys)
+
+
+def _named_moments(parts: DataFrame, *keys: str) -> DataFrame:
+    return merge_moments(parts, W, keys).select(
         *keys, F.col("n").alias("readings"), F.col("mean").alias("mean_value"), "variance", "sd", "skewness", "kurtosis"
     )
 
@@ -132,30 +143,47 @@ def _same(*names: str) -> Mapping[str, str]:
 
 
 def summary(base: Dashboard) -> DataFrame:
-    """All headline figures in one row."""
+    """All headline figures in one row, from one pass over the facts and one over those around the median.
+
+    The bins are the values at one decimal place, which the mode counts anyway.
+    """
+    parts = _binned_parts(base, one_place, "status")
+    bins = Bins(base, number=one_place, parts=parts)
+    most = bins.cells.orderBy(F.desc("n"), F.asc(BIN)).limit(1).select(F.col(BIN).alias("mode_value"))
     return side_by_side(
         [
-            (counted(base), _same("readings", "validated_percent")),
-            (distinct_counts(base), _same("companies", "industries")),
-            (moments(base), _same("mean_value", "variance", "sd", "skewness", "kurtosis")),
-            (medians(base), _same("median")),
-            (mode(base), _same("mode_value")),
+            (_validated(merge_totals(parts, "status")), _same("readings", "validated_percent")),
+            (_distinct_labels(base, parts.select("company_id").distinct()), _same("companies", "industries")),
+            (_named_moments(parts.where("c > 0")), _same("mean_value", "variance", "sd", "skewness", "kurtosis")),
+            (bins.percentiles({"median": 0.5}), _same("median")),
+            (most, _same("mode_value")),
         ]
     )
 
 
+def _binned_parts(base: Dashboard, number: Callable[[Column], Column], *keys: str) -> DataFrame:
+    """Parts by company, key and bin, on reliable storage; values that are NULL have no bin."""
+    value = F.col(VALUE)
+    return checkpointed(base.with_facts(**{BIN: F.when(value.isNotNull(), number(value))}).parts(*keys, BIN))
+
+
 def sector_pillar_summary(base: Dashboard) -> DataFrame:
-    """Count, mean, median, spread, validated share and impact classes per sector and pillar."""
+    """Count, mean, median, spread, validated share and impact classes per sector and pillar.
+
+    One pass over the facts gives the parts of all figures, a second one reads those around the medians.
+    """
     keys = ["industry", "pillar"]
     impact = F.col("impact")
-    first = base.with_facts(impact=impact_class(VALUE)).totals(*keys, "status", "impact").groupBy(*keys).agg(
+    parts = _binned_parts(base.with_facts(impact=impact_class(VALUE)), log_bin, *keys, "status", "impact")
+    first = merge_totals(parts, *keys, "status", "impact").groupBy(*keys).agg(
         _percent(F.col("status") == "VALIDATED").alias("validated_percent"),
         _count(impact == LOW_IMPACT).alias("low_impact"),
         _count(impact == MODERATE_IMPACT).alias("moderate_impact"),
         _count(impact == CRITICAL_IMPACT).alias("critical_impact"),
     )
-    spread = moments(base, *keys).select(*keys, "readings", "mean_value", "sd")
-    return spread.join(first, keys).join(medians(base, *keys), keys)
+    spread = _named_moments(parts.where("c > 0"), *keys).select(*keys, "readings", "mean_value", "sd")
+    median = Bins(base, keys, parts=parts).percentiles({"median": 0.5})
+    return spread.join(first, keys).join(median, keys)
 
 
 def histogram(base: Dashboard, bins: int = 30, by: str = "pillar") -> DataFrame:

@@ -9,12 +9,12 @@ may hold very many different values, they are sorted over many tasks by ``runnin
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
-from .dashboard import VALUE, Dashboard
+from .dashboard import VALUE, W, Dashboard
 from .ordering import running_total
 from .rows import counted_broadcast
 
@@ -27,7 +27,7 @@ BIN = "_bin"
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _bin(value: Column) -> Column:
+def log_bin(value: Column) -> Column:
     """Number of a value's bin, which never falls where the value rises; NaN, the largest value, has the last one."""
     # Logarithms of doubles lie between -745 and 710; 746 makes all of them positive.
     size = (F.floor((F.least(F.ln(F.abs(value)), F.lit(710.0)) + 746) * RESOLUTION)).cast("int")
@@ -35,13 +35,26 @@ def _bin(value: Column) -> Column:
 
 
 class Bins:
-    """The facts of a dashboard counted by key and bin, on reliable storage, and the way back to the facts of a bin."""
+    """The facts of a dashboard counted by key and bin, on reliable storage, and the way back to the facts of a bin.
 
-    def __init__(self, base: Dashboard, keys: Sequence[str] = ()):
+    ``number`` gives a value its bin and must never fall where the value rises. ``parts`` are the parts of ``base`` by the
+    same bins where they are known already, so that the facts are not counted again.
+    """
+
+    def __init__(
+        self, base: Dashboard, keys: Sequence[str] = (), number: Callable[[Column], Column] = log_bin,
+        parts: DataFrame | None = None,
+    ):
         kept = base.where_facts(F.col(VALUE).isNotNull())
-        self.base = kept.with_facts(**{BIN: _bin(F.col(VALUE))})
+        self.base = kept.with_facts(**{BIN: number(F.col(VALUE))})
         self.keys = list(keys)
-        counted = self.base.counts(*keys, BIN, least=(F.min, VALUE), most=(F.max, VALUE))
+        if parts is None:
+            counted = self.base.counts(*keys, BIN, least=(F.min, VALUE), most=(F.max, VALUE))
+        else:
+            known = parts.dropna(subset=[*keys, "least"])
+            counted = known.groupBy(*keys, BIN).agg(
+                F.sum(F.col("n") * F.col(W)).cast("bigint").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+            )
         ordered = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)
         self.cells = checkpointed(
             counted.withColumn("prior", F.sum("n").over(ordered) - F.col("n"))
@@ -121,7 +134,7 @@ class Bins:
         bins are looked at one by one.
         """
         fences = checkpointed(self.fences())
-        marked = fences.withColumns({f"_{c}": _bin(F.col(f"fence_{c}")) for c in ("low", "high")})
+        marked = fences.withColumns({f"_{c}": log_bin(F.col(f"fence_{c}")) for c in ("low", "high")})
         low, high, here = F.col("_low"), F.col("_high"), F.col(BIN)
         if self.keys:
             cells = self.cells.join(counted_broadcast(marked), self.keys)

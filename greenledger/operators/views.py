@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import exact_count, exact_sum
+from ..functions.columns import exact_count, exact_parts, whole_sum
 from .topk import newest_joined
 
 NEWEST = (F.desc, "read_at"), (F.asc, "reading_id")
@@ -83,10 +83,12 @@ def newest_readings(
 
 def mean_by_pillar(reading: DataFrame, metric: DataFrame, category: DataFrame) -> DataFrame:
     """Count and mean per pillar. Facts are combined per metric before they meet a dimension."""
+    near, rest = exact_parts("measured_value")
     per_metric = reading.groupBy("metric_id").agg(
         F.count(F.lit(1)).alias("n"),
         exact_count("measured_value").alias("n_values"),
-        exact_sum("measured_value").alias("s"),
+        near.alias("s"),
+        rest.alias("e"),
     )
     dims = metric_pillars(metric, category).select("metric_id", "pillar")
     return (
@@ -94,7 +96,7 @@ def mean_by_pillar(reading: DataFrame, metric: DataFrame, category: DataFrame) -
         .groupBy("pillar")
         .agg(
             F.sum("n").alias("total"),
-            F.try_divide(F.sum("s").cast("double"), F.sum("n_values").cast("double")).alias("mean_value"),
+            F.try_divide(whole_sum(F.sum("s"), F.sum("e")), F.sum("n_values").cast("double")).alias("mean_value"),
         )
     )
 
@@ -169,10 +171,11 @@ def audited_metrics(
 
 def above_average_companies(reading: DataFrame, company: DataFrame, limit: int | None = 25) -> DataFrame:
     """Companies whose mean value is above the mean of all readings."""
-    sums = reading.groupBy("company_id").agg(exact_sum("measured_value").alias("s"), exact_count("measured_value").alias("c"))
+    near, rest = exact_parts("measured_value")
+    sums = reading.groupBy("company_id").agg(near.alias("s"), rest.alias("e"), exact_count("measured_value").alias("c"))
     # The overall mean comes from the sums per company, so the readings are scanned once.
-    overall = sums.agg(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")))
-    means = sums.withColumn("mean_value", F.try_divide(F.col("s").cast("double"), F.col("c").cast("double")))
+    overall = sums.agg(F.try_divide(whole_sum(F.sum("s"), F.sum("e")), F.sum("c").cast("double")))
+    means = sums.withColumn("mean_value", F.try_divide(whole_sum(F.col("s"), F.col("e")), F.col("c").cast("double")))
     out = (
         means.where(F.col("mean_value") > overall.scalar())
         .join(company.select("company_id", "trade_name"), "company_id")

@@ -202,3 +202,57 @@ def test_selection_is_exact_for_any_distribution(spark, monkeypatch, kind, task_
             assert [b.q1, b.median, b.q3] == pytest.approx([q1, median, q3], rel=1e-12, abs=1e-300)
             inside = values[(values >= b.q1 - (b.q3 - b.q1) * 1.5) & (values <= b.q3 + (b.q3 - b.q1) * 1.5)]
             assert (b.whisker_low, b.whisker_high, b.outliers) == (inside.min(), inside.max(), len(values) - len(inside))
+
+
+@pytest.mark.parametrize("values, total", [
+    ([2e16, 1.0], 2e16 + 1), ([9e15] * 20, 1.8e17), ([4e-11, 2e-11], 6e-11), ([1e11, -1e11, 0.1, 0.2], 0.3),
+    ([float("nan"), 1.5], 1.5), ([None], None), ([], None), ([1e300, 1e300], 2e300), ([float("inf"), 1.0], float("inf")),
+])
+def test_sums_of_any_size(spark, values, total):
+    """Neither large nor very small addends raise or get lost, weighted or not."""
+    from greenledger.functions.columns import exact_mean, exact_sum
+    from greenledger.operators.moments import weighted_moments
+
+    df = spark.createDataFrame([(v, 3) for v in values], "v double, w long")
+    got = df.agg(exact_sum("v").alias("s"), exact_mean("v", "w").alias("m")).first()
+    counted = [v for v in values if v is not None and v == v]
+    if total is None:
+        assert got.s is None and got.m is None
+        return
+    assert got.s == pytest.approx(total, rel=1e-12) and got.m == pytest.approx(total / len(counted), rel=1e-12)
+    if total < 1e300:
+        assert weighted_moments(df, "v", "w").first()["mean"] == pytest.approx(total / len(counted), rel=1e-12)
+
+
+def test_weights_beyond_decimals(spark):
+    from pyspark.sql import functions as F
+
+    from greenledger.functions.columns import weighed_parts, whole_sum
+
+    df = spark.sql("select cast(1.5 as decimal(31,10)) s, 0.25D e, 20000000L w union all select null, 2D, 3L")
+    near, rest = weighed_parts(F.col("s"), F.col("e"), "w")
+    assert [r[0] for r in df.select(whole_sum(near, rest)).collect()] == [3.5e7, 6.0]
+
+
+def test_summaries_scan_the_facts_twice(data, tmp_path, spark):
+    """The parts of all figures come from one pass, the values around the medians from a second one."""
+    base, _, frames = data
+    frames["reading"].write.parquet(str(tmp_path / "reading"))
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    stored = spark.read.parquet(str(tmp_path / "reading"))
+    counted = build_dashboard(stored.mapInArrow(seen, stored.schema), frames["company"], frames["metric"], frames["category"])
+    for build in (profile.summary, profile.sector_pillar_summary):
+        start = passes.value
+        got = build(counted).toPandas()
+        assert (passes.value - start) <= 2 * stored.count() and len(got)
+        by = [c for c in ("industry", "pillar") if c in got]
+        want = build(base).toPandas()
+        if by:
+            got, want = (x.sort_values(by, ignore_index=True) for x in (got, want))
+        pd.testing.assert_frame_equal(got, want, rtol=1e-9)
