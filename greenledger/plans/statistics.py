@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.columns import impact_class, month_of, one_place, processing_date, pseudo_tax_id, status_from_grade
-from ..operators import dml, profile
+from ..operators import dml, profile, sketches
 from ..session import checkpointed
 from .domain import Domain
 from .registry import query
@@ -57,6 +57,28 @@ def _(d: Domain):
     return profile.distinct_counts(d.base)
 
 
+@query(
+    "a6_distinct_companies_by_year",
+    """select strftime(read_at,'%Y') as year, pillar, count(distinct trade_name) companies, true near from dashboard_base
+where status in ('VALIDATED','PENDING') and read_at is not null group by 1, 2""",
+)
+def _(d: Domain):
+    """Companies per year and pillar from united monthly sketches, held to the exact counts: within three standard errors."""
+    year = F.substring("month", 1, 4)
+    kept = sketches.company_sketches(d.base).withColumn("year", year)
+    guess = sketches.distinct_companies(kept, "year", "pillar", where=F.col("status").isin("VALIDATED", "PENDING"))
+    chosen = d.base.filter(statuses=["VALIDATED", "PENDING"]).with_facts(year=F.date_format("read_at", "yyyy"))
+    pairs = chosen.facts.select("company_id", "year", "pillar").distinct().join(
+        d.base.labels.select("company_id", "trade_name").distinct(), "company_id"
+    )
+    exact = pairs.select("year", "pillar", "trade_name").distinct().groupBy("year", "pillar").agg(
+        F.count("trade_name").alias("companies")
+    )
+    error = F.abs(F.col("guess") - F.col("companies"))
+    both = exact.join(guess.withColumnRenamed("companies", "guess"), ["year", "pillar"])
+    return both.select("year", "pillar", "companies", (error <= F.col("companies") * 0.05 + 1).alias("near"))
+
+
 @query("a7_count_by_pillar", "select pillar, count(*) readings from dashboard_base group by pillar")
 def _(d: Domain):
     return profile.count_by(d.base, "pillar")

@@ -256,3 +256,21 @@ def test_summaries_scan_the_facts_twice(data, tmp_path, spark):
         if by:
             got, want = (x.sort_values(by, ignore_index=True) for x in (got, want))
         pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_company_sketches_unite(data):
+    """Months unite to any span under the filters; a company seen in several of them counts once."""
+    from pyspark.sql import functions as F
+
+    from greenledger.operators.sketches import company_sketches, distinct_companies
+
+    base, full, _ = data
+    kept = company_sketches(base).cache()
+    assert distinct_companies(kept).first()[0] == full["trade_name"].nunique()
+    spring = (F.col("month") >= "2022-02") & (F.col("month") <= "2022-03") & (F.col("status") == "PENDING")
+    part = full[(full["read_at"] >= "2022-02-01") & (full["read_at"] < "2022-04-01") & (full["status"] == "PENDING")]
+    want = part.groupby("industry")["trade_name"].nunique().to_dict()
+    got = {r.industry: r.companies for r in distinct_companies(kept, "industry", where=spring).collect()}
+    assert got == want
+    assert distinct_companies(kept, where=F.col("month") == "1900-01").first()[0] == 0
+    assert distinct_companies(kept, "pillar", where=F.lit(False)).collect() == []
