@@ -1,23 +1,20 @@
 """Removal of passages that repeat, by overlapping windows of three lines.
 
 A line ends at a line break or after a sentence mark followed by a space, so that a passage set inside a paragraph has
-lines of its own. Every three consecutive lines that hold a word form a window. Windows that occur more than once
-anywhere are kept where they occur first, in the order of id and place; the lines of all later occurrences go, whether
-they belong to one window or to several that overlap.
-
-Windows of fewer than ``MIN_WORDS`` words are too common by chance and are never repeats.
+lines of its own. Every three consecutive lines that hold a word form a window, however few words they have; the lines
+of a text that has fewer than three form one window together, which repeats where another such text has the same lines.
+Windows that occur more than once anywhere are kept where they occur first, in the order of id and place; the lines of
+all later occurrences go, whether they belong to one window or to several that overlap.
 
 Only the windows' hashes are shuffled, first to find the few that repeat; a window held by a third of all texts is
-counted before it moves and then joined with a table of its own, so that Spark splits the join. Defined cases: a null text stays null; a text without
-three lines is left alone; the id of a row may be null (such rows come first) or repeated: rows of equal id and text
-count as one text and are changed alike; an empty table gives an empty result; all other columns are passed on, whatever
-their names.
+counted before it moves and then joined with a table of its own, so that Spark splits the join. Defined cases: a null
+text stays null; a text without a word is left alone; the id of a row may be null (such rows come first) or repeated:
+rows of equal id and text count as one text and are changed alike; an empty table gives an empty result; all other
+columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +23,6 @@ from .common import SPACE, materialised, written
 #: One line with the white space after it, so that only the first match of a text can be blank; the last is empty.
 LINE = rf"(?s).*?(?:[.!?] |\n|\z)[{SPACE}]*"
 WINDOW = 3
-MIN_WORDS = 8
 _ENDS = " \n\r\t"
 
 
@@ -34,50 +30,44 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def word_count(line: Column) -> Column:
-    """Words of a line that neither starts nor ends with a space; only lines with other gaps are cut to count them."""
-    exact = F.size(F.regexp_extract_all(line, F.lit(f"[^{SPACE}]+"), F.lit(0)))
-    plain = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), exact).otherwise(plain)
+def over_windows(lines: Column, *salt: Column) -> Column:
+    """A hash of each three neighbours, or of all lines where there are fewer."""
 
+    def combine(a: Column, b: Column) -> Column:
+        return F.xxhash64(a, b, *salt)
 
-def over_windows(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """``combine`` of each three neighbours of an array of at least three."""
-    n = F.size(values) - (WINDOW - 1)
-    first, second, third = (F.slice(values, F.lit(i), n) for i in (1, 2, 3))
-    return F.zip_with(F.zip_with(first, second, combine), third, combine)
+    n = F.size(lines) - (WINDOW - 1)
+    first, second, third = (F.slice(lines, F.lit(i), n) for i in (1, 2, 3))
+    windows = F.zip_with(F.zip_with(first, second, combine), third, combine)
+    return F.when(n > 0, windows).otherwise(F.array(F.xxhash64(lines, *salt)))
 
 
 def hashed_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``_id``, ``_digest``, and of each line that holds a word its hash (``_lines``) and words (``_words``).
+    """``_id``, ``_digest``, and the hashes of the lines that hold a word (``_lines``).
 
-    Twelve bytes a line are kept on the shared folder, so the texts are cut once for all that follows.
+    Eight bytes a line are kept on the shared folder, so the texts are cut once for all that follows.
     """
     kept = F.filter(
         F.transform(lines_of(F.col(text)), lambda line: F.btrim(line, F.lit(_ENDS))),
         lambda line: F.rlike(line, F.lit(f"[^{SPACE}]")),
     )
     lines = docs.where(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), kept.alias("_lines")
-    ).where(F.size("_lines") >= WINDOW)
-    return materialised(lines.select(
-        "_id", "_digest", F.transform("_lines", lambda line: F.xxhash64(line)).alias("_lines"),
-        F.transform("_lines", word_count).alias("_words"),
-    ))
+        F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"),
+        F.transform(kept, lambda line: F.xxhash64(line)).alias("_lines"),
+    )
+    return materialised(lines.where(F.size("_lines") > 0))
 
 
 def windows_of(lines: DataFrame, placed: bool = True) -> DataFrame:
     """``_id``, ``_digest``, ``_at`` (number of the window in its text), ``_h``, ``_g`` (two hashes of its lines' hashes),
     or only ``_h`` if not ``placed``."""
-    first = over_windows(F.col("_lines"), lambda a, b: F.xxhash64(a, b)).alias("_h")
-    words = over_windows(F.col("_words"), lambda a, b: a + b).alias("_n")
+    first = over_windows(F.col("_lines")).alias("_h")
     if not placed:
-        opened = lines.select(first, words).select(F.inline(F.arrays_zip("_h", "_n")))
-        return opened.where(F.col("_n") >= MIN_WORDS).select("_h")
-    second = over_windows(F.col("_lines"), lambda a, b: F.xxhash64(a, b, F.lit(1))).alias("_g")
-    combined = lines.select("_id", "_digest", first, second, words)
-    opened = combined.select("_id", "_digest", F.posexplode(F.arrays_zip("_h", "_g", "_n")).alias("_at", "_w"))
-    return opened.where(F.col("_w._n") >= MIN_WORDS).select("_id", "_digest", "_at", "_w._h", "_w._g")
+        return lines.select(F.explode(first).alias("_h"))
+    second = over_windows(F.col("_lines"), F.lit(1)).alias("_g")
+    combined = lines.select("_id", "_digest", first, second)
+    opened = combined.select("_id", "_digest", F.posexplode(F.arrays_zip("_h", "_g")).alias("_at", "_w"))
+    return opened.select("_id", "_digest", "_at", "_w._h", "_w._g")
 
 
 def later_occurrences(windows: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -95,7 +85,8 @@ def later_occurrences(windows: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def covered_lines(removed: Column) -> Column:
-    """The runs of lines, from and to, that windows at these sorted numbers cover, overlapping runs merged."""
+    """The runs of lines, from and to, that windows at these sorted numbers cover, overlapping runs merged; the run of a
+    text of fewer lines ends behind its last."""
     start = F.array().cast("array<struct<f:int,t:int>>")
 
     def merge(runs: Column, at: Column) -> Column:
@@ -115,12 +106,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     marked = docs.withColumn("_digest", F.xxhash64(text))
     same = marked[id_col].eqNullSafe(removed["_id"]) & (marked["_digest"] == removed["_digest"])
     joined = marked.join(removed.select("_id", "_digest", "_runs"), same, "left")
-    count = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["t"] - r["f"] + 1)
     # Lines are cut once per changed text, and only there; a blank start of the text is not numbered.
     cut = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines_of(F.col(text))))
     cut = cut.withColumn("_blank", F.when(F.rlike(F.get("_lines", F.lit(0)), F.lit(f"[^{SPACE}]")), 0).otherwise(1))
     stays = F.filter("_lines", lambda line, i: ~F.exists(
         "_runs", lambda r: (r["f"] <= i - F.col("_blank")) & (i - F.col("_blank") <= r["t"])
     ))
-    cleaned = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(stays, ""))
-    return cut.withColumn(text, cleaned).select(*docs.columns, F.coalesce(count, F.lit(0)).alias("removed_lines"))
+    cut = cut.withColumn("_stays", stays)
+    # The last line of the cut is empty: it is neither counted nor missed.
+    count = (F.size(F.array_remove("_lines", "")) - F.size(F.array_remove("_stays", ""))).cast("long")
+    cleaned = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join("_stays", ""))
+    removed_lines = F.when(F.col("_runs").isNull(), F.lit(0).cast("long")).otherwise(count).alias("removed_lines")
+    return cut.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns], removed_lines)

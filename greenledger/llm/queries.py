@@ -106,11 +106,11 @@ with d as (
   select *, trim(l, E' \n\r\t') k, row_number() over (partition by r order by i) n
   from numbered where regexp_matches(l, '[^\x20\x09-\x0D]')
 ), joined as (
-  select *, k || chr(10) || lead(k) over p || chr(10) || lead(k, 2) over p w from holding
-  window p as (partition by r order by n)
+  select *, case when count(*) over (partition by r) >= 3 then k || chr(10) || lead(k) over p || chr(10) || lead(k, 2) over p
+                 when n = 1 then k || coalesce(chr(10) || lead(k) over p, '') end w
+  from holding window p as (partition by r order by n)
 ), windows as (
-  select *, row_number() over (partition by w order by doc_id, n) o from joined
-  where len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) >= 8
+  select *, row_number() over (partition by w order by doc_id, n) o from joined where w is not null
 ), gone as (
   select distinct r, n + g n from windows, range(3) t(g) where o > 1
 ), dropped as (

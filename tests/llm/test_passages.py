@@ -20,12 +20,11 @@ def clean(rows):
     seen, windows = {}, []
     for n, (i, text, lines) in cut.items():
         held = [k for k, line in enumerate(lines) if line.strip()]
-        for at in range(len(held) - 2):
+        for at in range(max(len(held) - 2, min(len(held), 1))):
             w = "\n".join(lines[k].strip(" \n\r\t") for k in held[at : at + 3])
-            if len(w.split()) >= line_dedup.MIN_WORDS:
-                place = ((i is not None, i or 0), text, at)
-                windows.append((n, w, place, held[at : at + 3]))
-                seen[w] = min(seen.get(w, place), place)
+            place = ((i is not None, i or 0), text, at)
+            windows.append((n, w, place, held[at : at + 3]))
+            seen[w] = min(seen.get(w, place), place)
     gone = {}
     for n, w, place, lines in windows:
         if place != seen[w]:
@@ -43,6 +42,8 @@ def clean(rows):
     [(1, f" \n\n{PASSAGE}\n\n \nx"), (2, f"\t{PASSAGE}")],
     [(1, "A. B. C. D. E. A. B. C."), (2, "A. B. C. D.")],
     [(1, None), (2, ""), (3, " "), (3, "One line only"), (4, "a\nb\nc"), (4, "a\nb\nc")],
+    [(1, "One line"), (2, " \n One line \n"), (3, "One line\nand two"), (4, "One line\n\nand two\n"), (5, "x. y"), (6, "x. y")],
+    [(1, "Menu\nHome\nLinks\nBody of one."), (2, "Another body.\nMenu\nHome\nLinks\n"), (3, "Menu\nHome")],
     [(1, f"{PASSAGE} x y. {PASSAGE[:90]}"), (2, f"q r s. {PASSAGE[45:]} t u v. {PASSAGE[:130]}")],
 ])
 def test_repeats_against_brute_force(frame, rows):
@@ -61,6 +62,9 @@ def test_line_dedup_keeps_columns_and_rows(docs, frame):
     got = line_dedup.remove_repeats(docs)
     assert got.columns == [*docs.columns, "removed_lines"] and got.count() == docs.count()
     assert line_dedup.remove_repeats(frame([], "doc_id long, text string, _at int")).collect() == []
+    short = [(1, "One line"), (2, " \nOne line\n"), (3, "a. b"), (4, "a. b"), (5, "x\ny\nz\nw"), (6, "q\nx\ny\nz\n")]
+    counted = line_dedup.remove_repeats(frame(short, "doc_id long, text string"))
+    assert rows_of(counted, "doc_id", "removed_lines") == [(1, 0), (2, 1), (3, 0), (4, 2), (5, 0), (6, 3)]
     same = line_dedup.remove_repeats(frame([(1, PASSAGE), (1, PASSAGE)], "doc_id long, text string"))
     assert rows_of(same, "text", "removed_lines") == [(PASSAGE, 0)] * 2  # a row repeated whole counts as one text
 
