@@ -1,22 +1,29 @@
 """Licence notices found by the Dice coefficient over word bigrams.
 
-Each line, each paragraph of several lines and the text as a whole is put in lower case, stripped of everything but
-letters and digits, and compared with the templates: twice the shared bigrams (counted as often as they occur in both)
-over the bigrams of both. Two sets can only reach the threshold if their sizes are alike, so of the templates only those
-within the size bounds are compared, and a unit that fits none of them is done.
-
-Defined cases: a null, empty or one-word text has no licence; of equally good templates the first name in text order
-wins, of equally good units the first in the order line, paragraph, text; repeated rows each get a row; an empty table
-gives an empty result; other columns are not read.
+A text is put in lower case and stripped of everything but letters and digits. Every run of its words is compared with
+the templates: twice the shared bigrams (counted as often as they occur in both) over the bigrams of both. So a notice
+is found on a line of its own, inside a sentence, or glued to code, and a text may hold several.
+
+Size bounds prune the work without loss. A template of n bigrams can reach the threshold t only in runs of at least
+n t / (2 - t) and at most n (2 - t) / t bigrams, and only if the run shares as many as the first bound; so of a text's
+bigrams only those of a template are looked at, and a template is done where they never stand that close. Runs start
+and end with shared bigrams, as leaving out others only raises the coefficient.
+
+Each shared bigram and its template give the best run that starts there; of runs that overlap the one of largest weight (shared
+bigrams times coefficient) stays, so that a whole header beats the short notice inside it.
+
+Defined cases: a null, empty or one-word text has no licence; of runs of equal weight the higher coefficient, the earlier,
+the shorter, then the first name in text order wins; repeated rows each get a row; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
-from itertools import islice
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,13 +41,47 @@ TEMPLATES = {
         "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
         "permissions and limitations under the License."
     ),
+    "BSD-2-Clause conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution."
+    ),
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "BSD-3-Clause conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0 header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details."
+    ),
+    "GPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details."
+    ),
+    "ISC permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT permission": (
@@ -52,74 +93,114 @@ TEMPLATES = {
         "substantial portions of the Software."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
     "Proprietary": "All rights reserved.",
 }
 
 _WORD = re.compile(r"[^\W_]+")
-_PARAGRAPH = re.compile(r"\n[^\S\n]*\n+")
-
-
-def first_words(text: str, most: int) -> list[str]:
-    """The normalised words of a text, but no more than ``most`` of them."""
-    return [m[0] for m in islice(_WORD.finditer(text), most)]
+_SLACK = 1e-9
+
+
+class Match(NamedTuple):
+    """A run of words, the end exclusive, that is a licence notice; lesser ones are better."""
+
+    weight: float  # negative
+    dice: float  # negative
+    start: int
+    end: int
+    license: str
+
+
+class Template:
+    """The bigrams of a notice and the sizes of runs that can be it."""
+
+    def __init__(self, name: str, bigrams: Counter, threshold: float) -> None:
+        self.name, self.bigrams, self.threshold = name, bigrams, threshold
+        self.size = bigrams.total()
+        ratio = threshold / (2 - threshold)
+        self.least = max(1, math.ceil(self.size * ratio - _SLACK))
+        self.most = int(self.size / ratio + _SLACK)
+
+    def matches(self, places: list[int], pairs: list[tuple[str, str]]) -> Iterator[Match]:
+        """The best run from each of ``places``, where a text has bigrams (``pairs``) of this template."""
+        for i in range(len(places) - self.least + 1):
+            start = places[i]
+            if places[i + self.least - 1] - start >= self.most:
+                continue
+            shared, seen, best = 0, Counter(), None
+            reach = slice(i, i + self.most)
+            for place, pair in zip(places[reach], pairs[reach]):
+                size = place - start + 1
+                if size > self.most:
+                    break
+                seen[pair] += 1
+                if seen[pair] > self.bigrams[pair]:
+                    continue
+                shared += 1
+                dice = 2 * shared / (size + self.size)
+                if dice >= self.threshold:
+                    found = Match(-shared * dice, -dice, start, place + 2, self.name)
+                    best = found if best is None or found < best else best
+            if best:
+                yield best
 
 
 class Matcher:
-    """Templates by their number of bigrams, and the range of sizes that can reach the threshold."""
+    """Templates, and which of them hold a bigram."""
 
     def __init__(self, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> None:
         self.templates = []
+        self.holders: dict[tuple[str, str], list[int]] = {}
         for name, text in templates.items():
-            words = first_words(text.lower(), len(text))
+            words = _WORD.findall(text.lower())
             if len(words) > 1:
-                self.templates.append((len(words) - 1, name, Counter(zip(words, words[1:], strict=False))))
-        self.templates.sort(key=lambda x: x[:2])
-        self.sizes = [size for size, _, _ in self.templates]
-        self.known = {pair for _, _, b in self.templates for pair in b}
-        self.threshold = threshold
-        # Of sizes a <= b the coefficient is at most 2a / (a + b).
-        self.ratio = threshold / (2 - threshold)
-        self.most_words = int(max(self.sizes, default=0) / self.ratio) + 2
-
-    def best(self, unit: str) -> tuple[float, str] | None:
-        """Negative coefficient and name of the best template of a unit in lower case."""
-        words = first_words(unit, self.most_words + 1)  # one more is already too long for every template
-        size = len(words) - 1
-        lo = bisect_left(self.sizes, size * self.ratio - 1e-9)
-        hi = bisect_right(self.sizes, size / self.ratio + 1e-9)
-        if size < 1 or lo == hi or self.known.isdisjoint(pairs := list(zip(words, words[1:], strict=False))):
-            return None
-        found = Counter(pairs)
-        scored = [(-2 * (found & b).total() / (size + n), name) for n, name, b in self.templates[lo:hi]]
-        return min((x for x in scored if -x[0] >= self.threshold), default=None)
-
-    def scan(self, text: str | None) -> tuple[str | None, float, str | None]:
-        """Licence, coefficient and kind of unit of the best match of a whole text."""
-        text = (text or "").lower()
-        paragraphs = _PARAGRAPH.split(text)
-        units = [("line", line) for line in text.split("\n")]
-        units += [("paragraph", p) for p in paragraphs if "\n" in p and len(paragraphs) > 1]
-        units += [("text", text)] if "\n" in text else []
-        best: tuple[float, str, str] | None = None
-        for kind, unit in units:
-            if (found := self.best(unit)) and (best is None or found[0] < best[0]):
-                best = (*found, kind)
-        return (best[1], -best[0], best[2]) if best else (None, 0.0, None)
+                bigrams = Counter(zip(words, words[1:]))
+                for pair in bigrams:
+                    self.holders.setdefault(pair, []).append(len(self.templates))
+                self.templates.append(Template(name, bigrams, threshold))
+
+    def scan(self, text: str | None) -> list[Match]:
+        """All licences of a whole text, in its order."""
+        words = _WORD.findall((text or "").lower())
+        places: list[list[int]] = [[] for _ in self.templates]
+        pairs: list[list[tuple[str, str]]] = [[] for _ in self.templates]
+        holders = self.holders.get
+        for at, pair in enumerate(zip(words, words[1:])):
+            for n in holders(pair, ()):
+                places[n].append(at)
+                pairs[n].append(pair)
+        found = [m for t, p, b in zip(self.templates, places, pairs) if len(p) >= t.least for m in t.matches(p, b)]
+        taken, chosen = set(), []
+        for match in sorted(found):
+            span = range(match.start, match.end)
+            if taken.isdisjoint(span):
+                taken.update(span)
+                chosen.append(match)
+        return sorted(chosen, key=lambda m: m.start)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                   templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``keep``, ``license`` (null if none), ``dice`` and ``unit`` of every row."""
+    """``keep``, ``license`` and ``dice`` of the weightiest notice of every row (null and 0 if none), and ``matches``: all
+    notices in the order of the text, with the numbers of their words from 0, the end exclusive."""
     matcher = Matcher(templates, threshold)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [matcher.scan(t) for t in batch[text]]
+            best = [min(f, default=None) for f in found]
             yield batch[list(keep)].assign(
-                license=pd.Series([f[0] for f in found], batch.index, object), dice=[f[1] for f in found],
-                unit=pd.Series([f[2] for f in found], batch.index, object),
+                license=pd.Series([b and b.license for b in best], batch.index, object),
+                dice=[-b.dice if b else 0.0 for b in best],
+                matches=pd.Series([
+                    [{"license": m.license, "dice": -m.dice, "start": m.start, "end": m.end} for m in f] for f in found
+                ], batch.index, object),
             )
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", license string, dice double, unit string"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
+    schema += ", license string, dice double, matches array<struct<license:string,dice:double,start:int,end:int>>"
     return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(scan, schema)

@@ -88,7 +88,10 @@ from judged left join rates using (source)
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumn("dice", F.round("dice", 6))
+    return found.select(
+        "doc_id", "license", F.round("dice", 6).alias("dice"), F.size("matches").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ", ").alias("licenses"),
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,47 +69,76 @@ def test_line_dedup_keeps_columns_and_rows(docs, frame):
     assert rows_of(same, "text", "removed_lines") == [(PASSAGE, 0)] * 2  # a row repeated whole counts as one text
 
 
-def best_by_brute_force(text):
-    text = (text or "").lower()
-    grams = lambda s: Counter(zip(w, w[1:])) if len(w := re.findall(r"[^\W_]+", s)) > 1 else Counter()
-    paragraphs = re.split(r"\n[^\S\n]*\n+", text)
-    units = [("line", x) for x in text.split("\n")]
-    units += [("paragraph", x) for x in paragraphs if "\n" in x and len(paragraphs) > 1]
-    units += [("text", text)] if "\n" in text else []
-    found = []
-    for kind, unit in units:
-        a = grams(unit)
-        for name, template in licenses.TEMPLATES.items():
-            b = grams(template.lower())
-            dice = 2 * (a & b).total() / (a.total() + b.total()) if a else 0
-            if dice >= licenses.THRESHOLD:
-                found.append((-dice, ["line", "paragraph", "text"].index(kind), name, kind))
-    if not found:
-        return None, 0.0, None
-    dice, _, name, kind = min(found)
-    return name, -dice, kind
-
-
-@pytest.mark.parametrize("text", [
-    None, "", "word", "two words", "Released under the MIT License.", "released UNDER the mit, license",
-    "intro\nThis work is licensed under the GNU General Public License, version 3.\nrest",
-    "This work is licensed under the GNU General Public License version 4 of it",
-    licenses.TEMPLATES["Apache-2.0 header"].replace(". ", ".\n"),
-    "Some words.\n\n" + licenses.TEMPLATES["MIT permission"].replace(", ", ",\n") + "\n\nMore words here.",
-    "All rights reserved. " * 2, "long prose without any notice " * 400, "Licensed under CC BY 4.0.\nAll rights reserved.",
+def licenses_by_brute_force(text, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
+    """Every run of words against every template, then the weightiest that do not overlap."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    pairs = list(zip(words, words[1:]))
+    best = {}
+    for name, template in templates.items():
+        b = re.findall(r"[^\W_]+", template.lower())
+        b = Counter(zip(b, b[1:]))
+        for i in (i for i, pair in enumerate(pairs) if pair in b):
+            run = Counter()
+            for j in range(i, min(len(pairs), i + 2 * b.total())):
+                run[pairs[j]] += 1
+                shared = (run & b).total()
+                dice = 2 * shared / (j - i + 1 + b.total())
+                if dice >= threshold:
+                    found = (-shared * dice, -dice, i, j + 2, name)
+                    best[name, i] = min(best.get((name, i), found), found)
+    chosen = []
+    for m in sorted(best.values()):
+        if all(m[3] <= c[2] or c[3] <= m[2] for c in chosen):
+            chosen.append(m)
+    return sorted(chosen, key=lambda m: m[2])
+
+
+HEADER = licenses.TEMPLATES["Apache-2.0 header"]
+
+
+@pytest.mark.parametrize("text, names", [
+    (None, []), ("", []), ("word", []), ("two words", []), ("Released under the MIT License.", ["MIT"]),
+    ("released UNDER the mit, license", ["MIT"]),
+    ("intro\nThis work is licensed under the GNU General Public License, version 3.\nrest", ["GPL-3.0"]),
+    ("Code of ours is Licensed under the Apache License, Version 2.0 and comes as it is.", ["Apache-2.0"]),
+    ("import os\n# " + HEADER.replace(". ", ".\n# ") + "\ndef f(x): return x", ["Apache-2.0 header"]),
+    ("Some words. " + HEADER[:-40] + " More. All rights reserved.", ["Apache-2.0 header", "Proprietary"]),
+    ("All rights reserved. " * 2, ["Proprietary"] * 2), ("long prose without any notice of the license " * 60, []),
+    ("Licensed under CC BY 4.0.\nAll rights reserved.", ["CC-BY-4.0", "Proprietary"]),
+    ("Licensed under CC BY-NC 4.0. x Released under MIT license", ["CC-BY-NC-4.0"]),
 ])
-def test_licenses_against_brute_force(text):
-    name, dice, kind = licenses.Matcher().scan(text)
-    assert (name, round(dice, 9), kind) == tuple(round(x, 9) if isinstance(x, float) else x for x in best_by_brute_force(text))
+def test_licenses_against_brute_force(text, names):
+    got = licenses.Matcher().scan(text)
+    assert [tuple(m) for m in got] == licenses_by_brute_force(text)
+    assert [m.license for m in got] == names
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if " " in n])
+def test_each_body_is_found_among_other_words(name):
+    body = licenses.TEMPLATES[name].split()
+    del body[len(body) // 2]
+    got = licenses.Matcher().scan("x = 1 // " + "\n // ".join([*body, "some", "more", "code"]))
+    assert [m.license for m in got] == [name] and -got[0].dice > 0.9
+
+
+def test_license_runs_of_random_words():
+    import random
+
+    pick = random.Random(5)
+    templates = {"p": "a b c a b d", "q": "a b", "r": "c a c a c a c", "s": "b c a b c d d a"}
+    matcher = licenses.Matcher(templates, 0.7)
+    for _ in range(300):
+        text = " ".join(pick.choice("abcde") for _ in range(pick.randrange(40)))
+        assert [tuple(m) for m in matcher.scan(text)] == licenses_by_brute_force(text, templates, 0.7)
 
 
 def test_license_table(docs, frame):
     got = licenses.scan_licenses(docs)
-    assert got.columns == ["doc_id", "license", "dice", "unit"] and got.count() == docs.count()
-    assert got.where("license is not null").count() == 0
+    assert got.columns == ["doc_id", "license", "dice", "matches"] and got.count() == docs.count()
+    assert got.where("license is not null or size(matches) > 0").count() == 0
     assert licenses.scan_licenses(frame([], "doc_id long, text string")).collect() == []
     found = licenses.scan_licenses(frame([(1, "x\nAll rights reserved.")], "doc_id long, text string")).first()
-    assert (found["license"], found["dice"], found["unit"]) == ("Proprietary", 1.0, "line")
+    assert (found["license"], found["dice"], found["matches"]) == ("Proprietary", 1.0, [("Proprietary", 1.0, 1, 4)])
 
 
 def test_query_against_brute_force(spark):
@@ -117,6 +146,10 @@ def test_query_against_brute_force(spark):
 
     sf_dir = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    for r in queries.op4_licenses(spark, sf_dir).collect():
-        name, dice, kind = best_by_brute_force(texts[r["doc_id"]])
-        assert (r["license"], r["dice"], r["unit"]) == (name, round(dice, 6), kind)
+    short = {n: t for n, t in licenses.TEMPLATES.items() if " " not in n}
+    rows = queries.op4_licenses(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = licenses_by_brute_force(texts[r["doc_id"]], short)
+        assert r["n_matches"] == len(found) and r["licenses"] == ", ".join(sorted({m[4] for m in found}))
+        assert (r["license"], r["dice"]) == ((min(found)[4], round(-min(found)[1], 6)) if found else (None, 0.0))
