@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -23,6 +25,10 @@ KEY = ("trade_name", "industry")
 GRADES = ("B", "BB", "BBB", "A")
 LEAST_COMPANIES = 40
 SEED = 42
+#: Trees that are fitted by one run of Spark's forest; rows of one task, about, in training and in classification.
+TREES_A_FIT = 25
+TRAINED_A_TASK = 100_000
+CLASSIFIED_A_TASK = 10_000
 
 
 def feature_table(base: Dashboard, numbered: bool = True) -> DataFrame:
@@ -134,27 +140,82 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
-def fit_forest(
-    graded: DataFrame, num_trees: int = 300, max_depth: int = 12, seed: int = SEED, max_bins: int = 64
-) -> RandomForestClassificationModel:
-    """Random forest on the grades; each class weighs n / (classes * class size)."""
+@dataclass(frozen=True)
+class Forest:
+    """A random forest as the parts it was fitted in."""
+
+    parts: tuple[RandomForestClassificationModel, ...]
+
+    @property
+    def num_trees(self) -> int:
+        return sum(part.getNumTrees for part in self.parts)
+
+
+def tasks_for(rows: int, per_task: int) -> int:
+    return max(1, -(-rows // per_task))
+
+
+def _training_rows(graded: DataFrame) -> DataFrame:
+    """Features, label and weight, materialised; each class weighs n / (classes * class size).
+
+    Every task holds the class counts per bin of all nodes of a level and sends them on, so there are as many tasks as the
+    rows need, not as many as the shuffles before had.
+    """
     sizes = {r.grade: r.n for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     weight = F.lit(1.0)
     for grade, n in sizes.items():
         weight = F.when(F.col("grade") == grade, total / (len(sizes) * n)).otherwise(weight)
-    rows = assembled(graded).withColumn("label", _label()).withColumn("weight", weight)
-    forest = RandomForestClassifier(
-        numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins, weightCol="weight"
-    )
-    return forest.fit(rows)
+    rows = assembled(graded).select("features", _label().alias("label"), weight.alias("weight"))
+    return checkpointed(rows.repartition(tasks_for(total, TRAINED_A_TASK)))
 
 
-def classify(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
-    scored = model.transform(assembled(rows))
-    return scored.withColumn("predicted_grade", _grade_of("prediction")).withColumn(
-        "confidence", F.array_max(vector_to_array("probability"))
-    ).drop("features", "rawPrediction", "probability", "prediction")
+def fit_forests(
+    samples: Sequence[DataFrame], num_trees: int = 300, max_depth: int = 12, seed: int = SEED, max_bins: int = 64
+) -> list[Forest]:
+    """One random forest on the grades of each sample.
+
+    The levels of a tree follow one another, trees do not: the forests are fitted in parts of some trees, each with a seed of
+    its own, side by side.
+    """
+    sizes = [min(TREES_A_FIT, num_trees - at) for at in range(0, num_trees, TREES_A_FIT)]
+    context = samples[0].sparkSession.sparkContext
+    side = inheritable_thread_target(samples[0].sparkSession)
+
+    def fit(rows: DataFrame, part: int) -> RandomForestClassificationModel:
+        return RandomForestClassifier(
+            numTrees=sizes[part], maxDepth=max_depth, seed=seed + part, maxBins=max_bins, weightCol="weight",
+            rawPredictionCol=f"_votes{part}", probabilityCol="", predictionCol="",
+        ).fit(rows)
+
+    with ThreadPoolExecutor(max(2, context.defaultParallelism)) as pool:
+        trains = list(pool.map(side(_training_rows), samples))
+        fitted = [[pool.submit(side(fit), rows, part) for part in range(len(sizes))] for rows in trains]
+        return [Forest(tuple(part.result() for part in parts)) for parts in fitted]
+
+
+def fit_forest(
+    graded: DataFrame, num_trees: int = 300, max_depth: int = 12, seed: int = SEED, max_bins: int = 64
+) -> Forest:
+    return fit_forests([graded], num_trees, max_depth, seed, max_bins)[0]
+
+
+def classify(model: Forest, rows: DataFrame) -> DataFrame:
+    """Grade by the mean class probabilities of all trees; of equal ones the first. Every task reads the whole forest, so
+    there are as many as the rows need."""
+    scored = assembled(rows.repartition(tasks_for(rows.count(), CLASSIFIED_A_TASK)))
+    for part in model.parts:
+        scored = part.transform(scored)
+    names = [part.getRawPredictionCol() for part in model.parts]
+    votes = [vector_to_array(name) for name in names]
+    shares = [sum((v[c] for v in votes[1:]), votes[0][c]) / model.num_trees for c in range(model.parts[0].numClasses)]
+    return (
+        scored.withColumn("_shares", F.array(*shares))
+        .withColumn("confidence", F.array_max("_shares"))
+        .withColumn("_label", F.array_position("_shares", F.col("confidence")) - 1)
+        .withColumn("predicted_grade", _grade_of("_label"))
+        .drop("features", "_shares", "_label", *names)
+    )
 
 
 def unclassified(graded: DataFrame) -> DataFrame:
@@ -177,13 +238,8 @@ def fold_classification(
     if not enough_companies(graded):
         return unclassified(graded).select("row_id", F.lit(0).alias("fold"), "grade", "predicted_grade")
     parts = checkpointed(stratified_folds(graded, n_folds))
-
-    def fit(fold: int) -> RandomForestClassificationModel:
-        return fit_forest(parts.where(F.col("fold") != fold), num_trees, max_depth, seed)
-
-    # The jobs of one forest are many and small: the forests are fitted side by side and share the executors.
-    with ThreadPoolExecutor(n_folds) as pool:
-        fitted = list(pool.map(inheritable_thread_target(parts.sparkSession)(fit), range(n_folds)))
+    trains = [parts.where(F.col("fold") != fold) for fold in range(n_folds)]
+    fitted = fit_forests(trains, num_trees, max_depth, seed)
     out = None
     for fold, model in enumerate(fitted):
         part = classify(model, parts.where(F.col("fold") == fold)).select("row_id", "fold", "grade", "predicted_grade")
@@ -216,9 +272,10 @@ def fold_f1(graded: DataFrame, num_trees: int = 300, max_depth: int = 12, n_fold
     return per_fold.agg(F.count(F.lit(1)).alias("folds"), F.avg("macro_f1").alias("mean_macro_f1"))
 
 
-def importances(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
+def importances(model: Forest, rows: DataFrame) -> DataFrame:
     """Importance per pillar, smallest first. ``rows`` only names the session."""
-    pairs = [(p, float(v)) for p, v in zip(PILLARS, model.featureImportances.toArray())]
+    summed = sum(part.getNumTrees * part.featureImportances.toArray() for part in model.parts)
+    pairs = [(p, float(v)) for p, v in zip(PILLARS, summed / (summed.sum() or 1.0))]
     return rows.sparkSession.createDataFrame(pairs, "pillar string, importance double").orderBy("importance", "pillar")
 
 
@@ -230,7 +287,7 @@ def default_row(features: DataFrame) -> DataFrame:
     return side_by_side([(exact_percentiles(features, f, {f: 0.5}), {f: f}) for f in FEATURES])
 
 
-def score_rows(model: RandomForestClassificationModel, train: DataFrame, rows: DataFrame, k: int = 7) -> DataFrame:
+def score_rows(model: Forest, train: DataFrame, rows: DataFrame, k: int = 7) -> DataFrame:
     """Predicted total and grade for a batch of new rows (row_id and the three features)."""
     graded = classify(model, rows.select("row_id", *FEATURES))
     return graded.join(regress(train, rows, k), "row_id").withColumnRenamed("predicted", "predicted_total")

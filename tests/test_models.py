@@ -123,6 +123,26 @@ def test_forest_beats_majority_and_scores_new_rows(spark):
     assert 0 < row.predicted_total < 3000 and row.predicted_grade in models.GRADES
 
 
+def test_forests_are_fitted_in_parts_and_few_tasks(spark):
+    """All trees are there, with seeds of their own; the tasks follow the rows, not the partitions they come in."""
+    _, df = graded(spark, 120)
+    many = df.repartition(40)
+    one, other = models.fit_forests([many, many.where("row_id % 2 = 0")], num_trees=60, max_depth=4)
+    assert [p.getNumTrees for p in one.parts] == [25, 25, 10] and one.num_trees == other.num_trees == 60
+    assert len({p.trees[0].toDebugString.split("\n", 1)[1] for p in one.parts}) == 3
+    assert models._training_rows(many).rdd.getNumPartitions() == 1
+    got = models.classify(one, many)
+    assert got.rdd.getNumPartitions() == 1 and {"row_id", "confidence", "predicted_grade"} <= set(got.columns)
+    x = np.array([[r[f] for f in FEATURES] for r in many.collect()])
+    votes = dict.fromkeys(map(tuple, x), 0)
+    for part in one.parts:
+        for r in part.transform(models.assembled(many)).collect():
+            votes[tuple(r[f] for f in FEATURES)] += r[part.getRawPredictionCol()].toArray()
+    for r in got.collect():
+        share = votes[tuple(r[f] for f in FEATURES)] / 60
+        assert r.predicted_grade == models.GRADES[share.argmax()] and r.confidence == pytest.approx(share.max())
+
+
 def test_classification_scores_by_hand(spark):
     pairs = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("BB", "A")], "grade string, predicted_grade string")
     got = models.classification_scores(pairs).first()
