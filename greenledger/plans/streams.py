@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import checkpointed, scratch_path
-from ..streaming.changelog import status_transition_batch, write_change_log
+from ..streaming.changelog import shards_for, status_transition_batch, write_change_log
 from ..streaming.readings import validate_arrivals
 from .changes import SHIFTED, shifted
 from .domain import Domain
@@ -49,10 +51,11 @@ def logged(d: Domain, *parts: str) -> tuple[str, str]:
     """Log and late events of a stream over files that arrive one condition on the history after the other."""
     events, log, late = (scratch_path(d.spark, name) for name in ("events", "transitions", "late"))
     rows = checkpointed(history(d))
+    shards = shards_for(rows.agg(F.approx_count_distinct("reading_id")).first()[0])
     for part in parts:  # all events of a reading that arrive together lie in one file
         rows.where(part).repartition(2, "reading_id").write.mode("append").parquet(events)
     source = d.spark.readStream.schema("reading_id bigint, seq bigint, status string").option("maxFilesPerTrigger", 2)
-    write_change_log(source.parquet(events), log, late, scratch_path(d.spark, "offsets")).awaitTermination()
+    write_change_log(source.parquet(events), log, late, scratch_path(d.spark, "offsets"), shards=shards).awaitTermination()
     return log, late
 
 

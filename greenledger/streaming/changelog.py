@@ -2,16 +2,19 @@
 
 What is remembered grows with the number of readings, so it belongs in the RocksDB store (``rocksdb_state``), and a
 reading that has been silent for long may be forgotten (``forget_after``). Events that come too late to be placed are
-not lost without a trace: ``write_change_log`` keeps them beside the log.
+not lost without a trace: ``write_change_log`` keeps them beside the log. A state is called once a batch, and a call costs
+as much as some hundred events: readings may share states (``shards``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +24,8 @@ from ..session import checkpointed
 
 TRANSITION = "reading_id bigint, seq bigint, old_status string, new_status string"
 STATE = "status string, seq bigint"
+#: Readings that share a state, on average, where their number is known.
+READINGS_A_STATE = 64
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 STORE, ROCKSDB = (
     "spark.sql.streaming.stateStore.providerClass",
@@ -58,36 +63,78 @@ def _transitions(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
 def _marked(
     key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, forget_ms: int | None = None
 ) -> Iterator[pd.DataFrame]:
-    """``_transitions`` and, marked ``late``, the events it drops. A silent reading is forgotten after ``forget_ms``."""
-    if state.hasTimedOut:
+    """``_transitions`` of several readings and, marked ``late``, the events it drops. The state has of each reading the last
+    status, its ``seq`` and, with ``forget_ms``, until when it is kept; a reading with an event in this batch is kept."""
+    known = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+    now = state.getCurrentProcessingTimeMs() if forget_ms else 0
+    seen: set[int] = set()
+    if not state.hasTimedOut:
+        events = pd.concat(list(chunks), ignore_index=True)
+        without_id = events["reading_id"].isna().any()  # such events are a group of their own
+        found, seen = _against(known, events.fillna({"reading_id": 0}) if without_id else events)
+        if len(found):
+            yield found.assign(reading_id=None) if without_id else found
+    if forget_ms:
+        for reading in list(known):
+            if reading in seen:
+                known[reading][2] = now + forget_ms
+            elif known[reading][2] < now:
+                del known[reading]
+    if known:
+        state.update((json.dumps(known, separators=(",", ":")),))
+        if forget_ms:
+            state.setTimeoutDuration(max(1, min(until for _, _, until in known.values()) - now))
+    elif state.exists:
         state.remove()
-        return
-    events = pd.concat(list(chunks))
-    last = state.get[1] if state.exists else None
-    if last is not None:
-        late = events[(events["seq"] <= last) & events["status"].notna()]
-        if len(late):
-            yield pd.DataFrame({
-                "reading_id": late["reading_id"], "seq": late["seq"], "old_status": None, "new_status": late["status"], "late": True,
-            })
-    for found in _transitions(key, iter([events]), state):
-        yield found.assign(late=False)
-    if forget_ms and state.exists:
-        state.setTimeoutDuration(forget_ms)
-
-
-def marked_transition_stream(events: DataFrame, forget_after: timedelta | None = None) -> DataFrame:
+
+
+def _against(known: dict[int, list], events: pd.DataFrame) -> tuple[pd.DataFrame, set[int]]:
+    """Transitions and late events of a batch, and the readings with an event; ``known`` gets the last statuses."""
+    ids, at = np.unique(events["reading_id"].to_numpy("int64"), return_inverse=True)
+    seen = ids.tolist()
+    has = np.array([reading in known for reading in seen])
+    last = np.array([known[r][1] if r in known else 0 for r in seen], "int64")
+    seq, status, placed = events["seq"].to_numpy("int64"), events["status"].to_numpy(object), events["placed"].to_numpy(bool)
+    old = has[at] & (seq <= last[at])
+    late, fresh = np.flatnonzero(placed & old), np.flatnonzero(placed & ~old)
+    fresh = fresh[np.lexsort((seq[fresh], at[fresh]))]
+    before = np.empty(len(fresh), object)
+    before[1:] = status[fresh[:-1]]
+    first = np.ones(len(fresh), bool)
+    first[1:] = at[fresh[1:]] != at[fresh[:-1]]
+    for i in np.flatnonzero(first):
+        before[i] = known.get(seen[at[fresh[i]]], (None,))[0]
+    changed = np.array([a is not None and a != b for a, b in zip(before, status[fresh])], bool)
+    for i in fresh[np.append(first[1:], True)] if len(fresh) else ():
+        known[seen[at[i]]] = [status[i], int(seq[i]), 0]
+    rows = np.concatenate([late, fresh[changed]])
+    found = pd.DataFrame({
+        "reading_id": ids[at[rows]], "seq": seq[rows], "old_status": np.concatenate([np.full(len(late), None, object), before[changed]]),
+        "new_status": status[rows], "late": np.arange(len(rows)) < len(late),
+    })
+    return found, set(seen)
+
+
+def shards_for(readings: int) -> int:
+    return max(1, readings // READINGS_A_STATE)
+
+
+def marked_transition_stream(events: DataFrame, forget_after: timedelta | None = None, shards: int | None = None) -> DataFrame:
     """Transitions with ``late`` false, and the events that came too late with ``late`` true and no old status.
 
     With ``forget_after`` the state of a reading that had no event for that long (by the clock) is dropped with the next
-    batch; its next event then is a first one, which makes no transition.
+    batch; its next event then is a first one, which makes no transition. The readings share ``shards`` states, dealt by
+    hash, or have one each; a stream that goes on from a checkpoint must keep their number.
     """
     forget_ms = int(forget_after.total_seconds() * 1000) if forget_after else None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
-    return (
-        events.select("reading_id", "seq", "status")
-        .groupBy("reading_id")
-        .applyInPandasWithState(partial(_marked, forget_ms=forget_ms), f"{TRANSITION}, late boolean", STATE, "append", timeout)
+    reading = F.col("reading_id")
+    shard = F.when(reading.isNotNull(), F.pmod(F.xxhash64(reading), F.lit(shards))) if shards else reading
+    placed = F.col("status").isNotNull() & F.col("seq").isNotNull()
+    return (  # no nulls among the numbers, which would make them doubles
+        events.select("reading_id", F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), "status", placed.alias("placed"), shard.alias("_shard"))
+        .groupBy("_shard")
+        .applyInPandasWithState(partial(_marked, forget_ms=forget_ms), f"{TRANSITION}, late boolean", "readings string", "append", timeout)
     )
 
 
@@ -109,7 +156,8 @@ def rocksdb_state(spark: SparkSession, empty_batches: bool = True) -> Iterator[N
 
 
 def write_change_log(
-    events: DataFrame, log: str, late: str, checkpoint: str, forget_after: timedelta | None = None, **trigger
+    events: DataFrame, log: str, late: str, checkpoint: str, forget_after: timedelta | None = None, shards: int | None = None,
+    **trigger
 ) -> StreamingQuery:
     """Append transitions to ``log`` and late events to ``late``, each batch in a folder of its own number, so that a batch
     that runs again replaces itself.
@@ -128,7 +176,7 @@ def write_change_log(
     trigger = trigger or {"availableNow": True}
     with rocksdb_state(events.sparkSession, empty_batches="availableNow" not in trigger):
         return (
-            marked_transition_stream(events, forget_after).writeStream.foreachBatch(write).outputMode("append")
+            marked_transition_stream(events, forget_after, shards).writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
 

@@ -121,3 +121,75 @@ def test_silent_readings_are_forgotten(spark):
         time.sleep(pause)
     assert states == [1, 1, 2]  # the second batch forgets reading 1
     assert [tuple(r)[:4] for r in spark.read.parquet(log).collect()] == [(2, 2, "PENDING", "VALIDATED")]
+
+
+def test_readings_share_states(spark):
+    """Some states for all readings give the log and the late events that one state each gives, nulls and ties included."""
+    import random
+
+    from greenledger.streaming.changelog import write_change_log
+
+    draw, names, source = random.Random(3), ["PENDING", "VALIDATED", "REJECTED", None], scratch_path(spark, "events")
+    batches = [[(draw.choice([None, 2**60 + 1, *range(40)]), draw.choice([None, 2**55 + 1, *range(12)]), draw.choice(names))
+                for _ in range(300)] for _ in range(3)]
+    for rows in batches:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(source)
+    last, log, late = {}, [], []
+    for rows in batches:
+        for reading in {r[0] for r in rows}:
+            status, passed = last.get(reading, (None, None))
+            mine = [r for r in rows if r[0] == reading and r[1] is not None and r[2] is not None]
+            late += [r for r in mine if passed is not None and r[1] <= passed]
+            for _, seq, new in sorted((r for r in mine if passed is None or r[1] > passed), key=lambda r: r[1]):
+                if status not in (None, new):
+                    log.append((reading, seq, status, new))
+                status, last[reading] = new, (new, seq)
+
+    def ordered(rows):
+        return sorted(rows, key=str)
+
+    for shards in (None, 5):
+        out, over, offsets = (scratch_path(spark, n) for n in ("log", "late", "offsets"))
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+        query = write_change_log(stream, out, over, offsets, shards=shards)
+        query.awaitTermination()
+        assert ordered(tuple(r)[:4] for r in spark.read.parquet(out).collect()) == ordered(log)
+        assert ordered(tuple(r)[:3] for r in spark.read.parquet(over).collect()) == ordered(late)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == (6 if shards else len(last))
+
+
+def test_a_shared_state_forgets_its_silent_readings_only():
+    import pandas as pd
+
+    from greenledger.streaming.changelog import _marked
+
+    class State:
+        exists = hasTimedOut = False
+        now, timeout = 1000, None
+        getCurrentProcessingTimeMs = lambda self: self.now
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = self.now + ms
+
+    def events(*rows):
+        return iter([pd.DataFrame(rows, columns=["reading_id", "seq", "status"]).assign(placed=True)])
+
+    state = State()
+    list(_marked((0,), events((1, 1, "PENDING"), (2, 1, "PENDING")), state, 100))
+    assert state.timeout == 1100
+    state.now = 1060
+    list(_marked((0,), events((2, 1, "PENDING")), state, 100))  # late, but not silent
+    assert state.timeout == 1100
+    state.now, state.hasTimedOut = 1101, True
+    assert list(_marked((0,), iter([]), state, 100)) == [] and state.timeout == 1160
+    state.hasTimedOut = False
+    found = pd.concat(_marked((0,), events((1, 2, "VALIDATED"), (2, 2, "VALIDATED")), state, 100))
+    assert found["reading_id"].tolist() == [2]
+    state.now, state.hasTimedOut = 1202, True
+    assert list(_marked((0,), iter([]), state, 100)) == [] and not state.exists
