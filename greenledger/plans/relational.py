@@ -56,7 +56,7 @@ def _(d: Domain):
 def _(d: Domain):
     text = """select category.description from category left semi join metric
               on metric.category_id = category.category_id and metric.metric_id = :metric
-              and metric.metric_id in (select metric_id from reading)"""
+              and metric.metric_id in (select distinct metric_id from reading)"""
     return run_sql(d.register_views(), text, {"metric": 2})
 
 
