@@ -25,8 +25,10 @@ KEY = ("trade_name", "industry")
 GRADES = ("B", "BB", "BBB", "A")
 LEAST_COMPANIES = 40
 SEED = 42
-#: Trees that are fitted by one run of Spark's forest; rows of one task, about, in training and in classification.
+#: Trees that are fitted by one run of Spark's forest, and such runs at a time; rows of one task, about, in training and in
+#: classification.
 TREES_A_FIT = 25
+FITS_A_CORE = 2
 TRAINED_A_TASK = 100_000
 CLASSIFIED_A_TASK = 10_000
 
@@ -34,10 +36,11 @@ CLASSIFIED_A_TASK = 10_000
 def feature_table(base: Dashboard, numbered: bool = True) -> DataFrame:
     """Pillar means per company name and sector, complete rows only, with their sum and a row number.
 
-    Every model reads the numbered table several times, so it is materialised.
+    Every model reads the numbered table several times, so it is materialised. So are the means, since numbering counts, samples
+    and moves its rows.
     """
     wide = pillar_means(base, *KEY).withColumn("total", sum((F.col(f) for f in FEATURES[1:]), F.col(FEATURES[0])))
-    return checkpointed(dense_ids(wide, KEY, "row_id")) if numbered else wide
+    return checkpointed(dense_ids(checkpointed(wide), KEY, "row_id")) if numbered else wide
 
 
 def enough_companies(features: DataFrame, least: int = LEAST_COMPANIES) -> bool:
@@ -176,7 +179,8 @@ def fit_forests(
     """One random forest on the grades of each sample.
 
     The levels of a tree follow one another, trees do not: the forests are fitted in parts of some trees, each with a seed of
-    its own, side by side.
+    its own, side by side, more of them than there are cores, so that none is idle while the last parts end. Every level starts
+    from the node a row has reached, which is kept per tree: else each row walks all trees from their roots, level by level.
     """
     sizes = [min(TREES_A_FIT, num_trees - at) for at in range(0, num_trees, TREES_A_FIT)]
     context = samples[0].sparkSession.sparkContext
@@ -185,10 +189,10 @@ def fit_forests(
     def fit(rows: DataFrame, part: int) -> RandomForestClassificationModel:
         return RandomForestClassifier(
             numTrees=sizes[part], maxDepth=max_depth, seed=seed + part, maxBins=max_bins, weightCol="weight",
-            rawPredictionCol=f"_votes{part}", probabilityCol="", predictionCol="",
+            cacheNodeIds=True, rawPredictionCol=f"_votes{part}", probabilityCol="", predictionCol="",
         ).fit(rows)
 
-    with ThreadPoolExecutor(max(2, context.defaultParallelism)) as pool:
+    with ThreadPoolExecutor(max(2, FITS_A_CORE * context.defaultParallelism)) as pool:
         trains = list(pool.map(side(_training_rows), samples))
         fitted = [[pool.submit(side(fit), rows, part) for part in range(len(sizes))] for rows in trains]
         return [Forest(tuple(part.result() for part in parts)) for parts in fitted]

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from greenledger.operators import models
@@ -143,6 +144,33 @@ def test_forests_are_fitted_in_parts_and_few_tasks(spark):
         assert r.predicted_grade == models.GRADES[share.argmax()] and r.confidence == pytest.approx(share.max())
 
 
+def test_forests_keep_the_nodes_of_rows_and_their_trees(spark):
+    """Rows do not walk the trees again at every level, and the trees are those of a fit where they do."""
+    _, df = graded(spark, 200)
+    rows = models._training_rows(df)
+    (part,) = models.fit_forest(df, 5, 12).parts
+    assert part.getCacheNodeIds()
+    plain = RandomForestClassifier(numTrees=5, maxDepth=12, seed=models.SEED, maxBins=64, weightCol="weight").fit(rows)
+    assert [t.toDebugString.split("\n", 1)[1] for t in part.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
+
+
+def test_feature_table_makes_its_means_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(name):
+        seen.add(1)
+        return True
+
+    wide = spark.range(50).select(
+        F.format_string("c%03d", "id").alias("trade_name"), F.lit("s").alias("industry"),
+        *[F.col("id").cast("double").alias(f) for f in FEATURES],
+    )
+    monkeypatch.setattr(models, "pillar_means", lambda base, *keys: wide.where(F.udf(look, "boolean")("trade_name")))
+    got = models.feature_table(None)
+    assert [r.row_id for r in got.orderBy("trade_name").collect()] == list(range(1, 51))
+    assert seen.value == 50
+
+
 def test_classification_scores_by_hand(spark):
     pairs = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("BB", "A")], "grade string, predicted_grade string")
     got = models.classification_scores(pairs).first()
