@@ -26,11 +26,12 @@ GRADES = ("B", "BB", "BBB", "A")
 LEAST_COMPANIES = 40
 SEED = 42
 #: Trees that are fitted by one run of Spark's forest, and such runs at a time; rows of one task, about, in training and in
-#: classification.
+#: classification, where a task may be smaller while cores are free.
 TREES_A_FIT = 25
 FITS_A_CORE = 2
 TRAINED_A_TASK = 100_000
 CLASSIFIED_A_TASK = 10_000
+CLASSIFIED_AT_LEAST = 1_000
 
 
 def feature_table(base: Dashboard, numbered: bool = True) -> DataFrame:
@@ -206,8 +207,10 @@ def fit_forest(
 
 def classify(model: Forest, rows: DataFrame) -> DataFrame:
     """Grade by the mean class probabilities of all trees; of equal ones the first. Every task reads the whole forest, so
-    there are as many as the rows need."""
-    scored = assembled(rows.repartition(tasks_for(rows.count(), CLASSIFIED_A_TASK)))
+    there are as many as the rows need, or one for each core while they are few."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(tasks_for(n, CLASSIFIED_A_TASK), min(cores, tasks_for(n, CLASSIFIED_AT_LEAST)))
+    scored = assembled(rows.repartition(tasks))
     for part in model.parts:
         scored = part.transform(scored)
     names = [part.getRawPredictionCol() for part in model.parts]

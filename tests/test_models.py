@@ -154,6 +154,14 @@ def test_forests_keep_the_nodes_of_rows_and_their_trees(spark):
     assert [t.toDebugString.split("\n", 1)[1] for t in part.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
 
 
+def test_classification_is_spread_over_tasks(spark):
+    _, df = graded(spark, 200)
+    model = models.fit_forest(df, 2, 3)
+    many = df.crossJoin(spark.range(20))
+    got = models.classify(model, many)
+    assert got.count() == 4000 and got.rdd.getNumPartitions() == 4
+
+
 def test_feature_table_makes_its_means_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
