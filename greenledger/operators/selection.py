@@ -114,12 +114,18 @@ class Bins:
         than the bin's width, 1 / ``RESOLUTION`` of it; inside the bin the value is interpolated.
         """
         after = F.col("prior") + F.col("n")
+
+        def at(rank: Column) -> Column:
+            inside = F.coalesce(F.try_divide(rank - F.col("prior"), F.col("n") - 1), F.lit(0.0))
+            value = F.col("least") + (F.col("most") - F.col("least")) * inside
+            return F.max(F.when((F.col("prior") <= rank) & (rank < after), value))
+
+        # The two ranks around a wanted place may lie in different bins.
         picks = []
         for name, p in probs.items():
             rank = F.lit(float(p)) * (F.col("total") - 1)
-            inside = F.try_divide(rank - F.col("prior"), F.col("n") - 1)
-            value = F.col("least") + (F.col("most") - F.col("least")) * F.coalesce(F.least(inside, F.lit(1.0)), F.lit(0.0))
-            picks.append(F.max(F.when((F.col("prior") <= rank) & (rank < after), value)).alias(name))
+            low, high, share = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+            picks.append((low + (high - low) * share).alias(name))
         return self.cells.groupBy(*self.keys).agg(*picks)
 
     def fences(self) -> DataFrame:

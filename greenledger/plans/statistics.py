@@ -128,12 +128,16 @@ def _(d: Domain):
     labels = d.base.labels.join(F.broadcast(guess), "industry")
     below = (
         d.base.facts.join(labels, "company_id")
-        .groupBy("industry").agg(F.sum(F.when(F.col(V) < F.col("guess"), F.col("copies")).otherwise(0)).alias("below"))
+        .groupBy("industry").agg(
+            F.sum(F.when(F.col(V) < F.col("guess"), F.col("copies")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col(V) <= F.col("guess"), F.col("copies")).otherwise(0)).alias("upto"),
+        )
     )
-    rank = F.abs(F.col("below") / F.col("n") - 0.5)
+    # The middle lies between the rows below the value and those up to it; either share is off by 2 % at most.
+    near_rank = (F.col("below") / F.col("n") <= 0.52) & (F.col("upto") / F.col("n") >= 0.48)
     return both.join(totals, "industry").join(below, "industry").select(
         "industry", F.round("median", 6).alias("median"),
-        (F.abs(F.col("guess") - F.col("median")) <= F.col("median") / 100).alias("near_value"), (rank <= 0.02).alias("near_rank"),
+        (F.abs(F.col("guess") - F.col("median")) <= F.col("median") / 100).alias("near_value"), near_rank.alias("near_rank"),
     )
 
 

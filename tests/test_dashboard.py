@@ -204,6 +204,20 @@ def test_selection_is_exact_for_any_distribution(spark, monkeypatch, kind, task_
             assert (b.whisker_low, b.whisker_high, b.outliers) == (inside.min(), inside.max(), len(values) - len(inside))
 
 
+def test_approximate_median_between_two_bins(spark):
+    """The middle of an even number of values lies between two bins, however far apart, or within one."""
+    from greenledger.operators import profile
+    from greenledger.operators.dashboard import Dashboard
+
+    groups = {"apart": [1.0, 10.0, 100.0, 1000.0], "two": [3.0, 5.0], "one": [7.0], "odd": [1.0, 2.0, 50.0], "same": [4.0] * 4}
+    facts = spark.createDataFrame(
+        [(i, x) for i, values in enumerate(groups.values()) for x in values], "company_id long, measured_value double"
+    )
+    labels = spark.createDataFrame([(i, g, 2) for i, g in enumerate(groups)], "company_id long, industry string, copies long")
+    got = {r.industry: r.median for r in profile.approximate_medians(Dashboard(facts, labels), "industry").collect()}
+    assert got == pytest.approx({"apart": 55.0, "two": 4.0, "one": 7.0, "odd": 2.0, "same": 4.0})
+
+
 @pytest.mark.parametrize("values, total", [
     ([2e16, 1.0], 2e16 + 1), ([9e15] * 20, 1.8e17), ([4e-11, 2e-11], 6e-11), ([1e11, -1e11, 0.1, 0.2], 0.3),
     ([float("nan"), 1.5], 1.5), ([None], None), ([], None), ([1e300, 1e300], 2e300), ([float("inf"), 1.0], float("inf")),
