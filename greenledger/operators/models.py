@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
+from threading import Semaphore
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -26,10 +28,14 @@ GRADES = ("B", "BB", "BBB", "A")
 LEAST_COMPANIES = 40
 SEED = 42
 #: Trees that are fitted by one run of Spark's forest, and such runs at a time; rows of one task, about, in training and in
-#: classification, where a task may be smaller while cores are free.
+#: classification, where a task may be smaller while cores are free. Of parts that are not held: nodes of one, about, and
+#: bytes of the driver's heap for each that is there at a time.
 TREES_A_FIT = 25
 FITS_A_CORE = 2
+NODES_A_FIT = 60_000
+HEAP_A_FIT = 300_000_000
 TRAINED_A_TASK = 100_000
+TRAINED_AT_LEAST = 20_000
 CLASSIFIED_A_TASK = 10_000
 CLASSIFIED_AT_LEAST = 1_000
 
@@ -144,26 +150,45 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
+class PartsInTurn:
+    """Parts of a forest that are fitted when they are read and not kept. A part is in the driver from its fit until the next one
+    is read, and as many parts are there as ``slots`` lets in, those of other forests included. The first part shows how many
+    nodes a tree has; the others have as many trees as make ``NODES_A_FIT``."""
+
+    def __init__(self, rows: DataFrame, fit: Callable[..., RandomForestClassificationModel], num_trees: int, slots: Semaphore):
+        self._rows, self._fit, self._num_trees, self._slots = rows, fit, num_trees, slots
+
+    def __iter__(self) -> Iterator[RandomForestClassificationModel]:
+        part, size, left = 0, TREES_A_FIT, self._num_trees
+        while left:
+            size = min(size, left)
+            with self._slots:
+                model = self._fit(self._rows, part, size)
+                part, left, size = part + 1, left - size, max(1, NODES_A_FIT * size // model.totalNumNodes)
+                yield model
+                del model
+            # Shuffles, broadcasts and checkpoints of the part go when the driver's collector has seen that nothing refers to them.
+            # Meanwhile a forest that waits takes the slot.
+            self._rows.sparkSession.sparkContext._jvm.System.gc()
+
+
 @dataclass(frozen=True)
 class Forest:
-    """A random forest as the parts it was fitted in."""
+    """A random forest as the parts it was fitted in, all held or one after the other."""
 
-    parts: tuple[RandomForestClassificationModel, ...]
-
-    @property
-    def num_trees(self) -> int:
-        return sum(part.getNumTrees for part in self.parts)
+    parts: tuple[RandomForestClassificationModel, ...] | PartsInTurn
+    num_trees: int
 
 
 def tasks_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 
 
-def _training_rows(graded: DataFrame) -> DataFrame:
+def _training_rows(graded: DataFrame, cores: int = 1) -> DataFrame:
     """Features, label and weight, materialised; each class weighs n / (classes * class size).
 
     Every task holds the class counts per bin of all nodes of a level and sends them on, so there are as many tasks as the
-    rows need, not as many as the shuffles before had.
+    rows need, not as many as the shuffles before had; smaller ones only where a fit has several ``cores`` to itself.
     """
     sizes = {r.grade: r.n for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -171,32 +196,42 @@ def _training_rows(graded: DataFrame) -> DataFrame:
     for grade, n in sizes.items():
         weight = F.when(F.col("grade") == grade, total / (len(sizes) * n)).otherwise(weight)
     rows = assembled(graded).select("features", _label().alias("label"), weight.alias("weight"))
-    return checkpointed(rows.repartition(tasks_for(total, TRAINED_A_TASK)))
+    tasks = max(tasks_for(total, TRAINED_A_TASK), min(cores, tasks_for(total, TRAINED_AT_LEAST)))
+    return checkpointed(rows.repartition(tasks))
 
 
 def fit_forests(
-    samples: Sequence[DataFrame], num_trees: int = 300, max_depth: int = 12, seed: int = SEED, max_bins: int = 64
+    samples: Sequence[DataFrame], num_trees: int = 300, max_depth: int = 12, seed: int = SEED, max_bins: int = 64,
+    held: bool = True,
 ) -> list[Forest]:
     """One random forest on the grades of each sample.
 
     The levels of a tree follow one another, trees do not: the forests are fitted in parts of some trees, each with a seed of
     its own, side by side, more of them than there are cores, so that none is idle while the last parts end. Every level starts
     from the node a row has reached, which is kept per tree: else each row walks all trees from their roots, level by level.
+
+    One forest of many rows fills much of a driver, and so does the garbage of many fits. Of forests that are not ``held`` only
+    the training rows are made; each part is fitted when it is read, and few parts are there at a time.
     """
     sizes = [min(TREES_A_FIT, num_trees - at) for at in range(0, num_trees, TREES_A_FIT)]
     context = samples[0].sparkSession.sparkContext
     side = inheritable_thread_target(samples[0].sparkSession)
 
-    def fit(rows: DataFrame, part: int) -> RandomForestClassificationModel:
+    def fit(rows: DataFrame, part: int, size: int) -> RandomForestClassificationModel:
         return RandomForestClassifier(
-            numTrees=sizes[part], maxDepth=max_depth, seed=seed + part, maxBins=max_bins, weightCol="weight",
+            numTrees=size, maxDepth=max_depth, seed=seed + part, maxBins=max_bins, weightCol="weight",
             cacheNodeIds=True, rawPredictionCol=f"_votes{part}", probabilityCol="", predictionCol="",
         ).fit(rows)
 
     with ThreadPoolExecutor(max(2, FITS_A_CORE * context.defaultParallelism)) as pool:
-        trains = list(pool.map(side(_training_rows), samples))
-        fitted = [[pool.submit(side(fit), rows, part) for part in range(len(sizes))] for rows in trains]
-        return [Forest(tuple(part.result() for part in parts)) for parts in fitted]
+        at_a_time = max(1, min(len(samples), context._jvm.Runtime.getRuntime().maxMemory() // HEAP_A_FIT))
+        cores = 1 if held else context.defaultParallelism // at_a_time
+        trains = list(pool.map(side(partial(_training_rows, cores=cores)), samples))
+        if not held:
+            slots = Semaphore(at_a_time)
+            return [Forest(PartsInTurn(rows, fit, num_trees, slots), num_trees) for rows in trains]
+        fitted = [[pool.submit(side(fit), rows, part, size) for part, size in enumerate(sizes)] for rows in trains]
+        return [Forest(tuple(part.result() for part in parts), num_trees) for parts in fitted]
 
 
 def fit_forest(
@@ -207,21 +242,24 @@ def fit_forest(
 
 def classify(model: Forest, rows: DataFrame) -> DataFrame:
     """Grade by the mean class probabilities of all trees; of equal ones the first. Every task reads the whole forest, so
-    there are as many as the rows need, or one for each core while they are few."""
+    there are as many as the rows need, or one for each core while they are few. The parts vote one after the other, and
+    the sums of their votes are materialised, so no job and no plan holds more than one part."""
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(tasks_for(n, CLASSIFIED_A_TASK), min(cores, tasks_for(n, CLASSIFIED_AT_LEAST)))
     scored = assembled(rows.repartition(tasks))
     for part in model.parts:
-        scored = part.transform(scored)
-    names = [part.getRawPredictionCol() for part in model.parts]
-    votes = [vector_to_array(name) for name in names]
-    shares = [sum((v[c] for v in votes[1:]), votes[0][c]) / model.num_trees for c in range(model.parts[0].numClasses)]
+        name = part.getRawPredictionCol()
+        votes = vector_to_array(name)
+        if "_votes" in scored.columns:
+            votes = F.zip_with("_votes", votes, lambda before, more: before + more)
+        scored = checkpointed(part.transform(scored).withColumn("_votes", votes).drop(name))
+        del part  # else it is held while the next one is fitted
     return (
-        scored.withColumn("_shares", F.array(*shares))
+        scored.withColumn("_shares", F.transform("_votes", lambda v: v / model.num_trees))
         .withColumn("confidence", F.array_max("_shares"))
         .withColumn("_label", F.array_position("_shares", F.col("confidence")) - 1)
         .withColumn("predicted_grade", _grade_of("_label"))
-        .drop("features", "_shares", "_label", *names)
+        .drop("features", "_votes", "_shares", "_label")
     )
 
 
@@ -246,12 +284,11 @@ def fold_classification(
         return unclassified(graded).select("row_id", F.lit(0).alias("fold"), "grade", "predicted_grade")
     parts = checkpointed(stratified_folds(graded, n_folds))
     trains = [parts.where(F.col("fold") != fold) for fold in range(n_folds)]
-    fitted = fit_forests(trains, num_trees, max_depth, seed)
-    out = None
-    for fold, model in enumerate(fitted):
-        part = classify(model, parts.where(F.col("fold") == fold)).select("row_id", "fold", "grade", "predicted_grade")
-        out = part if out is None else out.unionByName(part)
-    return out
+    fitted = fit_forests(trains, num_trees, max_depth, seed, held=False)
+    others = [parts.where(F.col("fold") == fold) for fold in range(n_folds)]
+    with ThreadPoolExecutor(n_folds) as pool:
+        guesses = list(pool.map(inheritable_thread_target(graded.sparkSession)(classify), fitted, others))
+    return reduce(DataFrame.unionByName, [g.select("row_id", "fold", "grade", "predicted_grade") for g in guesses])
 
 
 def classification_scores(pairs: DataFrame, *keys: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import weakref
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -154,6 +156,46 @@ def test_forests_keep_the_nodes_of_rows_and_their_trees(spark):
     assert [t.toDebugString.split("\n", 1)[1] for t in part.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
 
 
+def test_folds_hold_few_parts_of_their_forests(spark, monkeypatch):
+    """The forests of all folds are there with all their trees, but a part goes once its rows have its votes."""
+    _, df = graded(spark, 200)
+    fit, transform, live, most, trees = RandomForestClassifier.fit, models.RandomForestClassificationModel.transform, [], [], []
+
+    def seen(self, rows):
+        model = fit(self, rows)
+        live.append(weakref.ref(model))
+        most.append(sum(ref() is not None for ref in live))
+        trees.append(model.getNumTrees)
+        return model
+
+    def alone(self, rows):
+        assert rows._jdf.queryExecution().logical().toString().count("UDF(") <= 1  # that of the assembled features, no other part
+        return transform(self, rows)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", seen)
+    monkeypatch.setattr(models.RandomForestClassificationModel, "transform", alone)
+    monkeypatch.setattr(models, "TREES_A_FIT", 4)
+    monkeypatch.setattr(models, "NODES_A_FIT", 400, raising=False)
+    monkeypatch.setattr(models, "HEAP_A_FIT", spark._jvm.Runtime.getRuntime().maxMemory() // 2, raising=False)
+    got = models.fold_classification(df, num_trees=20, max_depth=6, n_folds=3).collect()
+    assert sum(trees) == 3 * 20 and len(trees) > 3 * 2 and max(most) <= 2
+    assert sorted(r.row_id for r in got) == list(range(200)) and {r.fold for r in got} == {0, 1, 2}
+    assert {r.predicted_grade for r in got} <= set(models.GRADES)
+    assert np.mean([r.grade == r.predicted_grade for r in got]) > 0.5
+
+
+def test_parts_in_turn_vote_as_held_ones(spark, monkeypatch):
+    """Keys that repeat or are missing keep their rows; with parts of the same size the shares are the same to the last bit."""
+    _, df = graded(spark, 120)
+    monkeypatch.setattr(models, "NODES_A_FIT", 1, raising=False)
+    monkeypatch.setattr(models, "TREES_A_FIT", 1)
+    odd = df.withColumn("row_id", F.when(F.col("row_id") % 3 > 0, F.col("row_id") % 7))
+    (held,), (turn,) = (models.fit_forests([df], num_trees=3, max_depth=5, held=held) for held in (True, False))
+    assert [p.getNumTrees for p in turn.parts] == [1, 1, 1] and turn.num_trees == held.num_trees == 3
+    want, got = (sorted(map(repr, models.classify(model, odd).drop("_cuts").collect())) for model in (held, turn))
+    assert len(got) == 120 and got == want
+
+
 def test_classification_is_spread_over_tasks(spark):
     _, df = graded(spark, 200)
     model = models.fit_forest(df, 2, 3)
